@@ -59,7 +59,7 @@ _MASTERS = {
     "rust": _master(
         r" \t\f\v\x85\u200e\u200f\u2028\u2029",
         ("l", r"\n"),
-        ("s", r"(?:br|cr|r)(#*)\"[\s\S]*?\"\1(?!#)|(?:b|c)?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[\da-fA-F]{2}|u\{[\da-fA-F_]+\}|[^\n]))'"),
+        ("s", r"(?:br|cr|r)(?P<h>#*)\"[\s\S]*?\"(?P=h)(?!#)|(?:b|c)?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[\da-fA-F]{2}|u\{[\da-fA-F_]+\}|[^\n]))'"),
         ("u", rf"'{_WORD}(?!')"),
         ("w", rf"(?:r#)?{_WORD}"),
         ("c", r"//[^\n]*|/\*"),
