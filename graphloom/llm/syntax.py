@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import widen
 from .grammars import grammar
 from .lexing import LANGUAGE_OF, lex, normalise
 
@@ -203,7 +204,7 @@ def extension_has_grammar(path: Column) -> Column:
 
 def flag_unparsable(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Every row with ``valid``, ``language`` (of the extension) and ``reason`` (null if valid)."""
-    v = files.withColumn("_v", _verdicts(F.col(path), F.col(text)))
+    v = widen(files).withColumn("_v", _verdicts(F.col(path), F.col(text)))
     return v.withColumns({c: F.col(f"_v.{c}") for c in ("valid", "language", "reason")}).drop("_v")
 
 

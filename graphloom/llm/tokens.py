@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import widen
+
 VOCABULARY = os.environ.get("GRAPHLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pattern that splits text into words before byte-pair merging; it belongs to the public vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,4 +41,4 @@ def with_token_count(docs: DataFrame, text: str = "text", into: str = "n_tokens"
         for s in parts:
             yield s.map(lambda t: None if t is None else len(_encoding(vocabulary).encode_ordinary(t))).astype("Int64")
 
-    return docs.withColumn(into, size(F.col(text)))
+    return widen(docs).withColumn(into, size(F.col(text)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, widen
 
 # Letters of exactly the same shape.
 LOOK_ALIKES = {
@@ -75,7 +75,7 @@ def _run(columns: str, schema: pa.Schema):
 def visual_form(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, form, changed``: every text in its one form."""
     kind = docs.schema[id_col].dataType.simpleString()
-    part = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    part = widen(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
     out = part.mapInArrow(_run("id, form, form IS DISTINCT FROM text AS changed", pa.schema([("id", pa.string()), ("form", pa.string()), ("changed", pa.bool_())])), "id string, form string, changed boolean")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
@@ -84,6 +84,7 @@ def form_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``id, form_key, text_key``: 128-bit keys of form and text, so that no text is shuffled."""
     kind = docs.schema[id_col].dataType.simpleString()
     part = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    part = widen(part)
     out = part.mapInArrow(_run("id, md5(form) AS form_key, md5(text) AS text_key", pa.schema([("id", pa.string()), ("form_key", pa.string()), ("text_key", pa.string())])), "id string, form_key string, text_key string")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
