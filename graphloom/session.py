@@ -48,6 +48,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """The rows over all cores if a small input came in fewer partitions; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_checkpoint(*frames: DataFrame) -> None:
     """Delete written tables that no later job reads."""
     for df in frames:
