@@ -35,13 +35,13 @@ from ..session import checkpoint, widen
 from .lexing import LANGUAGE_OF
 from .syntax import language_of, verdict
 
-RUN, WINDOW = 30, 24
+RUN, WINDOW = 32, 32
 MANY, FEW, SHARE = 4, 2, 0.6
 HOT = 1e-4
 LARGE = 1 << 20
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(RUN)], dtype=np.uint64)
+_TOKEN = re.compile(r"\w+|[^\w\s]+")
+_BASE = 0x9E3779B97F4A7C15
 _GENERATED_NAME = re.compile(
     r"[._-](?:generated|gen|autogen|designer)\.\w+$|(?:_pb2|_pb2_grpc|_grpc_pb|_pb|\.pb|\.pb\.gw|\.g|\.freezed|\.moc|_string|_easyjson|\.zap)\.\w+$|(?:^|/)(?:zz_generated[\w.]*|moc_\w+|ui_\w+)\.\w+$|(?:^|/)(?:generated|__generated__|autogenerated|\.gen|gen-src|generated-sources|auto_generated)/",
     re.I,
@@ -68,34 +68,35 @@ _ENCODED = re.compile(r"[\"'`](?:[A-Za-z0-9+/=_-]|\\n|\\\n|\\x[\da-f]{2}|\"\s*\+
 _COMMENTS = re.compile(r"/\*[\s\S]*?\*/|^\s*(?://|#)[^\n]*", re.M)
 
 
-def fingerprints(text: str, cache: dict[str, int]) -> np.ndarray:
-    """The winnowed fingerprints of a text, each once."""
+class _Codes(dict):
+    """Numbers of tokens; forgotten when there are too many."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = c = crc32(w.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF
+        return c
+
+
+def fingerprints(text: str, codes: _Codes) -> np.ndarray:
+    """The winnowed fingerprints of a text, each once. RUN and WINDOW are powers of two, reached by doubling."""
     words = _TOKEN.findall(text)
     if not words:
         return np.empty(0, np.int64)
-    codes = []
-    for w in words:
-        c = cache.get(w)
-        if c is None:
-            if len(cache) > 500_000:
-                cache.clear()
-            c = cache[w] = crc32(w.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF
-        codes.append(c)
-    a = np.array(codes, dtype=np.uint64)
-    if len(a) < RUN:
-        a = np.concatenate([a, np.zeros(RUN - len(a), np.uint64)])
-    n = len(a) - RUN + 1
-    with np.errstate(over="ignore"):
-        h = a[:n] * _POWERS[0]
-        for j in range(1, RUN):
-            h += a[j : j + n] * _POWERS[j]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    if n > WINDOW:
-        h = np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)
-    else:
-        h = h.min(keepdims=True)
+    h = np.fromiter(map(codes.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    if len(h) < RUN:
+        h = np.concatenate([h, np.zeros(RUN - len(h), np.uint64)])
+    k = 1
+    while k < RUN:
+        h = h[:-k] * np.uint64(pow(_BASE, k, 1 << 64)) + h[k:]
+        k *= 2
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    k = 1
+    while k < WINDOW and len(h) > k:
+        h = np.minimum(h[:-k], h[k:])
+        k *= 2
     return np.unique(h).view(np.int64)
 
 
@@ -136,7 +137,9 @@ def generated_name(path: str) -> bool:
 
 
 def minified(text: str) -> bool:
-    body = _COMMENTS.sub("", text) if len(text) < 5_000_000 else text
+    if len(text) < 100 * text.count("\n"):
+        return False
+    body = _COMMENTS.sub("", text)
     lines = [x for x in body.split("\n") if x.strip()]
     if not lines or len(body) < 300:
         return False
@@ -146,8 +149,11 @@ def minified(text: str) -> bool:
 
 
 def tabular(text: str) -> bool:
-    """Mostly literals of a table, or one encoded string."""
-    body = _COMMENTS.sub("", text) if len(text) < 5_000_000 else text
+    """Mostly literals of a table, or one encoded string. Tables have a comma at least every 30 characters, encoded
+    strings few blanks; other texts are not looked at closely."""
+    if 30 * text.count(",") < len(text) and 8 * (text.count(" ") + text.count("\n")) > len(text):
+        return False
+    body = _COMMENTS.sub("", text)
     size = len("".join(body.split()))
     if size < 200:
         return False
@@ -190,7 +196,7 @@ _SIGNS = "repo string, path string, own string, copy int, fingerprints array<lon
 
 
 def _signs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache: dict[str, int] = {}
+    cache = _Codes()
     for part in parts:
         rows = []
         for repo, path, text in zip(part["repo"], part["path"], part["text"]):
