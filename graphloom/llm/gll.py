@@ -19,8 +19,19 @@ import re
 from collections.abc import Iterable
 
 _NL = object()
-_BASE = {"p": 0x20000, "s": 0x30000, "b": 0x40000, "i": 0x50000}
+_BASE = {"p": 0x20000, "s": 0x30000, "b": 0x40000, "i": 0x50000, "e": 0x60000}
 _MEMO = 300_000
+#: Tokens by which most wrong symbols are told.
+_OPENING = 4
+
+
+class _Loop:
+    """Any number of one symbol, as a way back to the same place of the rule: no stack grows with the repetitions."""
+
+    __slots__ = ("body",)
+
+    def __init__(self, body):
+        self.body = body
 
 
 class _Term(dict):
@@ -38,12 +49,14 @@ class _Term(dict):
 class Grammar:
     def __init__(self, text: str, classes: dict[str, Iterable[str]], groups: dict[str, list[str]], starts: dict[str, str], statements: Iterable[str], commas: dict[str, str], joins: Iterable[str] = (), ends: Iterable[str] = (";",), block: str = "b"):
         """classes: token classes and the literals that also belong to them; groups: what a bracket may hold;
-        starts: symbol of each dialect; statements: lists closed under concatenation, or ``list:part`` where all but the last piece are a part; commas: list and its element;
+        starts: symbol of each dialect; statements: lists closed under concatenation, ``list:part`` where all but the last
+        piece are a part, or ``list:a,b,c`` whose pieces are first a, then b, then c; commas: list and its element, with a comma behind it if one may end the
+        list, and ``!`` if it is nothing but such a list;
         joins: literals that continue the piece before them."""
         self.classes = classes
         rules = {}
         for m in re.finditer(r"^(\w+) =((?:.|\n(?!\w+ =))*)", text, re.M):
-            rules[m[1]] = re.findall(r"'[^']+'|@[psbi]:\w+|&nl|\w+|[()|*+?]", m[2])
+            rules[m[1]] = re.findall(r"'[^']+'|@[psbie]:\w+|&nl|\w+|[()|*+?]", m[2])
         literals = sorted(({t[1:-1] for ts in rules.values() for t in ts if t[0] == "'"} | {x for xs in classes.values() for x in xs}) - set(classes))
         self.code = {x: 0x100 + 2 * i for i, x in enumerate([*classes, *literals, "?"])}
         self.literals = frozenset(literals)
@@ -64,15 +77,22 @@ class Grammar:
         self._nullable()
         self.predicted: list[dict[str, tuple[int, ...]]] = [{} for _ in self.alts]
         self.starts = {d: self.names[s] for d, s in starts.items()}
-        self.statements = {self.names[x.split(":")[0]]: self.names[x.split(":")[-1]] for x in statements}
-        self.elements = {self.names[x]: self.names[y] for x, y in commas.items()}
+        self.statements = {}
+        for x in statements:
+            whole, _, parts = x.partition(":")
+            last = [whole] if parts.count(",") == 0 else parts.split(",")
+            self.statements[self.names[whole]] = tuple(self.names[p] for p in (parts or whole).split(",")), tuple(self.names[p] for p in last)
+        self.elements = {self.names[x]: (self.names[y.rstrip(",!")], "," in y, "!" in y) for x, y in commas.items()}
         self.inside = {b: [(self.names[nt], 1 << i) for i, nt in enumerate(nts)] for b, nts in groups.items()}
         both = lambda xs: "".join(chr(self.code[x] + k) for x in xs if x in self.code for k in (0, 1))
         end, blocks = both(ends), f"{chr(_BASE[block])}-{chr(_BASE[block] + 0xFFFF)}"
         one = f"[^{end}{blocks}]*(?:[{end}]|[{blocks}]+|$)"
         self.piece = re.compile(f"{one}(?:[{both(joins)}{end}]{one})*", re.S)
         self.comma = re.compile(f"[{''.join(chr(self.code[','] + k) for k in (0, 1))}]") if "," in self.code else None
-        self.memo: dict[tuple[int, str], bool] = {}
+        #: Characters of words and punctuation, without and with a line end before them.
+        self.chars = tuple({x: chr(self.code[x] + k) for x in (*self.literals, *classes, "?")} for k in (0, 1))
+        self.memo: dict[tuple[int, str], int] = {}  # -1: derived; else how far any way came
+        self.openings: dict[tuple[int, str], int] = {}
         self.shapes: dict[tuple[str, str], int] = {}
 
     # -- building --------------------------------------------------------------------------------------------------
@@ -105,19 +125,16 @@ class Grammar:
             if at[0] < len(tokens) and tokens[at[0]] in "*+?":
                 op = tokens[at[0]]
                 at[0] += 1
-                y = self._nt(f"{t}{op}{len(self.alts)}")
                 if op == "?":
+                    y = self._nt(f"{t}{op}{len(self.alts)}")
                     self._add(y, [x])
                     self._add(y, [])
+                    x = y
                 elif op == "*":
-                    self._add(y, [x, y])
-                    self._add(y, [])
+                    x = _Loop(x)
                 else:
-                    z = self._nt(f"{t}*{len(self.alts)}")
-                    self._add(z, [x, z])
-                    self._add(z, [])
-                    self._add(y, [x, z])
-                x = y
+                    now.append(x)
+                    x = _Loop(x)
             now.append(x)
         return [*alts, now]
 
@@ -159,6 +176,10 @@ class Grammar:
                     return False
             elif isinstance(x, _Term):
                 return x[c]
+            elif isinstance(x, _Loop):
+                b = x.body
+                if b[c] if isinstance(b, _Term) else b not in seen and any(self._viable(a, c, seen | {b}) for a in self.alts[b]):
+                    return True
             else:
                 if x not in seen and any(self._viable(a, c, seen | {x}) for a in self.alts[x]):
                     return True
@@ -176,7 +197,7 @@ class Grammar:
     # -- recognising -----------------------------------------------------------------------------------------------
     def recognise(self, starts: Iterable[int], s: str) -> set[int]:
         """The start symbols that derive all of ``s`` but its last character, which says whether the end counts as a
-        line end ("\\x01") or not ("\\x02")."""
+        line end ("\\x01") or not ("\\x02"). ``far`` is the furthest place at which a way ended."""
         n, slots, predict = len(s) - 1, self.slots, self._predict
         nodes: dict[int, tuple[list, set]] = {}
         work: list[tuple[int, tuple, int]] = []
@@ -185,6 +206,7 @@ class Grammar:
             roots[nt] = nodes[nt * (n + 1)] = ([], set())
             work += [(a, roots[nt], 0) for a in predict(nt, s[0])]
         done = set()
+        far = 0
         while work:
             slot, node, i = work.pop()
             while True:
@@ -192,76 +214,126 @@ class Grammar:
                 if x is None:
                     if i not in node[1]:
                         node[1].add(i)
-                        for back, parent in node[0]:
-                            key = (back, id(parent), i)
+                        for to, parent in node[0]:
+                            key = (to, id(parent), i)
                             if key not in done:
                                 done.add(key)
-                                work.append((back, parent, i))
+                                work.append((to, parent, i))
                     break
+                back = slot + 1
+                if x.__class__ is _Loop:
+                    key = (back, id(node), i)
+                    if key not in done:
+                        done.add(key)
+                        work.append((back, node, i))
+                    back = slot
+                    x = x.body
+                    if x.__class__ is _Term:
+                        if x[s[i]]:
+                            i += 1
+                            continue
+                        if i > far:
+                            far = i
+                        break
                 if x.__class__ is int:
                     c = s[i]
                     alts = self.predicted[x].get(c)
                     if alts is None:
                         alts = predict(x, c)
                     if not alts:
+                        if i > far:
+                            far = i
                         break
                     child = nodes.get(x * (n + 1) + i)
                     if child is None:
-                        nodes[x * (n + 1) + i] = child = ([(slot + 1, node)], set())
+                        nodes[x * (n + 1) + i] = child = ([(back, node)], set())
                         for a in alts:
                             work.append((a, child, i))
-                    elif not any(b == slot + 1 and p is node for b, p in child[0]):
-                        child[0].append((slot + 1, node))
+                    elif not any(b == back and p is node for b, p in child[0]):
+                        child[0].append((back, node))
                         for j in tuple(child[1]):
-                            key = (slot + 1, id(node), j)
+                            key = (back, id(node), j)
                             if key not in done:
                                 done.add(key)
-                                work.append((slot + 1, node, j))
+                                work.append((back, node, j))
                     break
                 if x is _NL:
                     if not ord(s[i]) & 1:
+                        if i > far:
+                            far = i
                         break
                     slot += 1
                 elif x[s[i]]:
                     i += 1
                     slot += 1
                 else:
+                    if i > far:
+                        far = i
                     break
-        return {nt for nt, r in roots.items() if n in r[1]}
+        found = {nt for nt, r in roots.items() if n in r[1]}
+        self.far = n if found else far
+        return found
 
-    def _derives(self, nt: int, s: str) -> bool:
+    def _way(self, nt: int, s: str) -> int:
+        """-1 if ``nt`` derives ``s`` up to its last character, else how far any way leads."""
         key = (nt, s)
         if (r := self.memo.get(key)) is None:
             if len(self.memo) > _MEMO:
                 self.memo.clear()
-            r = self.memo[key] = bool(self.predicted[nt].get(s[0]) or self._predict(nt, s[0])) and nt in self.recognise((nt,), s)
+                self.openings.clear()
+            r = self._opening(nt, s[:_OPENING]) if len(s) > _OPENING + 1 else _OPENING
+            if r >= _OPENING:
+                r = -1 if nt in self.recognise((nt,), s) else self.far
+            self.memo[key] = r
+        return r
+
+    def _opening(self, nt: int, s: str) -> int:
+        """How far any way leads through the first tokens: they are few, and tell most wrong symbols."""
+        key = (nt, s)
+        if (r := self.openings.get(key)) is None:
+            self.recognise((nt,), s + "\x02")
+            r = self.openings[key] = self.far
         return r
 
     def derives(self, nt: int, s: str) -> bool:
         """Whether ``nt`` derives ``s``."""
+        way = self._way
         if nt in self.elements and len(s) > 12:
+            element, trailing, pure = self.elements[nt]
             parts = self.comma.split(s)
-            if not parts[-1]:
+            if pure and parts[0] and 0 <= way(element, parts[0] + "\x01") < len(parts[0]):
+                return False  # no way leads through the first element
+            if trailing and not parts[-1]:
                 parts.pop()
-            element = self.elements[nt]
-            if len(parts) > 1 and all(p and self._derives(element, p + "\x01") for p in parts):
-                return True
+            if len(parts) > 1:
+                if all(p and way(element, p + "\x01") < 0 for p in parts):
+                    return True
         elif nt in self.statements and len(s) > 12:
-            at, n, part = 0, len(s), self.statements[nt]
+            parts, last = self.statements[nt]
+            at, n, k = 0, len(s), 0
             while at < n:
                 to = self.piece.match(s, at).end()
                 for _ in range(6):
-                    if to == n or self._derives(part, s[at:to] + ("\x01" if ord(s[to]) & 1 else "\x02")):
+                    if to == n:
+                        break
+                    piece = s[at:to] + ("\x01" if ord(s[to]) & 1 else "\x02")
+                    ways = [way(p, piece) for p in parts[k:]]
+                    if min(ways) < 0:
+                        k += next(i for i, w in enumerate(ways) if w < 0)
                         break
+                    if not at and len(parts) == 1 and ways[0] < to and parts[0] == nt:
+                        return False  # no way leads through the beginning
                     to = self.piece.match(s, to).end()
                 else:
                     to = -1
-                if to < 0 or (to == n and not self._derives(nt, s[at:] + "\x01")):
+                if to < 0 or (to == n and min(way(p, s[at:] + "\x01") for p in (last[k:] or last)) >= 0):
                     break
                 at = to
             else:
                 return True
-        return self._derives(nt, s + "\x01")
+            if not at and to == n and last == (nt,):
+                return False  # that was the whole
+        return way(nt, s + "\x01") < 0
 
     def group(self, bracket: str, s: str) -> str:
         """The token that stands for a group around ``s``."""

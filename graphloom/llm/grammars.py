@@ -69,7 +69,7 @@ Postfix = Primary Suffix*
 Suffix = '.' name | '?.' (name | @s:Expr | @p:Args | Template) | @s:Expr | @p:Args | Template | '++' | '--' [[| '!' | ('as' | 'satisfies') Type | TypeArgs]]
 Primary = id | 'this' | 'super' | 'null' | 'true' | 'false' | num | str | regex | Template | @p:Expr | @s:Elements | @b:Object | 'async'? 'function' '*'? id? [[TypeParams?]] @p:Params [[TypeNote?]] @b:Stmts
  | Decorators? Class | 'import' (@p:Args | '.' name) | 'new' '.' name
-Template = tmpl (@b:Expr tmpl)* tend
+Template = tmpl (@e:Expr tmpl)* tend
 [[TypeNote = ':' RetType
 RetType = Type | 'asserts'? (id | 'this') 'is' Type | 'asserts' (id | 'this')
 Type = Union ('extends' Union '?' Type ':' Type)?
@@ -77,7 +77,7 @@ Union = ('|' | '&')? TypeOp (('|' | '&') TypeOp)*
 TypeOp = ('keyof' | 'unique' | 'readonly' | 'infer')* PostType
 PostType = PrimType @s:TypeIndex*
 TypeIndex = Type?
-PrimType = TypeRef | 'this' | 'null' | 'void' | 'true' | 'false' | '-'? num | str | tmpl (@b:Type tmpl)* tend | @b:TypeMembers | @s:TupleElems | @p:Type | 'abstract'? 'new'? TypeParams? @p:Params '=>' RetType
+PrimType = TypeRef | 'this' | 'null' | 'void' | 'true' | 'false' | '-'? num | str | tmpl (@e:Type tmpl)* tend | @b:TypeMembers | @s:TupleElems | @p:Type | 'abstract'? 'new'? TypeParams? @p:Params '=>' RetType
  | 'typeof' (id | 'this' | 'import' @p:Args) ('.' name)* TypeArgs? | 'import' @p:Args ('.' name)* TypeArgs?
 TypeRef = id ('.' name)* TypeArgs?
 TypeArgs = '<' Type (',' Type)* ','? GT
@@ -101,7 +101,10 @@ EnumOne = PropName ('=' Assign)?]]
 )
 
 _GO = """
-File = 'package' id ';' (Import ';')* (TopDecl ';')*
+File = Head Imported Tops
+Head = 'package' id ';'
+Imported = (Import ';')*
+Tops = (TopDecl ';')*
 Import = 'import' (ImportOne | @p:Imports)
 Imports = (ImportOne (';' ImportOne)* ';'?)?
 ImportOne = ('.' | id)? str
@@ -154,7 +157,10 @@ LitValue = Expr | @b:Literal
 """
 
 _JAVA = """
-File = ';'* (Mods 'package' Name ';')? (Import | ';')* (TypeDecl | ';')* | Mods 'open'? 'module' Name @b:Directives | Import* Member*
+File = ';'* Head? Imported Types | Mods 'open'? 'module' Name @b:Directives | Import* Member*
+Head = Mods 'package' Name ';'
+Imported = (Import | ';')*
+Types = (TypeDecl | ';')*
 Directives = ((id | 'requires') Mods 'static'? Name (id Name (',' Name)*)? ';')*
 Import = 'import' 'static'? 'module'? Name ('.' '*')? ';'
 Name = id ('.' id)*
@@ -369,9 +375,10 @@ def _ecma(ts: bool) -> Grammar:
     groups = {
         "p": ["Expr", "Args", "Params", "ForHead", "CatchParam", *(["Type"] if ts else [])],
         "s": ["Expr", "Elements", "BindList", "Assign", *(["TypeIndex", "TupleElems", "IndexKey", "MappedKey"] if ts else [])],
-        "b": ["Stmts", "Object", "Members", "Cases", "BindProps", "Specifiers", "Expr", *(["Module", "TypeMembers", "Enum", "Type"] if ts else [])],
+        "b": ["Stmts", "Object", "Members", "Cases", "BindProps", "Specifiers", *(["Module", "TypeMembers", "Enum"] if ts else [])],
+        "e": ["Expr", *(["Type"] if ts else [])],
     }
-    commas = {"Args": "Element", "Elements": "Element", "Object": "Prop", "Params": "Param"}
+    commas = {"Args": "Element,!", "Elements": "Element,!", "Object": "Prop,!", "Params": "Param,!", **({"Enum": "EnumOne,!", "TupleElems": "TupleElem,!"} if ts else {})}
     return Grammar(text, {"id": free, "name": [*free, *words, "id", "priv"], "priv": [], "num": [], "str": [], "regex": [], "tmpl": [], "tend": []}, groups, {"script": "Script", "module": "Module"}, ["Module", "Script", "Stmts", "Members", *(["TypeMembers"] if ts else [])], commas, ["else", "catch", "finally", ".", ")", "(", ",", "=", "+", "-", "*", "?", ":", "&&", "||", "from", "as"])
 
 
@@ -386,13 +393,13 @@ def grammar(lang: str) -> Grammar:
         return _ecma(lang == "typescript")
     if lang == "go":
         groups = {"p": ["Imports", "Consts", "Vars", "Types", "Params", "Type", "Expr", "Args", "TypeOrType"], "s": ["TypeParams", "TypeArgs", "ArrayLen", "Type", "Index"], "b": ["Stmts", "Fields", "Methods", "Cases", "Literal"]}
-        return Grammar(_GO, {"id": [], "num": [], "str": []}, groups, {"go": "File"}, ["Stmts"], {"Literal": "LitItem", "Args": "Expr"})
+        return Grammar(_GO, {"id": [], "num": [], "str": []}, groups, {"go": "File"}, ["Stmts", "File:Head,Imported,Tops"], {"Literal": "LitItem,!", "Args": "Expr,", "TypeArgs": "Type,!"})
     if lang == "java":
         groups = {"p": ["AnnArgs", "Params", "Args", "Expr", "ForHead", "Resources", "CatchParam", "LambdaParams", "CastType", "Patterns"], "s": ["Empty", "Expr"], "b": ["Members", "EnumBody", "Stmts", "Cases", "ArrayInit", "AnnList", "Directives"]}
-        return Grammar(_JAVA, {"id": _JAVA_FREE, "num": [], "str": []}, groups, {"java": "File"}, ["Members", "Stmts"], {"ArrayInit": "VarInit", "Args": "Expr", "Params": "Param"}, ["else", "catch", "finally", ".", ","])
+        return Grammar(_JAVA, {"id": _JAVA_FREE, "num": [], "str": []}, groups, {"java": "File"}, ["Members", "Stmts", "File:Head,Imported,Types"], {"ArrayInit": "VarInit,!", "AnnList": "AnnValue,!", "Args": "Expr!", "Params": "Param!"}, ["else", "catch", "finally", ".", ","])
     if lang == "rust":
         groups = {"p": ["Params", "TupleFields", "FnTypeParams", "Tuple", "Bounds", "Pats", "Args"], "s": ["ArrayType", "Pats", "Expr", "ArrayInit"], "b": ["Items", "Fields", "UseTrees", "Variants", "Block", "PatFields", "Arms", "StructInit"]}
         words = "as break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while async await yield".split()
-        return Grammar(_RUST, {"id": _RUST_FREE, "num": [], "str": [], "life": []}, groups, {"rust": "File"}, ["File", "Items", "Block:Stmts"], {"ArrayInit": "Expr", "Args": "Expr"}, ["else", ".", "?", ","])
+        return Grammar(_RUST, {"id": _RUST_FREE, "num": [], "str": [], "life": []}, groups, {"rust": "File"}, ["File", "Items", "Block:Stmts"], {"ArrayInit": "Expr,", "Args": "Expr,!", "Pats": "Pat,!", "Fields": "NamedField,!", "Params": "Param,!", "Variants": "Variant,!", "StructInit": "FieldInit,"}, ["else", ".", "?", ","])
     groups = {"p": ["ImportParen", "WithParen", "Params", "Args", "Group", "PatternArgs", "PatternGroup"], "s": ["TypeParams", "Index", "List", "PatternGroup"], "b": ["Dict", "PatternMap"], "i": ["Stmts", "MatchCases"]}
-    return Grammar(_PYTHON, {"id": ["match", "case", "type"], "num": [], "str": [], "nl": []}, groups, {"python": "File"}, ["File", "Stmts"], {"List": "Star", "Args": "Arg"}, ["elif", "else", "except", "finally"], ["nl"], "i")
+    return Grammar(_PYTHON, {"id": ["match", "case", "type"], "num": [], "str": [], "nl": []}, groups, {"python": "File"}, ["File", "Stmts"], {"List": "Star,", "Args": "Arg,!", "Index": "IndexOne,!", "PatternGroup": "Pattern,!", "Dict": "DictItem,", "Params": "Param,!", "Group": "Star,", "PatternArgs": "PatternArg,!"}, ["elif", "else", "except", "finally"], ["nl"], "i")

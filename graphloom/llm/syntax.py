@@ -11,9 +11,7 @@ the operator writes, which it then replaces.
 
 from __future__ import annotations
 
-import ast
 import os
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,9 +21,9 @@ from pyspark.sql import types as T
 
 from ..session import widen
 from .grammars import grammar
-from .lexing import LANGUAGE_OF, lex, normalise
+from .lexing import LANGUAGE_OF, lex, normalise, python_tree
 
-_OPEN, _CLOSE = {"(": "p", "[": "s", "{": "b", "${": "b"}, {")": "p", "]": "s", "}": "b"}
+_OPEN, _CLOSE = {"(": "p", "[": "s", "{": "b", "${": "e"}, {")": "p", "]": "s", "}": "be"}
 #: Go ends a statement at a line end after one of these.
 _GO_END = frozenset("break continue fallthrough return ++ -- ) ] }".split())
 VERDICT = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("language", T.StringType()), T.StructField("reason", T.StringType())])
@@ -39,67 +37,74 @@ def shape(lang: str, text: str) -> tuple[str, str | None]:
     if lang == "python":
         return _python_shape(tokens, text)
     g = grammar(lang)
-    code, literals, group = g.code, g.literals, g.group
+    group, (plain, marked) = g.group, g.chars
     go, nl_matters = lang == "go", lang in ("javascript", "typescript")
-    unknown, own, num, string = code["?"], code["id"], code["num"], code["str"]
-    stack: list[tuple[str, list[str], int]] = []
+    semicolon = plain.get(";", "")
+    other = {"n": "num", "s": "str", "u": "life", "r": "regex", "t": "tmpl", "e": "tend"}
+    stack: list[tuple[str, list[str], bool]] = []
     out: list[str] = []
-    newline, last = 0, ""
+    add = out.append
+    newline, last = False, ""
+    chars = plain
     for kind, s, e in tokens:
         if kind == "l" or kind == "c":
             if kind == "l" or "\n" in text[s:e]:
-                newline = 1
-                if go and last:
-                    out.append(chr(code[";"]))
+                newline = True
+                if nl_matters:
+                    chars = marked
+                elif go and last:
+                    add(semicolon)
                     last = ""
             continue
-        nl = newline if nl_matters else 0
-        newline = 0
         if kind == "w":
             w = text[s:e]
-            k = code[w] if w in literals else own if w[0] != "#" else code["priv"]
-            if go:
-                last = w if k == own or w in _GO_END else ""
+            c = chars.get(w)
+            if c is None or w in _NAMES:
+                c = chars["priv"] if w[0] == "#" else chars["id"]
+                last = "0"
+            elif go:
+                last = w if w in _GO_END else ""
+            add(c)
         elif kind == "p":
             w = text[s:e]
             if w in _OPEN:
-                stack.append((_OPEN[w], out, nl))
+                stack.append((_OPEN[w], out, newline and nl_matters))
                 out = []
+                add = out.append
                 last = ""
-                continue
-            if w in _CLOSE:
-                if not stack or stack[-1][0] != _CLOSE[w]:
+            elif w in _CLOSE:
+                if not stack or stack[-1][0] not in _CLOSE[w]:
                     return "", f"unmatched {w} at {s}"
                 b, up, was = stack.pop()
                 c = group(b, "".join(out))
                 out = up
-                out.append(chr(ord(c) | was))
+                add = out.append
+                add(chr(ord(c) | 1) if was else c)
                 last = w
-                continue
-            k = code[w] if w in literals else unknown
-            last = w if w in _GO_END else ""
-        elif kind == "n":
-            k = num
-            last = "0"
-        elif kind == "s":
-            k = string
-            last = "0"
-        elif kind == "u":
-            k = code["life"]
+            else:
+                add(chars.get(w) or chars["?"])
+                last = w if go and w in _GO_END else ""
         else:
-            k = code[{"r": "regex", "t": "tmpl", "e": "tend"}[kind]]
-        out.append(chr(k | nl))
+            add(chars[other[kind]])
+            last = "0"
+        newline = False
+        chars = plain
     if stack:
         return "", "a bracket is never closed"
     if go and last:
-        out.append(chr(code[";"]))
+        out.append(semicolon)
     return "".join(out), None
 
 
+#: Names of token classes, which are ordinary words in a text.
+_NAMES = frozenset("id num str life regex tmpl tend priv name nl".split())
+
+
 def _python_shape(tokens: list, text: str) -> tuple[str, str | None]:
     g = grammar("python")
-    code, literals, group = g.code, g.literals, g.group
-    nl = chr(code["nl"])
+    group, (chars, _) = g.group, g.chars
+    nl, own, unknown = chars["nl"], chars["id"], chars["?"]
+    literal = {"n": chars["num"], "s": chars["str"]}
     indents, stack, blocks = [0], [], []  # stack: open brackets; blocks: what surrounds the open suites
     out: list[str] = []
     fresh, line = True, False
@@ -130,20 +135,25 @@ def _python_shape(tokens: list, text: str) -> tuple[str, str | None]:
             if width != indents[-1]:
                 return "", f"inconsistent indentation at {s}"
         line = True
-        w = text[s:e] if kind in "wp" else ""
-        if w in _OPEN:
+        if kind in literal:
+            out.append(literal[kind])
+            continue
+        w = text[s:e]
+        if kind == "w":
+            c = chars.get(w)
+            out.append(own if c is None or w in _NAMES else c)
+        elif w in _OPEN:
             stack.append((_OPEN[w], out))
             out = []
         elif w in _CLOSE:
-            if not stack or stack[-1][0] != _CLOSE[w]:
+            if not stack or stack[-1][0] not in _CLOSE[w]:
                 return "", f"unmatched {w} at {s}"
             b, up = stack.pop()
             c = group(b, "".join(out))
             out = up
             out.append(c)
         else:
-            k = code[w] if w in literals else code["id"] if kind == "w" else code["num"] if kind == "n" else code["str"] if kind == "s" else code["?"]
-            out.append(chr(k))
+            out.append(chars.get(w) or unknown)
     if stack:
         return "", "a bracket is never closed"
     if line:
@@ -165,15 +175,11 @@ def verdict(lang: str | None, text: str | None) -> tuple[bool | None, str | None
     if error is None and not (g.dialects(s) if s else True):
         error = "rejected by every dialect: " + ", ".join(g.starts)
     if lang == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(source)
+        tree = python_tree(source)
+        if isinstance(tree, str):
+            error = error or tree
+        elif tree is not None:
             error = None
-        except (SyntaxError, ValueError) as x:
-            error = error or f"{type(x).__name__}: {getattr(x, 'msg', x)} at line {getattr(x, 'lineno', None)}"
-        except (RecursionError, MemoryError):
-            pass
     return error is None, error
 
 
