@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import name_tail
-from ..schema import EDGE, NODE, REF
+from ..schema import EDGE, FILE, NODE, REF
 from ..session import table
 
 
@@ -327,5 +327,5 @@ class Store:
         snapshot = self.meta().get("snapshot")
         if snapshot is None:
             raise FileNotFoundError(f"no graph at {self.path}")
-        read = lambda n: self.spark.read.parquet(f"{self.path}/{snapshot}/{n}")
-        return Graph(read("nodes"), read("edges").select(*EDGE.names), read("refs"), read("files"))
+        read = lambda n, s: self.spark.read.schema(s).parquet(f"{self.path}/{snapshot}/{n}")
+        return Graph(read("nodes", NODE), read("edges", EDGE).select(*EDGE.names), read("refs", REF), read("files", FILE))

@@ -65,7 +65,8 @@ class Extraction(NamedTuple):
     errors: list[str]
 
 
-_CALL_SKIP = frozenset("if for while switch catch return function new typeof await super import def class fn func go defer select match loop in not and or print assert throw yield with except lambda elif else do sizeof".split())
+_CALL_SKIP = frozenset("if for while switch catch return function new typeof await super import with".split())
+_CALL_SKIP_OF = {"go": frozenset("go defer select func".split()), "rust": frozenset("fn match loop in".split()), "java": frozenset("synchronized assert throw try".split())}
 _IMPORTS = {
     "javascript": [re.compile(r"^\s*(?:import|export)\b(?:[^;'\"]*?\bfrom)?\s*['\"]([^'\"]+)['\"]", re.M), re.compile(r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)")],
     "go": [re.compile(r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"\n]+)\"\s*$", re.M)],
@@ -191,8 +192,9 @@ def _scanned(path: str, lang: str, text: str, out: _Out) -> None:
     open_: list[tuple[int, str]] = []
     k = 0
     tok = scan.tok
+    skip = _CALL_SKIP | _CALL_SKIP_OF.get(lang, frozenset())
     for j, (kind, w, s, _) in enumerate(tok):
-        if kind != "w" or w in _CALL_SKIP or j + 1 >= len(tok) or tok[j + 1][1] != "(" or (j and tok[j - 1][1] in ("function", "fn", "func", "class")):
+        if kind != "w" or w in skip or j + 1 >= len(tok) or tok[j + 1][1] != "(" or (j and tok[j - 1][1] in ("function", "fn", "func", "class")):
             continue
         line = lines.line(s)
         while k < len(spans) and spans[k][0] <= line:
