@@ -56,7 +56,7 @@ def test_packs_hold_their_capacity():
 def test_pack_documents(spark):
     r = random.Random(2)
     texts = [" ".join(r.choice(["alpha", "beta", "x"]) for _ in range(r.randrange(0, 90))) for _ in range(60)] + [None, "word " * 4000]
-    df = spark.createDataFrame([(i % 61, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, texts[7])], "doc_id long, text string")
     spec = spark.createDataFrame([("s", 32), ("m", 128)], "pack_name string, capacity_tokens int")
     got = pack_documents(df, spec, bucket_items=20).collect()
     for name, cap in (("s", 32), ("m", 128)):
@@ -67,8 +67,10 @@ def test_pack_documents(spark):
                 fill[x["bucket"], x["pack"]] += x["n_tokens"]
                 pieces[x["doc_id"]].append((x["from_token"], x["n_tokens"]))
         assert max(fill.values()) <= cap
-        assert sum(n for p in pieces.values() for _, n in p) == sum(count_tokens(t) or 0 for t in texts if t)
-        assert all(n == cap for p in pieces.values() for f, n in p if any(g > f and g == f + cap for g, _ in p))
+        assert sum(n for p in pieces.values() for _, n in p) == sum(count_tokens(t) or 0 for t in [*texts, texts[7]] if t)
+        for p in pieces.values():
+            p = sorted(set(p))
+            assert [f for f, _ in p] == [cap * k for k in range(len(p))] and all(n == cap for _, n in p[:-1])
     assert {x["pack_name"] for x in pack_report(pack_documents(df, spec)).collect()} == {"s", "m"}
     assert pack_documents(df.limit(0), spec).count() == 0 and pack_documents(df, spec.limit(0)).count() == 0
 
