@@ -26,7 +26,7 @@ def test_extraction(spark):
     assert {(n["kind"], n["qualified_name"]) for n in x.nodes} == {("file", "a.ts"), ("class", "A"), ("method", "A::run"), ("import", "./z")}
     assert {(r["reference_name"], r["reference_kind"]) for r in x.refs} == {("B", "extends"), ("C", "implements"), ("./z", "imports"), ("go", "calls"), ("D", "instantiates")}
     assert extract_from_source("a.zig", "x").errors == ["unsupported_language"] and extract_from_source("a.py", "x = (").errors[0].startswith("parse_error")
-    got = extract(spark.createDataFrame([("a.py", "def f():\n    g()\n"), ("b.md", "# T\n`f` [x](./a.py)\n"), ("c.py", None), (None, "x")], "path string, text string"))
+    got = extract(spark.createDataFrame([("a.py", "def f():\n    g()\n"), ("b.md", "# T\n`ff` [x](./a.py)\n"), ("c.py", None), (None, "x")], "path string, text string"))
     assert got.nodes.count() == 5 and got.files.count() == 2 and {r["reference_kind"] for r in got.refs.collect()} == {"calls", "doc_mention", "doc_path"}
 
 
