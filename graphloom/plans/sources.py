@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import content_hash
 from ..operators import relevance, store
 from ..session import checkpoint, table
-from ..sources import extract, frameworks, scan
+from ..sources import bindings, extract, frameworks, scan
 from ..streaming import sync
 
 
@@ -66,6 +66,19 @@ def q6_code_slices(spark, d):
     return t.join(n, "path").select("id", F.octet_length(relevance.code_slice(F.col("text"), F.col("start_line"), F.col("end_line"), False)).alias("bytes"))
 
 
+def r8_bindings(spark, d):
+    """What imports bind, with the file of the module where it is known."""
+    t = checkpoint(_texts(spark, d))
+    b = bindings.import_bindings(t)
+    found = bindings.resolve_bindings(b, t).select("file_path", "local", "source", "module_file")
+    return b.join(found, ["file_path", "local", "source"], "left").select("file_path", "language", "local", "exported", "source", "module_file")
+
+
+def r10i_receiver_types(spark, d):
+    x = extract.extract(_texts(spark, d))
+    return bindings.receiver_types(x.refs.filter("reference_kind = 'calls'"), x.nodes, _texts(spark, d))
+
+
 def st_changes(spark, d):
     seen = table(spark, d, "scan_entry").groupBy("path").agg(F.max(F.struct("seen_at", "content_hash", "modified_at")).alias("s")).select("path", "s.content_hash", "s.modified_at")
     return sync.detect_changes(seen, table(spark, d, "file_record")).groupBy("change").agg(F.count(F.lit(1)).alias("files"))
@@ -85,7 +98,7 @@ def st_rollup(spark, d):
 
 
 def queries() -> dict:
-    own = (s4_languages, s2_ignored, x1_nodes, x1_references, x16_sections, x2_file_nodes, fw_routes, k9_corpus_terms, k19_relevant, q6_code_slices, st_changes, st_windows, st_sessions, st_rollup)
+    own = (s4_languages, s2_ignored, x1_nodes, x1_references, x16_sections, x2_file_nodes, fw_routes, r8_bindings, r10i_receiver_types, k9_corpus_terms, k19_relevant, q6_code_slices, st_changes, st_windows, st_sessions, st_rollup)
     return {f.__name__: f for f in own}
 
 

@@ -89,3 +89,20 @@ def test_stream_keeps_the_store(spark, tmp_path):
     run()
     g = s.load()
     assert {r["name"] for r in g.nodes.collect()} == {"b.py", "h"} and {r["path"] for r in g.files.collect()} == {"b.py"} and g.refs.count() == 0
+
+
+def test_bindings(spark):
+    from graphloom.sources.bindings import bindings, import_bindings, nearest_type, receiver_types, resolve_bindings
+
+    assert bindings("typescript", "import D, { a, b as c } from './m'\nimport * as n from 'x'\nconst { p: q } = require('y')") == [("D", "default", "./m"), ("a", "a", "./m"), ("c", "b", "./m"), ("n", "*", "x"), ("q", "p", "y")]
+    assert bindings("python", "from .a import (b, c as d)\nimport x.y, z as w\n") == [("b", "b", ".a"), ("d", "c", ".a"), ("y", "*", "x.y"), ("w", "*", "z")]
+    assert bindings("go", 'import (\n "a/b"\n q "c/d"\n)\n') == [("b", "*", "a/b"), ("q", "*", "c/d")]
+    assert bindings("rust", "use crate::a::{self, B, c::{D as E}};") == [("a", "a", "crate"), ("B", "B", "crate::a"), ("E", "D", "crate::a::c")]
+    files = spark.createDataFrame([("s/a.ts", "import { x } from './m'\n"), ("s/m/index.ts", "x"), ("p/a.py", "from .b import f\n"), ("p/b.py", "")], "path string, text string")
+    got = {(r["file_path"], r["local"]): r["module_file"] for r in resolve_bindings(import_bindings(files), files).collect()}
+    assert got == {("s/a.ts", "x"): "s/m/index.ts", ("p/a.py", "f"): "p/b.py"}
+    rows = ["box = Old()", "def f(box: Wide):", "    box = Box()", "    box.run()"]
+    assert nearest_type("python", rows, "box", 4, 2) == "Box" and nearest_type("python", rows, "box", 2, 2) == "Wide" and nearest_type("python", rows, "bo", 4, 1) is None
+    refs = spark.createDataFrame([("f", "box.run", 4, "a.py")], "from_node_id string, reference_name string, line int, file_path string")
+    nodes = spark.createDataFrame([("f", "function", 2)], "id string, kind string, start_line int")
+    assert receiver_types(refs, nodes, spark.createDataFrame([("a.py", "\n".join(rows))], "path string, text string")).first()["type_name"] == "Box"
