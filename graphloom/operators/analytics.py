@@ -16,9 +16,15 @@ from ..session import checkpoint
 from .hierarchy import cycle_nodes, links
 from .store import Graph
 
-# Directories and names that say little about structure.
-NOISE_DIRS = "test tests __tests__ spec specs e2e fixtures __fixtures__ mocks __mocks__ examples example samples sample benchmarks bench docs doc vendor third_party node_modules dist build".split()
-TRIVIAL_NAMES = "get set new init main run test setup id key value data name self this".split()
+# Directories and file names that say little about structure.
+NOISE_DIRS = "node_modules vendor third_party dist build target generated __generated__ __tests__ tests test spec specs __mocks__ mocks fixtures fixture e2e examples example docs doc".split()
+NOISE_PARTS = (".test.", ".spec.", ".mock.", ".stories.", "_test.", "_spec.")
+# Names that every program has; compared whatever their case.
+TRIVIAL_NAMES = (
+    "Err Some None Self Result Option Vec String Box HashMap HashSet BTreeMap usize bool new clone from into as_str as_ref to_string collect iter next unwrap expect default "
+    "Default fmt Debug Display Drop len is_empty get set push insert main init drop with try_from try_into __init__ __str__ __repr__ __new__ constructor toString valueOf "
+    "undefined null this super self cls prototype hashCode equals println print "
+).lower().split()
 MAX_MODULES = 36
 #: Graphs up to this many edges fit one task of the community and betweenness kernels.
 KERNEL_EDGES = 5_000_000
@@ -26,9 +32,12 @@ PIVOTS, EXACT_NODES = 256, 20_000
 
 
 def is_noise_path(path: Column) -> Column:
-    parts = F.split(F.lower(path), "/")
+    parts = F.split(path, "/")
     dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.arrays_overlap(dirs, F.array(*map(F.lit, NOISE_DIRS))) | F.lower(path).rlike(r"(?:[._-](?:test|spec)s?\.[a-z]+|(?:^|/)test_[^/]*|_test\.[a-z]+)$")
+    out = F.arrays_overlap(dirs, F.array(*map(F.lit, NOISE_DIRS))) | path.endswith(".d.ts") | path.endswith(".min.js")
+    for p in NOISE_PARTS:
+        out = out | F.element_at(parts, -1).contains(p)
+    return out
 
 
 def is_trivial_name(name: Column) -> Column:

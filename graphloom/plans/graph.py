@@ -183,7 +183,7 @@ def t1_callers_exact(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_G}, hub AS (SELECT target AS id FROM edge WHERE kind = 'extends' GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1),
-cont AS (SELECT DISTINCT e.source AS here, e.target AS there FROM edge e JOIN node n ON n.id = e.source WHERE e.kind = 'contains' AND n.kind IN ('file', 'module', 'class', 'struct', 'interface', 'trait', 'protocol', 'enum', 'namespace', 'component')),
+cont AS (SELECT DISTINCT e.source AS here, e.target AS there FROM edge e JOIN node n ON n.id = e.source WHERE e.kind = 'contains' AND n.kind IN ('class', 'interface', 'struct', 'trait', 'protocol', 'module', 'enum')),
 back AS (SELECT DISTINCT target AS here, source AS there FROM edge WHERE kind <> 'contains'),
 x AS (SELECT here, there, 0 AS c FROM cont UNION ALL SELECT here, there, 1 FROM back),
 w AS (SELECT id, 0 AS depth FROM hub UNION SELECT x.there, w.depth + x.c FROM w JOIN x ON x.here = w.id WHERE w.depth + x.c <= 2)

@@ -107,7 +107,7 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "s4_languages": """SELECT DISTINCT path, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' END AS language,
-regexp_matches(path, '(?:[._-](?:generated|gen|autogen)\\.\\w+|(?:_pb2(?:_grpc)?|_grpc_pb|_pb|\\.pb|\\.pb\\.gw|\\.pulsar|\\.g|\\.freezed|\\.chopper|\\.pbgrpc|\\.min|_mocks?|OuterClass|Grpc)\\.\\w+)$') AS generated FROM file_record""",
+regexp_matches(path, '(?:\\.pb\\.(?:go|js|ts|cc|h|swift|dart)|\\.pulsar\\.go|_mocks?\\.go|\\.(?:generated|gen)\\.[jt]sx?|_pb\\.[jt]s|\\.min\\.m?js|_pb2(?:_grpc)?\\.py|_pb2\\.pyi|\\.g\\.(?:cs|dart)|Grpc\\.(?:cs|java)|OuterClass\\.java|\\.(?:freezed|pbgrpc|chopper)\\.dart|\\.generated\\.rs)$|^mock_[^/]+\\.go$') AS generated FROM file_record""",
         "x2_file_nodes": "SELECT 'file:' || path AS id, len(string_split(text, chr(10))) AS lines, sha256(text) AS content_hash FROM (SELECT path, arg_max(text, struct_pack(a := collected_at, b := doc_id)) AS text FROM documents WHERE path IS NOT NULL AND text IS NOT NULL GROUP BY 1)",
         "st_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS began, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
         "st_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -20,11 +20,11 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 CALL_KINDS = ("calls", "references", "imports", "instantiates")
 HIERARCHY_KINDS = ("extends", "implements")
-CONTAINER_KINDS = ("file", "module", "class", "struct", "interface", "trait", "protocol", "enum", "namespace", "component")
+CONTAINER_KINDS = ("class", "interface", "struct", "trait", "protocol", "module", "enum")
 CLASS_LIKE = ("class", "struct", "interface", "trait", "protocol", "enum")
 CALLABLE = ("function", "method", "component")
-LOW_SIGNAL = ("file", "import", "export", "parameter", "document", "section")
-DEFINITIONS = ("class", "struct", "interface", "trait", "protocol", "enum", "type_alias", "component", "function", "method", "route")
+LOW_SIGNAL = ("file", "import", "variable", "parameter", "document", "section")
+DEFINITIONS = ("class", "interface", "struct", "trait", "protocol", "enum", "type_alias")
 
 _s, _i, _b, _l = T.StringType(), T.IntegerType(), T.BooleanType(), T.LongType()
 _a = T.ArrayType(T.StringType())

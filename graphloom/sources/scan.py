@@ -14,13 +14,19 @@ from .extract import EXTENSIONS, MAX_BYTES
 
 # Directories that are never source.
 IGNORED_DIRS = (
-    ".git .hg .svn .idea .vscode .vs .cache .next .nuxt .output .parcel-cache .svelte-kit .turbo .gradle .mvn .terraform .tox .nox .venv venv env __pycache__ .mypy_cache .pytest_cache .ruff_cache .eggs"
-    " node_modules bower_components jspm_packages vendor third_party Pods Carthage DerivedData dist build out target bin obj coverage .nyc_output htmlcov site-packages elm-stuff deps _build .dart_tool .pub-cache tmp temp logs"
-).split()
+    "node_modules", "bower_components", "jspm_packages", "web_modules", ".yarn", ".pnpm-store", ".next", ".nuxt", ".svelte-kit", ".turbo", ".vite", ".parcel-cache", ".angular", ".docusaurus", "storybook-static", ".vinxi",
+    ".nitro", "out-tsc", ".vercel", ".netlify", ".wrangler", "dist", "build", "out", ".output", "coverage", ".nyc_output", "__pycache__", "__pypackages__", ".venv", "venv", ".pixi", ".pdm-build", ".mypy_cache",
+    ".pytest_cache", ".ruff_cache", ".tox", ".nox", ".hypothesis", ".ipynb_checkpoints", ".eggs", "target", ".gradle", "obj", "vendor", ".build", "Pods", "Carthage", "DerivedData", ".swiftpm", ".dart_tool", ".pub-cache",
+    ".cxx", ".externalNativeBuild", "vcpkg_installed", ".bloop", ".metals", "lua_modules", ".luarocks", "__history", "__recovery", ".cache",
+)
 IGNORED_GLOBS = ("*.egg-info", "cmake-build-*", "bazel-*")
 _ANDROID_RES = r"(?:^|/)res/(?:anim|color|drawable|font|layout|menu|mipmap|raw|values|xml)[\w-]*/"
-#: Names that tools give to what they write.
-GENERATED = r"(?:[._-](?:generated|gen|autogen)\.\w+|(?:_pb2(?:_grpc)?|_grpc_pb|_pb|\.pb|\.pb\.gw|\.pulsar|\.g|\.freezed|\.chopper|\.pbgrpc|\.min|_mocks?|OuterClass|Grpc)\.\w+)$"
+# Endings of files that tools write.
+GENERATED_ENDINGS = (
+    ".pb.go", ".pulsar.go", "_mock.go", "_mocks.go", ".generated.js", ".generated.jsx", ".generated.ts", ".generated.tsx", ".gen.js", ".gen.jsx", ".gen.ts", ".gen.tsx", ".pb.js", ".pb.ts", "_pb.js", "_pb.ts",
+    ".min.js", ".min.mjs", "_pb2.py", "_pb2_grpc.py", "_pb2.pyi", ".pb.cc", ".pb.h", ".g.cs", "Grpc.cs", "OuterClass.java", "Grpc.java", ".pb.swift", ".g.dart", ".freezed.dart", ".pb.dart", ".pbgrpc.dart",
+    ".chopper.dart", ".generated.rs",
+)
 
 
 def is_ignored(path: Column, exclude: Iterable[str] = (), include: Iterable[str] = ()) -> Column:
@@ -78,7 +84,11 @@ def is_source_file(path: Column) -> Column:
 
 
 def is_generated(path: Column) -> Column:
-    return path.rlike(GENERATED)
+    """By its ending, or a mock at the root."""
+    out = path.rlike(r"^mock_[^/]+\.go$")
+    for e in GENERATED_ENDINGS:
+        out = out | path.endswith(e)
+    return out
 
 
 def scan_directory(spark: SparkSession, root: str, exclude: Iterable[str] = (), include: Iterable[str] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
