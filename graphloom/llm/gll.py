@@ -20,7 +20,8 @@ from collections.abc import Iterable
 
 _NL = object()
 _BASE = {"p": 0x20000, "s": 0x30000, "b": 0x40000, "i": 0x50000, "e": 0x60000}
-_MEMO = 300_000
+#: Characters of the texts that one grammar's memos may hold.
+_MEMO = 8_000_000
 #: Tokens by which most wrong symbols are told.
 _OPENING = 4
 
@@ -92,6 +93,7 @@ class Grammar:
         #: Characters of words and punctuation, without and with a line end before them.
         self.chars = tuple({x: chr(self.code[x] + k) for x in (*self.literals, *classes, "?")} for k in (0, 1))
         self.memo: dict[tuple[int, str], int] = {}  # -1: derived; else how far any way came
+        self.held = 0
         self.openings: dict[tuple[int, str], int] = {}
         self.shapes: dict[tuple[str, str], int] = {}
 
@@ -278,15 +280,21 @@ class Grammar:
         """-1 if ``nt`` derives ``s`` up to its last character, else how far any way leads."""
         key = (nt, s)
         if (r := self.memo.get(key)) is None:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-                self.openings.clear()
+            self._keep(len(s) + 8)
             r = self._opening(nt, s[:_OPENING]) if len(s) > _OPENING + 1 else _OPENING
             if r >= _OPENING:
                 r = -1 if nt in self.recognise((nt,), s) else self.far
             self.memo[key] = r
         return r
 
+    def _keep(self, size: int) -> None:
+        self.held += size
+        if self.held > _MEMO:
+            self.held = size
+            self.memo.clear()
+            self.shapes.clear()
+            self.openings.clear()
+
     def _opening(self, nt: int, s: str) -> int:
         """How far any way leads through the first tokens: they are few, and tell most wrong symbols."""
         key = (nt, s)
@@ -339,8 +347,7 @@ class Grammar:
         """The token that stands for a group around ``s``."""
         key = (bracket, s)
         if (mask := self.shapes.get(key)) is None:
-            if len(self.shapes) > _MEMO:
-                self.shapes.clear()
+            self._keep(len(s) + 8)
             mask = 0
             for nt, bit in self.inside[bracket]:
                 if self.derives(nt, s):
