@@ -88,12 +88,16 @@ class SkewPlan:
         slots = F.array(*map(F.lit, self.slots))
         return F.element_at(slots, (F.pmod(F.xxhash64(*keys), F.lit(len(self.slots))) + 1).cast("int"))
 
-    def spread(self, rows: DataFrame) -> DataFrame:
-        """The rows on their tasks, with column ``_task``."""
+    def place(self, rows: DataFrame) -> DataFrame:
+        """The rows with the number of their task, ``_task``; nothing is moved."""
         dealt = self._placed(rows.withColumn("_salt", F.xxhash64(*rows.columns, F.monotonically_increasing_id())), self.keys)
         shard = F.element_at("_tasks", (F.pmod("_salt", F.size("_tasks")) + 1).cast("int"))
         at = dealt.withColumn("_task", F.when(F.col("_tasks").isNull(), self._light(self.keys)).otherwise(shard))
-        return at.drop("_tasks", "_salt").repartitionById(self.tasks, F.col("_task"))
+        return at.drop("_tasks", "_salt")
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """The rows on their tasks."""
+        return self.place(rows).repartitionById(self.tasks, F.col("_task"))
 
     def replicate(self, other: DataFrame, keys: Sequence[str]) -> DataFrame:
         """The matching side, one copy for each task that holds rows of the key."""
@@ -114,13 +118,13 @@ def skew_join(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str =
 
 
 def results_per_key(rows: DataFrame, keys: Sequence[str], distinct: str | None = None, plan: SkewPlan | None = None) -> DataFrame:
-    """``keys, n_rows[, n_distinct], shards``: partial results on the shards' tasks, merged by key.
+    """``keys, n_rows[, n_distinct], shards``: partial results of the shards, merged by key. Rows are combined before
+    the shuffle, by shard, so a heavy key arrives as a few rows for each of its tasks.
 
     Distinct values are first made unique by value, so that a heavy key's values are spread as well.
     """
     plan = plan or SkewPlan(rows, keys)
-    dealt = plan.spread(rows.select(*keys, *([distinct] if distinct else [])))
-    partial = dealt.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    partial = plan.place(rows.select(*keys)).groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"))
     merged = partial.groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("shards"))
     if distinct:
         own = rows.select(*keys, distinct).distinct().groupBy(*keys).agg(F.count(distinct).alias("n_distinct"))
