@@ -24,7 +24,7 @@ _LINE, _BLOCK = r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*\*/"
 
 
 def _master(space: str, *parts: tuple[str, str]) -> re.Pattern:
-    return re.compile(f"[{space}]*(?:" + "|".join(f"(?P<{k}>{p})" for k, p in parts) + ")")
+    return re.compile(f"[{space}]*(?:" + "|".join(f"(?P<{k}>{p})" for k, p in (*parts, ("z", f"[^{space}]"))) + ")")
 
 
 _JS_SPACE = r" \t\f\v\xa0\ufeff\u1680\u2000-\u200a\u202f\u205f\u3000"
@@ -35,7 +35,8 @@ _JS = _master(
     ("c", f"{_LINE}|{_BLOCK}"),
     ("n", f"{_NUM_C}n?"),
     ("s", f"{_DQ}|{_SQ}"),
-    ("p", r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|\*\*|<<|/=|[{}()\[\];,<>+\-*/%&|^!~?:=.@`]"),
+    ("q", r"/=?|[`{}]"),
+    ("p", r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|\*\*|<<|[()\[\];,<>+\-*%&|^!~?:=.@]"),
 )
 _JS_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[\w$]*")
 _MASTERS = {
@@ -65,7 +66,8 @@ _MASTERS = {
         ("s", r"(?:br|cr|r)(?P<h>#*)\"[\s\S]*?\"(?P=h)(?!#)|(?:b|c)?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[\da-fA-F]{2}|u\{[\da-fA-F_]+\}|[^\n]))'"),
         ("u", rf"'{_WORD}(?!')"),
         ("w", rf"(?:r#)?{_WORD}"),
-        ("c", r"//[^\n]*|/\*"),
+        ("c", r"//[^\n]*"),
+        ("q", r"/\*"),
         ("n", r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w.]))?(?:[eE][+-]?\d[\d_]*)?)(?:[iu](?:8|16|32|64|128|size)|f(?:32|64))?"),
         ("p", r"\.\.\.|\.\.=|<<=|->|=>|::|\.\.|&&|\|\||==|!=|<=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|<<|[{}()\[\];,<>+\-*/%&|^!~?:=.@#$]"),
     ),
@@ -80,7 +82,6 @@ _MASTERS = {
         ("p", r"\*\*=|//=|>>=|<<=|\.\.\.|:=|->|\*\*|//|>>|<<|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[{}()\[\];,<>+\-*/%&|^~:=.@]"),
     ),
 }
-_SPACES = {k: re.compile(v.pattern[: v.pattern.index("(?:")]) for k, v in _MASTERS.items()}
 #: After one of these words a slash starts a regular expression.
 _BEFORE_REGEX = frozenset("return typeof instanceof in of new delete void throw case do else yield await default".split())
 _NEST = re.compile(r"/\*|\*/")
@@ -96,37 +97,43 @@ def normalise(text: str) -> str:
 @lru_cache(maxsize=2)
 def lex(lang: str, text: str) -> tuple[list[tuple[str, int, int]], str | None]:
     """Tokens of ``text`` and the reason why the rest was not read, if any; the last texts' are kept, not to be changed."""
-    match, out, at, end = _MASTERS[lang].match, [], 0, len(text)
+    find, out, at, end = _MASTERS[lang].finditer, [], 0, len(text)
     add = out.append
-    js, rust = lang in ("javascript", "typescript"), lang == "rust"
-    if js and text.startswith("#!"):
+    js = lang in ("javascript", "typescript")
+    if js and text.startswith("#!") or lang == "rust" and re.match(r"#![^\[]", text) and not re.match(r"#!\s*\[", text):
         at = text.find("\n") if "\n" in text else end
         add(("c", 0, at))
-    elif rust and re.match(r"#![^\[]", text) and not re.match(r"#!\s*\[", text):
-        at = text.find("\n") if "\n" in text else end
-    special = "p" if js else "cs" if rust else ""
     braces: list[int] = []  # depth of braces of each open template
     depth = 0
     while at < end:
-        m = match(text, at)
-        if m is None:
-            rest = _SPACES[lang].match(text, at).end()
-            return out, (None if rest >= end else f"unreadable character at {rest}: {text[rest : rest + 12]!r}")
-        kind = m.lastgroup
-        start, at = m.span(kind)
-        if not special or kind not in special:
-            add((kind, start, at))
-            continue
-        if js and kind == "p":
+        for m in find(text, at):
+            kind = m.lastgroup
+            start, at = m.span(kind)
+            if kind != "q":
+                if kind == "z":
+                    return out, f"unreadable character at {start}: {text[start : start + 12]!r}"
+                add((kind, start, at))
+                continue
+            # what the pattern alone cannot tell; the search goes on behind it
             c = text[start]
-            if c == "/" and at - start <= 2:
+            if not js:
+                nest, at = 1, start + 2
+                while nest:
+                    n = _NEST.search(text, at)
+                    if n is None:
+                        return out, f"unterminated comment at {start}"
+                    nest += 1 if n[0] == "/*" else -1
+                    at = n.end()
+                add(("c", start, at))
+                break
+            if c == "/":
                 if _regex_may_start(out, text):
                     r = _JS_REGEX.match(text, start)
                     if r is None:
                         return out, f"unterminated regular expression at {start}"
                     at = r.end()
                     add(("r", start, at))
-                    continue
+                    break
             elif c == "`" or (c == "}" and braces and depth == braces[-1]):
                 if c == "}":
                     add(("p", start, at))
@@ -135,34 +142,29 @@ def lex(lang: str, text: str) -> tuple[list[tuple[str, int, int]], str | None]:
                 if stop is None:
                     return out, f"unterminated template at {start}"
                 at = stop
-                if text[stop - 2 : stop] == "${" and text[stop - 1] != "`":
-                    add(("t", start if c == "`" else start + 1, stop - 2))
+                first = start if c == "`" else start + 1
+                if text[stop - 1] == "{":
+                    add(("t", first, stop - 2))
                     add(("p", stop - 2, stop))
                     braces.append(depth)
                 else:
-                    add(("t", start if c == "`" else start + 1, stop))
+                    add(("t", first, stop))
                     add(("e", stop, stop))
-                continue
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-        elif rust and kind == "c" and text[start + 1] == "*":
-            nest, at = 1, start + 2
-            while nest:
-                n = _NEST.search(text, at)
-                if n is None:
-                    return out, f"unterminated comment at {start}"
-                nest += 1 if n[0] == "/*" else -1
-                at = n.end()
-        add((kind, start, at))
+                break
+            else:
+                depth += 1 if c == "{" else -1
+            add(("p", start, at))
+        else:
+            break
     return (out, None) if not braces else (out, "unterminated template")
 
 
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
+
+
 def _template(text: str, at: int) -> int | None:
-    while True:
-        m = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)").match(text, at)
-        return m.end() if m else None
+    m = _TEMPLATE.match(text, at)
+    return m.end() if m else None
 
 
 def _regex_may_start(out: list, text: str) -> bool:
