@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, widen
-from .lexing import LANGUAGE_OF
+from ..sources.lexing import LANGUAGE_OF
 from .syntax import language_of, verdict
 
 RUN, WINDOW = 32, 32

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..session import widen
 from .grammars import grammar
-from .lexing import LANGUAGE_OF, lex, normalise, python_tree
+from ..sources.lexing import LANGUAGE_OF, lex, normalise, python_tree
 
 _OPEN, _CLOSE = {"(": "p", "[": "s", "{": "b", "${": "e"}, {")": "p", "]": "s", "}": "be"}
 #: Go ends a statement at a line end after one of these.
