@@ -7,8 +7,10 @@ are peeled off in rounds from both ends, and the rest is split into strongly con
 name forwards and from there backwards. Every round is one written table in the shared folder.
 
 Defined cases: rows with a null parent or child are no links; a repeated row is one link; a child with several parents
-gets the path of least depth, then of the smallest parent; nodes that no root leads to have no path and are reported as
-unreached; a node that is its own parent is a cycle; an empty table gives empty results.
+gets the path of least depth, then of the smallest parent, but is a descendant of all its parents and of all that lead to
+them; nodes that no root leads to have no path and are reported as unreached, and they have descendants like any other; a
+node on a cycle is reported as such and not as its own descendant; a node that is its own parent is a cycle; an empty
+table gives empty results.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, drop_checkpoint
+from ..session import checkpoint, drop_checkpoint, shared_dir
 
 
 def links(rows: DataFrame, kind: str = "kind", parent: str = "source", child: str = "target") -> DataFrame:
@@ -122,11 +124,42 @@ def hierarchy(edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
 
 
 def ancestor_pairs(tree: DataFrame) -> DataFrame:
-    """``kind, ancestor_id, node_id, distance``: all descendants of every node, from the paths."""
+    """``kind, ancestor_id, node_id, distance`` along the one path kept for each node; ``descendants`` takes all links."""
     pairs = tree.select("kind", "node_id", "depth", F.posexplode("path").alias("_at", "ancestor_id"))
     return pairs.filter(F.col("_at") < F.col("depth")).select("kind", "ancestor_id", "node_id", (F.col("depth") - F.col("_at")).alias("distance"))
 
 
+def descendants(edges: DataFrame) -> DataFrame:
+    """``kind, ancestor_id, node_id, distance``: all descendants of every node over all (distinct) links, with the least
+    number of links between; a node is not its own descendant.
+
+    The frontier of pairs is joined with the links level by level until it is empty. A pair can be met twice only on ways
+    that pass a node with several parents, so only pairs found by such a way are compared with those met before.
+    """
+    spark = edges.sparkSession
+    base = checkpoint(edges.filter("parent <> child"))
+    both = base.select("kind", F.col("parent").alias("name")).union(base.select("kind", F.col("child").alias("name")))
+    names = checkpoint(both.distinct().withColumn("no", F.monotonically_increasing_id()))
+    merges = base.groupBy("kind", "child").agg((F.count(F.lit(1)) > 1).alias("_merges"))
+    numbered = base.join(merges, ["kind", "child"]).join(names.select("kind", F.col("name").alias("child"), F.col("no").alias("_to")), ["kind", "child"])
+    step = checkpoint(numbered.join(names.select("kind", F.col("name").alias("parent"), F.col("no").alias("_from")), ["kind", "parent"]).select("_from", "_to", "_merges"))
+    drop_checkpoint(base)
+    # One folder for all levels, read as one table, so that plans stay small however deep the hierarchy is.
+    folder, cols = shared_dir(spark), "a long, n long, m boolean"
+    new, distance = step.select(F.col("_from").alias("a"), F.col("_to").alias("n"), F.col("_merges").alias("m")), 0
+    while True:
+        distance += 1
+        new.write.parquet(f"{folder}/distance={distance}")
+        level = spark.read.schema(cols).parquet(f"{folder}/distance={distance}")
+        out = spark.read.schema(f"{cols}, distance int").parquet(folder)
+        if level.isEmpty():
+            break
+        on = level.join(step.withColumnRenamed("_from", "n"), "n").filter("_to <> a").select("a", F.col("_to").alias("n"), (F.col("m") | F.col("_merges")).alias("m"))
+        new = on.filter("NOT m").unionByName(on.filter("m").distinct().join(out.filter("m").select("a", "n"), ["a", "n"], "left_anti"))
+    named = out.join(names.select("kind", F.col("name").alias("ancestor_id"), F.col("no").alias("a")), "a")
+    return named.join(names.select(F.col("name").alias("node_id"), F.col("no").alias("n")), "n").select("kind", "ancestor_id", "node_id", "distance")
+
+
 def unreached(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """``kind, node_id`` of nodes that no root leads to: on cycles or below them."""
     nodes = edges.select("kind", F.col("parent").alias("node_id")).union(edges.select("kind", F.col("child").alias("node_id"))).distinct()

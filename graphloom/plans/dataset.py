@@ -50,8 +50,8 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """All ancestor–descendant pairs."""
-    return hierarchy.ancestor_pairs(checkpoint(hierarchy.hierarchy(_links(spark, d))))
+    """All ancestor–descendant pairs, over every parent of a node and on cycles too."""
+    return hierarchy.descendants(_links(spark, d))
 
 
 def p6_unreached(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from graphloom.operators.hierarchy import ancestor_pairs, cycle_nodes, hierarchy, links, unreached
+from graphloom.operators.hierarchy import ancestor_pairs, cycle_nodes, descendants, hierarchy, links, unreached
 
 
 def make(spark, rows):
@@ -41,6 +41,52 @@ def test_paths_and_descendants(spark):
     assert {x["node_id"] for x in unreached(make(spark, rows), tree).collect()} == {"u", "v", "w"}
 
 
+def brute_descendants(rows):
+    adj = {}
+    for a, b in rows:
+        if a is not None and b is not None:
+            adj.setdefault(a, set()).add(b)
+    out = set()
+    for s in adj:
+        seen, front, n = {s}, {s}, 0
+        while front:
+            n += 1
+            front = {y for x in front for y in adj.get(x, ())} - seen
+            seen |= front
+            out |= {(s, x, n) for x in front}
+    return out
+
+
+def pairs(frame):
+    got = [(x["ancestor_id"], x["node_id"], x["distance"]) for x in frame.collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_descendants_over_several_parents_and_cycles(spark):
+    rows = [("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("c", "d"), ("u", "v"), ("v", "u"), ("v", "w"), ("s", "s"), ("s", "t"), ("x", None), (None, "y")]
+    got = pairs(descendants(make(spark, rows)))
+    assert got == brute_descendants(rows)
+    assert got >= {("b", "c", 1), ("b", "d", 2), ("u", "w", 2), ("v", "u", 1)} and ("u", "u", 2) not in got
+
+
+def test_descendants_match_brute_force(spark):
+    for seed, nodes, n in ((1, 30, 28), (2, 20, 30)):
+        r = random.Random(seed)
+        rows = [(f"n{r.randrange(nodes)}", f"n{r.randrange(nodes)}") for _ in range(n)]
+        assert pairs(descendants(make(spark, rows))) == brute_descendants(rows)
+
+
+def test_descendants_keep_kinds_apart(spark):
+    rows = spark.createDataFrame([("k", "a", "b"), ("l", "b", "c"), ("l", "c", "d")], "kind string, source string, target string")
+    got = {(x["kind"], x["ancestor_id"], x["node_id"], x["distance"]) for x in descendants(links(rows)).collect()}
+    assert got == {("k", "a", "b", 1), ("l", "b", "c", 1), ("l", "c", "d", 1), ("l", "b", "d", 2)}
+
+
 def test_empty(spark):
     e = make(spark, []) if False else links(spark.createDataFrame([], "kind string, source string, target string"))
     assert cycle_nodes(e).count() == 0 and hierarchy(e).count() == 0
+
+
+def test_no_descendants_of_nothing(spark):
+    assert descendants(links(spark.createDataFrame([], "kind string, source string, target string"))).count() == 0
