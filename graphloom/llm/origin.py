@@ -101,25 +101,32 @@ def fingerprints(text: str, codes: _Codes) -> np.ndarray:
 
 
 def _lead(text: str) -> list[str]:
-    """The lines of the leading comments, without their marks; at most those before the first code."""
-    out, block, doc = [], False, None
-    for line in text[:6000].lstrip("﻿").split("\n"):
-        s = line.strip()
+    """The lines of the leading comments, without their marks: all before the first code."""
+    out, block, doc, at = [], False, None, 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        s, at = text[at:end].strip("﻿ \t\r\f\v"), end + 1
         if not s:
             continue
         if doc:
-            out.append(s.replace(doc, ""))
+            out.append(s.split(doc)[0])
             if doc in s:
                 doc = None
-        elif block:
-            out.append(_MARK.sub("", s.replace("*/", "")))
-            block = "*/" not in s
-        elif m := re.match(r"[rRuU]?(\"\"\"|''')", s):
-            out.append(s[m.end() :].replace(m[1], ""))
+        elif not block and (m := re.match(r"[rRuU]?(\"\"\"|''')", s)):
+            out.append(s[m.end() :].split(m[1])[0])
             doc = None if m[1] in s[m.end() :] else m[1]
-        elif s.startswith("/*"):
-            out.append(_MARK.sub("", s.split("*/")[0]))
-            block = "*/" not in s
+        elif block or s.startswith("/*"):
+            while block or s.startswith("/*"):
+                inside, closed, rest = s[0 if block else 2 :].partition("*/")
+                out.append(_MARK.sub("", inside if block else "/*" + inside))
+                block, s = not closed, rest.strip()
+                if block:
+                    break
+            if s.startswith("//"):
+                out.append(_MARK.sub("", s))
+            elif s:
+                break  # code behind the comment
         elif s.startswith(("//", "#!", "# ", "#-", "#=", "#@", "##")) or s == "#" or re.match(r"#\s*\w", s) and not re.match(r"#(?:include|define|if|pragma|\[)", s):
             out.append(_MARK.sub("", s))
         else:
@@ -129,7 +136,7 @@ def _lead(text: str) -> list[str]:
 
 def says(text: str, what: re.Pattern) -> bool:
     lead = [x for x in _lead(text) if x]
-    return any(what.match(x) for x in lead[:12]) and not any(_DENIED.search(x) for x in lead[:12])
+    return any(what.match(x) for x in lead) and not any(_DENIED.search(x) for x in lead)
 
 
 def generated_name(path: str) -> bool:

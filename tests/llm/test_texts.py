@@ -109,6 +109,20 @@ def test_notices():
     assert says("/* Snapshot of upstream xkit at 1.2 -- do not patch here */\n", _COPY) and not says("# Vendored copies of the table are listed but never touched.\n", _COPY)
 
 
+def test_notices_behind_long_licences():
+    licence = [f"Term {i} of the licence that this text comes under, in words of no interest here." for i in range(120)]
+    line, block = "".join(f"// {x}\n" for x in licence), "/*\n" + "".join(f" * {x}\n" for x in licence) + " */\n"
+    assert len(line) > 6000
+    for head in (line, block, line[:1100] + "\n"):
+        assert says(head + "// Code generated by x. DO NOT EDIT.\npackage a\n", _NOTICE)
+        assert says(head + "// Vendored from xkit\npackage a\n", _COPY)
+        assert not says("// Code generated by x.\n" + head + "// Since then maintained by hand.\npackage a\n", _NOTICE)
+        assert not says(head + "package a\n// Code generated by x. DO NOT EDIT.\n", _NOTICE)
+    assert not says("/*\n * Kit\n */ var a = 1\n// Code generated by x. DO NOT EDIT.\n", _NOTICE)
+    assert says("/* Kit */ /* Code generated by x. */\nvar a = 1\n", _NOTICE)
+    assert says("/* Code generated by x. */ var a = 'edit freely'\n", _NOTICE) and says("/*\n * Code generated by x.\n */ var a = 'edit freely'\n", _NOTICE)
+
+
 def test_forms_of_text():
     assert tabular("var x = []byte{\n" + "0x91, 0xe5, 0xd2,\n" * 60 + "}\n") and tabular('X = "' + "aGVsbG8gd29ybGQ" * 40 + '"\n') and not tabular(body(1))
     assert minified("function a(b){return b+1}" * 60) and not minified(body(1) * 5)
