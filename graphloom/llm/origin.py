@@ -65,6 +65,7 @@ _WEB = re.compile(r"\s*<(?:!doctype|html|\?xml|svg|head|body)\b", re.I)
 _SETTING = re.compile(r"^\s*(?:- )?[\w.\"'-]+\s*:(?:\s+\S.*)?$|^\s*- \S|^\s*#|^\s*$|^---$")
 _LITERAL = re.compile(r"0[xX][\da-fA-F]+|[-+]?\d[\d_.]*(?:[eE][-+]?\d+)?|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _ENCODED = re.compile(r"[\"'`](?:[A-Za-z0-9+/=_-]|\\n|\\\n|\\x[\da-f]{2}|\"\s*\+?\s*\")*[\"'`]")
+_LONG = re.compile(r"[^\n]{151}")
 _COMMENTS = re.compile(r"/\*[\s\S]*?\*/|^\s*(?://|#)[^\n]*", re.M)
 
 
@@ -144,8 +145,8 @@ def generated_name(path: str) -> bool:
 
 
 def minified(text: str) -> bool:
-    if len(text) < 100 * text.count("\n"):
-        return False
+    if len(text) < 300 or "/*" not in text and not _LONG.search(text):
+        return False  # no line of the code can be long; without block comments none grows when comments go
     body = _COMMENTS.sub("", text)
     lines = [x for x in body.split("\n") if x.strip()]
     if not lines or len(body) < 300:
@@ -156,10 +157,7 @@ def minified(text: str) -> bool:
 
 
 def tabular(text: str) -> bool:
-    """Mostly literals of a table, or one encoded string. Tables have a comma at least every 30 characters, encoded
-    strings few blanks; other texts are not looked at closely."""
-    if 30 * text.count(",") < len(text) and 8 * (text.count(" ") + text.count("\n")) > len(text):
-        return False
+    """Mostly literals of a table, or one encoded string."""
     body = _COMMENTS.sub("", text)
     size = len("".join(body.split()))
     if size < 200:

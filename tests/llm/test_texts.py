@@ -109,6 +109,14 @@ def test_notices():
     assert says("/* Snapshot of upstream xkit at 1.2 -- do not patch here */\n", _COPY) and not says("# Vendored copies of the table are listed but never touched.\n", _COPY)
 
 
+def test_form_is_judged_without_comments():
+    messages = "module.exports = {\n" + "".join(f'  "key {i}": "a message of many short words that goes on for a while",\n' for i in range(60)) + "}\n"
+    assert tabular(messages)
+    packed = "".join(f"var a{i}=b(c[{i}],d);" for i in range(40)) + "\n"
+    assert minified("// a line of the licence\n" * 80 + packed) and minified("/*\n" + " * a line of the licence\n" * 80 + " */\n" + packed)
+    assert not minified("// a line of the licence\n" * 80) and not minified("var a = 1\n" * 80)
+
+
 def test_notices_behind_long_licences():
     licence = [f"Term {i} of the licence that this text comes under, in words of no interest here." for i in range(120)]
     line, block = "".join(f"// {x}\n" for x in licence), "/*\n" + "".join(f" * {x}\n" for x in licence) + " */\n"
