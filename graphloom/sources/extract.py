@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, widen
-from .functions import _Lines, _Scan, functions
-from .lexing import LANGUAGE_OF, lex, normalise, python_tree
+from .functions import _Lines, _Scan, comment_lines, functions
+from .lexing import LANGUAGE_OF, normalise, python_tree, tokens_of
 
 MAX_BYTES = 1 << 20
 MAX_NESTING = 4096
@@ -156,12 +156,12 @@ def _python(path: str, text: str, out: _Out) -> None:
 
 
 def _scanned(path: str, lang: str, text: str, out: _Out) -> None:
-    tokens, error = lex(lang, text)
-    if error:
+    tokens = tokens_of(lang, text)
+    if error := tokens.unread():
         raise SyntaxError(error)
-    lines = _Lines(text, [(s, e) for k, s, e in tokens if k == "c"])
+    lines = comment_lines(text, tokens)
     scan = _Scan(lang, text, tokens, lines)
-    found = scan.run()
+    found = [f for f in scan.run() if f.has_body]
     owner_of: dict[str, str] = {}
     spans: list[tuple[int, int, str]] = []
     for q, name, kind, first, last, bases in sorted(scan.types, key=lambda t: (t[3], -t[4])):

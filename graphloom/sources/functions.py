@@ -7,17 +7,22 @@ import re
 from bisect import bisect_right
 from typing import NamedTuple
 
-from .lexing import lex, normalise, python_tree
+from .lexing import Tokens, normalise, python_tree, tokens_of
 
 
 class Function(NamedTuple):
+    """``start`` and ``end``: its place in the normalised text; ``types``: its parameters' types and its result's, without
+    blanks, qualifiers and names, by which overloads are told apart; ``has_body``: false for mere declarations."""
+
     qualified_name: str
     name: str
     signature: str
     params: int
+    types: str
     start_line: int
     end_line: int
-    code: str
+    start: int
+    end: int
     doc: str | None
     has_body: bool
 
@@ -49,61 +54,96 @@ class _Lines:
 
 
 def functions(lang: str, text: str) -> list[Function]:
-    """All named functions of a valid text, in order."""
+    """All named functions of a valid text that have a body, in order."""
+    return [f for f in declarations(lang, text)[0] if f.has_body]
+
+
+def declarations(lang: str, text: str) -> tuple[list[Function], list[tuple[str, str]]]:
+    """All named functions of a valid text, also those without a body, in order; and ``(type, base)`` of its types."""
     source = normalise(text)
-    tokens, _ = lex(lang, source)
-    lines = _Lines(source, [(s, e) for k, s, e in tokens if k == "c"])
-    return _python(source, lines) if lang == "python" else _Scan(lang, source, tokens, lines).run()
+    tokens = tokens_of(lang, source)
+    lines = comment_lines(source, tokens)
+    if lang == "python":
+        return _python(source, lines)
+    scan = _Scan(lang, source, tokens, lines)
+    return scan.run(), [(q, b) for q, _, _, _, _, bases in scan.types for _, b in bases]
+
 
+def comment_lines(source: str, tokens: Tokens) -> _Lines:
+    starts, ends = tokens.starts, tokens.ends
+    return _Lines(source, [(starts[m.start()], ends[m.start()]) for m in re.finditer("c", tokens.kinds)])
 
-def _python(source: str, lines: _Lines) -> list[Function]:
+
+_SUITES = ("body", "orelse", "finalbody", "handlers", "cases")
+
+
+def _python(source: str, lines: _Lines) -> tuple[list[Function], list[tuple[str, str]]]:
     tree = python_tree(source)
     if not isinstance(tree, ast.AST):
-        return []
-    rows = source.split("\n")
+        return [], []
+    rows, starts = source.split("\n"), lines.starts
     out: list[Function] = []
+    bases: list[tuple[str, str]] = []
 
     def add(node, name: str, scope: tuple[str, ...], first: int, doc: str | None, args: ast.arguments) -> None:
-        head = " ".join(x.strip() for x in rows[node.lineno - 1 : max(node.lineno, getattr(node, "body", [node])[0].lineno - 1 if isinstance(getattr(node, "body", None), list) else node.lineno)])
+        body = getattr(node, "body", None)
+        last = max(node.lineno, body[0].lineno - 1) if isinstance(body, list) else node.lineno
+        head = " ".join(x.strip() for x in rows[node.lineno - 1 : last])
         n = len(args.posonlyargs) + len(args.args) + len(args.kwonlyargs)
         above = lines.above(node.lineno)
         if first < node.lineno:
             above = above or lines.above(first)
         both = "\n".join(x for x in (above, doc) if x)
-        out.append(Function("::".join((*scope, name)), name, head[:400], n, first, node.end_lineno, "\n".join(rows[first - 1 : node.end_lineno]), both or None, True))
+        end = starts[node.end_lineno] - 1 if node.end_lineno < len(starts) else len(source)
+        out.append(Function("::".join((*scope, name)), name, head, n, str(n), first, node.end_lineno, starts[first - 1], end, both or None, True))
 
-    work: list[tuple[ast.AST, tuple[str, ...]]] = [(tree, ())]
+    work: list[tuple[list, tuple[str, ...]]] = [(tree.body, ())]
     while work:
-        node, scope = work.pop()
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                first = min([child.lineno, *(d.lineno for d in child.decorator_list)])
-                add(child, child.name, scope, first, ast.get_docstring(child, clean=False), child.args)
-                work.append((child, (*scope, child.name)))
-            elif isinstance(child, ast.ClassDef):
-                work.append((child, (*scope, child.name)))
-            elif isinstance(child, (ast.Assign, ast.AnnAssign)) and isinstance(child.value, ast.Lambda):
-                t = child.targets[0] if isinstance(child, ast.Assign) else child.target
-                if isinstance(t, ast.Name):
-                    add(child, t.id, scope, child.lineno, None, child.value.args)
-            elif not isinstance(child, ast.expr) or isinstance(child, ast.Lambda):
-                work.append((child, scope))
-    return sorted(out, key=lambda f: (f.start_line, f.qualified_name))
-
-
+        suite, scope = work.pop()
+        for x in suite:
+            kind = x.__class__
+            if kind in (ast.FunctionDef, ast.AsyncFunctionDef):
+                first = min([x.lineno, *(d.lineno for d in x.decorator_list)])
+                add(x, x.name, scope, first, ast.get_docstring(x, clean=False), x.args)
+                work.append((x.body, (*scope, x.name)))
+            elif kind is ast.ClassDef:
+                own = (*scope, x.name)
+                bases += [("::".join(own), b.id if isinstance(b, ast.Name) else b.attr) for b in x.bases if isinstance(b, (ast.Name, ast.Attribute))]
+                work.append((x.body, own))
+            elif kind in (ast.Assign, ast.AnnAssign):
+                if isinstance(x.value, ast.Lambda):
+                    t = x.targets[0] if kind is ast.Assign else x.target
+                    if isinstance(t, ast.Name):
+                        add(x, t.id, scope, x.lineno, None, x.value.args)
+            elif kind is not ast.Expr and kind is not ast.Return:
+                work += [(y, scope) for y in (getattr(x, k, None) for k in _SUITES) if isinstance(y, list)]
+    return sorted(out, key=lambda f: (f.start_line, f.qualified_name)), bases
+
+
+#: Words that something can begin with, and the signs that can follow the name of a method.
+_BEGINS = {
+    "javascript": frozenset("function class =>".split()),
+    "typescript": frozenset("function class interface namespace =>".split()),
+    "go": frozenset("type func".split()),
+    "java": frozenset("class interface enum record new ->".split()),
+    "rust": frozenset("fn impl trait mod struct enum let".split()),
+}
+_BEFORE = {"javascript": frozenset("(<?"), "typescript": frozenset("(<?"), "java": frozenset("(")}
 _OPEN, _CLOSE = frozenset("([{") | {"${"}, frozenset(")]}")
 _JS_NOT_METHOD = frozenset("if for while switch catch with return function new typeof await super import".split())
 _JS_MODIFIERS = frozenset("public private protected static readonly abstract override async declare get set accessor export default".split())
 _JAVA_MODIFIERS = frozenset("public private protected static final abstract native synchronized default strictfp transient volatile sealed".split())
+#: What a type's spelling does not count.
+_TYPE_NOISE = frozenset("readonly final dyn mut const struct".split())
 _RUST_HEAD = frozenset("pub async unsafe const extern default crate in".split())
 
 
 class _Scan:
     """Scopes by brackets; what a name before a bracket means depends on the language and the scope."""
 
-    def __init__(self, lang: str, text: str, tokens: list, lines: _Lines):
+    def __init__(self, lang: str, text: str, tokens: Tokens, lines: _Lines):
         self.lang, self.text, self.lines = lang, text, lines
-        self.tok = [(k, text[s:e] if k in "wp" else "", s, e) for k, s, e in tokens if k not in "clte"]
+        self.tok = [(k, w if k in "wp" else "", s, e) for k, w, s, e in zip(tokens.kinds, tokens.words, tokens.starts, tokens.ends) if k not in "clte"]
         self.match = self._match()
         self.out: list[Function] = []
         #: Declared types: qualified name, name, kind, first and last line, names of the bases.
@@ -111,27 +151,35 @@ class _Scan:
 
     def _match(self) -> dict[int, int]:
         stack, match = [], {}
-        for i, (k, w, _, _) in enumerate(self.tok):
-            if k == "p":
-                if w in _OPEN:
-                    stack.append(i)
-                elif w in _CLOSE and stack:
-                    j = stack.pop()
-                    match[j], match[i] = i, j
+        for i, (_, w, _, _) in enumerate(self.tok):
+            if w in _OPEN:
+                stack.append(i)
+            elif w in _CLOSE and stack:
+                j = stack.pop()
+                match[j], match[i] = i, j
         return match
 
     def run(self) -> list[Function]:
         body = {"javascript": self._ecma, "typescript": self._ecma, "go": self._go, "java": self._java, "rust": self._rust}[self.lang]
+        begins, before = _BEGINS[self.lang], _BEFORE.get(self.lang, frozenset())
         #: scope opened by the bracket at an index: (names, kind)
         self.scope: dict[int, tuple[tuple[str, ...], str]] = {}
-        stack: list[tuple[int, tuple[str, ...], str]] = [(len(self.tok), (), "top")]
-        for i, (k, w, _, _) in enumerate(self.tok):
-            while stack[-1][0] <= i and len(stack) > 1:
+        tok, match, scope = self.tok, self.match, self.scope
+        stack: list[tuple[int, tuple[str, ...], str]] = [(len(tok), (), "top")]
+        end, names, kind = stack[-1]
+        following = [w for _, w, _, _ in tok[1:]]
+        following.append("")
+        for i, ((k, w, _, _), after) in enumerate(zip(tok, following)):
+            opens = w in _OPEN
+            if not opens and w not in begins and after not in before:
+                continue
+            while end <= i and len(stack) > 1:
                 stack.pop()
-            _, names, kind = stack[-1]
-            if k == "p" and w in _OPEN and i in self.match:
-                names, kind = self.scope.get(i, (names, "block" if kind in ("class", "object") and w == "{" else "code" if kind != "top" or w != "{" else "code"))
-                stack.append((self.match[i], names, kind))
+                end, names, kind = stack[-1]
+            if opens and i in match:
+                names, kind = scope.get(i, (names, "block" if kind in ("class", "object") and w == "{" else "code"))
+                end = match[i]
+                stack.append((end, names, kind))
             else:
                 body(i, k, w, names, kind)
         return sorted(self.out, key=lambda f: (f.start_line, f.qualified_name))
@@ -186,21 +234,106 @@ class _Scan:
             top = decorated
             doc = doc or self.lines.above(self.line(decorated))
         close = self.match.get(paren, paren) if paren is not None else first
-        params = 0
-        if paren is not None and close is not None and close > paren + 1:
-            j, params = paren + 1, 1
-            while j < close:
-                if self.w(j) in _OPEN:
-                    j = self.match.get(j, j)
-                elif self.w(j) == "<":
-                    j = max(j, self.angle(j) - 1)
-                elif self.w(j) == "," and j + 1 < close:
-                    params += 1
-                j += 1
+        each = self._each(paren, close) if paren is not None else []
         e = self.tok[min(end, len(self.tok) - 1)][3]
+        stop = body if body is not None else min(end, len(self.tok) - 1) + 1
         sig = " ".join(self.text[start : self.tok[body][2] if body is not None else e].split())
         s = self.tok[top][2]
-        self.out.append(Function("::".join((*names, name)), name, sig[:400], params, self.line(top), self.lines.line(max(s, e - 1)), self.text[s:e], doc, body is not None))
+        types = f"{','.join(self._types(each))}:{self._result(first, paren, close, stop)}"
+        self.out.append(Function("::".join((*names, name)), name, sig, len(each), types, self.line(top), self.lines.line(max(s, e - 1)), s, e, doc, body is not None))
+
+    def _each(self, paren: int, close: int) -> list[tuple[int, int]]:
+        """Where each parameter between the brackets begins and ends."""
+        out, j, at = [], paren + 1, paren + 1
+        while j < close:
+            w = self.w(j)
+            if w in _OPEN:
+                j = self.match.get(j, j)
+            elif w == "<":
+                j = max(j, self.angle(j) - 1)
+            elif w == ",":
+                out.append((at, j))
+                at = j + 1
+            j += 1
+        return [*out, (at, close)] if at < close else out
+
+    def _spell(self, a: int, b: int) -> str:
+        """A type without blanks, without the path before its name, without lifetimes."""
+        out: list[str] = []
+        for j in range(max(a, 0), b):
+            k, w = self.tok[j][:2]
+            if k == "u" or w in _TYPE_NOISE:
+                continue
+            if w in (".", "::") and out and self.k(j + 1) == "w":
+                out.pop()
+            else:
+                out.append(w or self.text[self.tok[j][2] : self.tok[j][3]])
+        return "".join(out)
+
+    def _types(self, each: list[tuple[int, int]]) -> list[str]:
+        """The parameters' types; empty where none is given."""
+        if self.lang == "java":
+            out = []
+            for a, b in each:
+                while a < b and self.w(a) == "@":
+                    a += 2
+                    while self.w(a) == ".":
+                        a += 2
+                    a = self.match.get(a, a) + 1 if self.w(a) == "(" else a
+                out.append(self._spell(a, b - 1))
+            return out
+        if self.lang == "go":
+            own = [(a, b, self.k(a) == "w" and b > a + 1 and self.w(a + 1) != ".") for a, b in each]
+            if not any(n for _, _, n in own):
+                return [self._spell(a, b) for a, b, _ in own]
+            out, last = [], ""
+            for a, b, named in reversed(own):
+                last = self._spell(a + 1, b) if named else last
+                out.append(last)
+            return out[::-1]
+        out = []
+        for a, b in each:
+            colon = equals = None
+            j = a
+            while j < b:
+                w = self.w(j)
+                if w in _OPEN:
+                    j = self.match.get(j, j)
+                elif w == ":" and colon is None:
+                    colon = j
+                elif w == "=" and equals is None:
+                    equals = j
+                j += 1
+            out.append(self._spell(colon + 1, equals or b) if colon is not None else "")
+        return out
+
+    def _result(self, first: int, paren: int | None, close: int, stop: int) -> str:
+        """The result's type; empty where none is given."""
+        if paren is None:
+            return ""
+        if self.lang == "java":
+            a, b = first, paren - 1
+            while self.w(a) in _JAVA_MODIFIERS:
+                a += 1
+            return self._spell(self.angle(a), b)
+        a = close + 1
+        if self.lang == "go":
+            return self._spell(a, stop)
+        if self.w(a) not in (":", "->"):
+            return ""
+        b = a + 1
+        while b < stop and self.w(b) not in ("where", ";", "=>"):
+            b = self.match.get(b, b) + 1 if self.w(b) in _OPEN else b + 1
+        return self._spell(a + 1, min(b, stop))
+
+    def declare(self, name: str, names: tuple[str, ...], first: int, paren: int, decorated: int | None = None) -> None:
+        """A declaration without a body: to the semicolon, or the end of the line on which its result stands."""
+        end = self.match[paren]
+        line = self.line(end)
+        while end + 1 < len(self.tok) and self.w(end + 1) not in ((";",) if self.lang in ("java", "rust") else (";", ",")) and self.w(end + 1) not in _CLOSE and (self.line(end + 1) == line or self.lang in ("java", "rust")):
+            end = self.match.get(end + 1, end + 1)
+            line = self.lines.line(self.tok[end][3] - 1)
+        self.add(name, names, first, end, paren, None, decorated)
 
     def add_type(self, i: int, name: str, names: tuple[str, ...], kind: str, body: int, bases: list[tuple[str, str]]) -> None:
         self.types.append(("::".join((*names, name)), name, kind, self.line(i), self.line(self.match.get(body, body)), bases))
@@ -246,6 +379,9 @@ class _Scan:
                 bound = self._bound(first)
                 body = self.body_after(self.match[p] + 1)
                 name, at = (bound if bound else (own, self._exported(first)))
+                if self.lang == "typescript" and own and not bound and self._no_body(p):
+                    self.declare(own, names, at, p)
+                    return
                 if name and body is not None:
                     self.add(name, names, at, self.match[body], p, body)
                 if body is not None:
@@ -281,6 +417,13 @@ class _Scan:
             return
         body = self.body_after(self.match[p] + 1, (";", ",", "=>", "=") if self.lang == "javascript" else (";", ",", "="))
         nxt = self.w(self.match[p] + 1)
+        if self.lang == "typescript" and kind in ("class", "interface") and self._no_body(p):
+            first = i
+            while self.w(first - 1) in _JS_MODIFIERS:
+                first -= 1
+            if kind == "interface" or nxt in (":", ";"):
+                self.declare(w, names, first, p, self._decorators(first))
+            return
         if body is not None and not (body == self.match[p] + 1 or nxt == ":"):
             return
         if body is None:
@@ -299,6 +442,23 @@ class _Scan:
         self.add(name, names, first, self.match[body], p, body, self._decorators(first))
         self.scope[body] = ((*names, name), "code")
 
+    def _no_body(self, p: int) -> bool:
+        """Whether a TypeScript head whose parameters open at ``p`` ends without a body: with a semicolon, with its line,
+        or with the surrounding bracket."""
+        j = self.match[p] + 1
+        if self.w(j) == "{":
+            return False
+        if self.w(j) == ":":
+            j += 1
+            while self.w(j) in ("{", "[", "(", "|", "&") or self.k(j) in "wsn" and self.k(j) or self.w(j) in ("<", ".", "=>", ">", "?"):
+                if self.w(j) == "{" and self.w(j - 1) not in (":", "|", "&", "=>"):
+                    return False
+                nxt = self.angle(j) if self.w(j) == "<" else self.match.get(j, j) + 1 if self.w(j) in _OPEN else j + 1
+                if self.line(min(nxt, len(self.tok) - 1)) != self.line(nxt - 1) and self.w(nxt) not in ("|", "&", "{", "=>", "."):
+                    return True
+                j = nxt if nxt > j else j + 1
+        return self.w(j) in (";", "", "}") or self.line(min(j, len(self.tok) - 1)) != self.line(j - 1) and self.w(j) != "{"
+
     def _exported(self, i: int) -> int:
         while self.w(i - 1) in ("export", "default", "declare", "async"):
             i -= 1
@@ -379,6 +539,12 @@ class _Scan:
     def _go(self, i: int, k: str, w: str, names: tuple[str, ...], kind: str) -> None:
         if w == "type" and k == "w" and self.k(i + 1) == "w" and self.w(i + 2) in ("struct", "interface") and i + 3 in self.match:
             self.add_type(i, self.w(i + 1), names, self.w(i + 2), i + 3, [])
+            if self.w(i + 2) == "interface":
+                j, end = i + 4, self.match[i + 3]
+                while j < end:
+                    if self.k(j) == "w" and self.w(j + 1) == "(" and j + 1 in self.match and self.line(j - 1) != self.line(j):
+                        self.declare(self.w(j), (*names, self.w(i + 1)), j, j + 1)
+                    j = self.match.get(j, j) + 1 if self.w(j) in _OPEN else j + 1
         if w != "func" or k != "w":
             return
         j, receiver = i + 1, None
@@ -471,6 +637,8 @@ class _Scan:
             after = self.match[p] + 1
             body = self.body_after(after, (";", "="))
             if body is None:
+                if self.w(after) in (";", "throws") and first != i:
+                    self.declare(w, names, first, p, self._decorators(first))
                 return
             if self.w(after) not in ("{", "throws", "[", "@"):
                 return
@@ -536,6 +704,8 @@ class _Scan:
             if body is not None:
                 self.scope[body] = ((*names, name), "code")
                 self.add(name, names, first, self.match[body], p, body, self._attributes(first))
+            elif kind == "class":
+                self.declare(name, names, first, p, self._attributes(first))
         elif w == "impl" and kind in ("top", "code", "mod", "block"):
             j = self.angle(i + 1)
             body = self.body_after(j)
