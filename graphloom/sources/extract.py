@@ -191,11 +191,12 @@ def _scanned(path: str, lang: str, text: str, out: _Out) -> None:
     spans.sort(key=lambda x: (x[0], -x[1]))
     open_: list[tuple[int, str]] = []
     k = 0
-    tok = scan.tok
+    words, kinds = scan.word, scan.kind
     skip = _CALL_SKIP | _CALL_SKIP_OF.get(lang, frozenset())
-    for j, (kind, w, s, _) in enumerate(tok):
-        if kind != "w" or w in skip or j + 1 >= len(tok) or tok[j + 1][1] != "(" or (j and tok[j - 1][1] in ("function", "fn", "func", "class")):
+    for j, w in enumerate(words):
+        if kinds[j] != "w" or w in skip or scan.w(j + 1) != "(" or scan.w(j - 1) in ("function", "fn", "func", "class"):
             continue
+        s = scan.start[j]
         line = lines.line(s)
         while k < len(spans) and spans[k][0] <= line:
             open_.append((spans[k][1], spans[k][2]))
@@ -205,13 +206,13 @@ def _scanned(path: str, lang: str, text: str, out: _Out) -> None:
         inside = [o for o in open_ if o[0] >= line]
         source = inside[-1][1] if inside else out.file
         a, name = j, w
-        while a >= 2 and tok[a - 1][1] in (".", "::", "?.") and tok[a - 2][0] == "w":
-            name = tok[a - 2][1] + ("::" if tok[a - 1][1] == "::" else ".") + name
+        while a >= 2 and words[a - 1] in (".", "::", "?.") and kinds[a - 2] == "w":
+            name = words[a - 2] + ("::" if words[a - 1] == "::" else ".") + name
             a -= 2
         close = scan.match.get(j + 1)
-        if a == j and close is not None and any(x <= line <= x + 4 for x in heads.get(w, ())) and tok[min(close + 1, len(tok) - 1)][1] in ("{", ":", "->", "throws", "=>", "where"):
+        if a == j and close is not None and any(x <= line <= x + 4 for x in heads.get(w, ())) and words[min(close + 1, scan.size - 1)] in ("{", ":", "->", "throws", "=>", "where"):
             continue  # the head of a definition
-        out.ref(source, name, "instantiates" if a and tok[a - 1][1] == "new" else "calls", line, s - lines.starts[line - 1])
+        out.ref(source, name, "instantiates" if a and words[a - 1] == "new" else "calls", line, s - lines.starts[line - 1])
 
 
 def _in_import_block(text: str, at: int) -> bool:

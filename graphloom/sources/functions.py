@@ -5,9 +5,10 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_right
+from itertools import accumulate, compress, repeat
 from typing import NamedTuple
 
-from .lexing import Tokens, normalise, python_tree, tokens_of
+from .lexing import Tokens, normalise, tokens_of
 
 
 class Function(NamedTuple):
@@ -28,29 +29,38 @@ class Function(NamedTuple):
 
 
 class _Lines:
-    """Line numbers (from 1) and the comment that ends on a given line."""
+    """Line numbers (from 1) and the comment that ends on a given line. ``comments``: first and last places, in order."""
 
     def __init__(self, text: str, comments: list[tuple[int, int]]):
         self.text = text
-        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.by_end: dict[int, tuple[int, int, bool]] = {}
-        for s, e in comments:
-            first = self.line(s)
-            if not text[self.starts[first - 1] : s].strip():
-                self.by_end[self.line(e - 1)] = (first, s, text[s : s + 2] != "/*")
+        self.starts = list(accumulate(map((1).__add__, map(len, text.split("\n"))), initial=0))[:-1]
+        self.comments, self.ends = comments, [e for _, e in comments]
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at)
 
+    def ending(self, line: int) -> int | None:
+        """The last comment that ends on the line and has nothing before it on its first line."""
+        if line < 1:
+            return None
+        at, text = self.starts[line - 1], self.text
+        i = bisect_right(self.ends, self.starts[line] if line < len(self.starts) else len(text)) - 1
+        while i >= 0 and self.ends[i] > at:
+            s = self.comments[i][0]
+            if not text[text.rfind("\n", 0, s) + 1 : s].strip():
+                return i
+            i -= 1
+        return None
+
     def above(self, line: int) -> str | None:
         """The comment that ends on the line before; line comments one below the other are one comment."""
-        c = self.by_end.get(line - 1)
-        if c is None:
+        i = self.ending(line - 1)
+        if i is None:
             return None
-        first, s, single = c
-        while single and (up := self.by_end.get(first - 1)) and up[2]:
-            first, s = up[0], up[1]
-        return self.text[s : self.starts[line - 1]]
+        text, (s, _) = self.text, self.comments[i]
+        while text[s : s + 2] != "/*" and (up := self.ending(self.line(s) - 1)) is not None and text[self.comments[up][0] : self.comments[up][0] + 2] != "/*":
+            s = self.comments[up][0]
+        return text[s : self.starts[line - 1]]
 
 
 def functions(lang: str, text: str) -> list[Function]:
@@ -64,7 +74,7 @@ def declarations(lang: str, text: str) -> tuple[list[Function], list[tuple[str,
     tokens = tokens_of(lang, source)
     lines = comment_lines(source, tokens)
     if lang == "python":
-        return _python(source, lines)
+        return _Python(source, tokens, lines).run()
     scan = _Scan(lang, source, tokens, lines)
     return scan.run(), [(q, b) for q, _, _, _, _, bases in scan.types for _, b in bases]
 
@@ -74,53 +84,190 @@ def comment_lines(source: str, tokens: Tokens) -> _Lines:
     return _Lines(source, [(starts[m.start()], ends[m.start()]) for m in re.finditer("c", tokens.kinds)])
 
 
-_SUITES = ("body", "orelse", "finalbody", "handlers", "cases")
-
-
-def _python(source: str, lines: _Lines) -> tuple[list[Function], list[tuple[str, str]]]:
-    tree = python_tree(source)
-    if not isinstance(tree, ast.AST):
-        return [], []
-    rows, starts = source.split("\n"), lines.starts
-    out: list[Function] = []
-    bases: list[tuple[str, str]] = []
-
-    def add(node, name: str, scope: tuple[str, ...], first: int, doc: str | None, args: ast.arguments) -> None:
-        body = getattr(node, "body", None)
-        last = max(node.lineno, body[0].lineno - 1) if isinstance(body, list) else node.lineno
-        head = " ".join(x.strip() for x in rows[node.lineno - 1 : last])
-        n = len(args.posonlyargs) + len(args.args) + len(args.kwonlyargs)
-        above = lines.above(node.lineno)
-        if first < node.lineno:
-            above = above or lines.above(first)
-        both = "\n".join(x for x in (above, doc) if x)
-        end = starts[node.end_lineno] - 1 if node.end_lineno < len(starts) else len(source)
-        out.append(Function("::".join((*scope, name)), name, head, n, str(n), first, node.end_lineno, starts[first - 1], end, both or None, True))
-
-    work: list[tuple[list, tuple[str, ...]]] = [(tree.body, ())]
-    while work:
-        suite, scope = work.pop()
-        for x in suite:
-            kind = x.__class__
-            if kind in (ast.FunctionDef, ast.AsyncFunctionDef):
-                first = min([x.lineno, *(d.lineno for d in x.decorator_list)])
-                add(x, x.name, scope, first, ast.get_docstring(x, clean=False), x.args)
-                work.append((x.body, (*scope, x.name)))
-            elif kind is ast.ClassDef:
-                own = (*scope, x.name)
-                bases += [("::".join(own), b.id if isinstance(b, ast.Name) else b.attr) for b in x.bases if isinstance(b, (ast.Name, ast.Attribute))]
-                work.append((x.body, own))
-            elif kind in (ast.Assign, ast.AnnAssign):
-                if isinstance(x.value, ast.Lambda):
-                    t = x.targets[0] if kind is ast.Assign else x.target
-                    if isinstance(t, ast.Name):
-                        add(x, t.id, scope, x.lineno, None, x.value.args)
-            elif kind is not ast.Expr and kind is not ast.Return:
-                work += [(y, scope) for y in (getattr(x, k, None) for k in _SUITES) if isinstance(y, list)]
-    return sorted(out, key=lambda f: (f.start_line, f.qualified_name)), bases
-
-
-#: Words that something can begin with, and the signs that can follow the name of a method.
+class _Block(NamedTuple):
+    """A definition of Python whose suite is open: its indentation and name, and what its function is made of."""
+
+    indent: int
+    name: str
+    made: tuple | None
+
+
+class _Python:
+    """Definitions by logical lines: brackets folded, suites by indentation."""
+
+    def __init__(self, source: str, tokens: Tokens, lines: _Lines):
+        self.source, self.lines, self.words, self.kinds = source, lines, tokens.words, tokens.kinds
+        self.starts, self.ends = tokens.starts, tokens.ends
+        self.out: list[Function] = []
+        self.bases: list[tuple[str, str]] = []
+        self.open: list[_Block] = []
+        #: The definition whose documentation may come next, first token of the decorators, end of the last statement.
+        self.wants: list[str] | None = None
+        self.decorators: int | None = None
+        self.last = 0
+
+    def run(self) -> tuple[list[Function], list[tuple[str, str]]]:
+        words, kinds, depth, at = self.words, self.kinds, 0, 0
+        width = len(self.source[: self.starts[0]].replace("\f", "").expandtabs(8)) if words else 0
+        for m in _PY_MARKS.finditer(kinds):
+            i = m.start()
+            if kinds[i] == "p":
+                depth += (words[i] in _OPEN) - (words[i] in _CLOSE)
+            elif depth <= 0:
+                self._line(at, i, width)
+                at, width = i + 1, len(words[i][1:].replace("\f", "").expandtabs(8))
+        self._line(at, len(words), width)
+        self._close(-1)
+        return sorted(self.out, key=lambda f: (f.start_line, f.qualified_name)), self.bases
+
+    def _close(self, width: int) -> None:
+        while self.open and self.open[-1].indent >= width:
+            made = self.open.pop().made
+            if made:
+                self._add(*made, self.last)
+
+    def _line(self, a: int, b: int, width: int) -> None:
+        kinds, words = self.kinds, self.words
+        while a < b and kinds[a] in "cx":
+            a += 1
+        while b > a and kinds[b - 1] in "cx":
+            b -= 1
+        if a >= b:
+            return
+        wants, self.wants = self.wants, None
+        if wants is not None and width > self.open[-1].indent and kinds[a] == "s":
+            wants.append(self._docstring(a, b))
+        self._close(width)
+        w = words[a]
+        if w == "@":
+            self.decorators = a if self.decorators is None else self.decorators
+        else:
+            first, self.decorators = a if self.decorators is None else self.decorators, None
+            if w == "def" or w == "async" and words[a + 1] == "def":
+                self._def(a, b, width, first)
+            elif w == "class":
+                colon = self._colon(a + 2, b)
+                scope = "::".join([*(x.name for x in self.open), words[a + 1]])
+                self.bases += [(scope, x) for x in self._named(a + 2, colon)]
+                self.open.append(_Block(width, words[a + 1], None))
+                if colon + 1 < b:
+                    self._bound(colon + 1, b)
+            else:
+                self._bound(a, b)
+        self.last = self.ends[b - 1]
+
+    def _bound(self, a: int, b: int) -> None:
+        """``name = lambda ...``, also annotated."""
+        words = self.words
+        if self.kinds[a] != "w" or a + 1 >= b or words[a + 1] not in ("=", ":") or "lambda" not in words[a:b]:
+            return
+        at = words.index("lambda", a, b)
+        depth = 0
+        for i in range(a, at):
+            depth += (words[i] in "([{") - (words[i] in ")]}")
+        if depth or words[at - 1] != "=" or any(w not in ("=", ":", ".", ",", "|") and self.kinds[i] != "w" and w not in "[]" for i, w in enumerate(words[a:at], a)):
+            return
+        colon = self._colon(at + 1, b)
+        stop, i = b, colon + 1
+        while i < b:
+            depth += (words[i] in "([{") - (words[i] in ")]}")
+            if not depth and words[i] in (",", ";"):
+                if words[i] == ",":
+                    return
+                stop = i
+                break
+            i += 1
+        self._add(words[a], tuple(x.name for x in self.open), a, a, None, self._parameters(at + 1, colon), b, self.ends[stop - 1])
+
+    def _def(self, a: int, b: int, width: int, first: int) -> None:
+        words = self.words
+        at = a + 2 if words[a] == "async" else a + 1
+        colon = self._colon(at + 1, b)
+        paren = words.index("(", at + 1) if words[at + 1] != "[" else self._close_of(at + 1) + 1
+        doc: list[str] = []
+        made = (words[at], tuple(x.name for x in self.open), a, first, doc, self._parameters(paren + 1, self._close_of(paren)), colon)
+        self.open.append(_Block(width, words[at], made))
+        if colon + 1 < b:
+            if self.kinds[colon + 1] == "s":
+                doc.append(self._docstring(colon + 1, b))
+        else:
+            self.wants = doc
+
+    def _colon(self, a: int, b: int) -> int:
+        """The colon that ends a head."""
+        depth, words = 0, self.words
+        for i in range(a, b):
+            w = words[i]
+            depth += (w in _OPEN) - (w in _CLOSE)
+            if w == ":" and not depth:
+                return i
+        return b
+
+    def _close_of(self, a: int) -> int:
+        depth = 0
+        for i in range(a, len(self.words)):
+            w = self.words[i]
+            depth += (w in _OPEN) - (w in _CLOSE)
+            if not depth:
+                return i
+        return len(self.words)
+
+    def _parts(self, a: int, b: int) -> list[list[int]]:
+        out, depth = [[]], 0
+        for i in range(a, b):
+            w = self.words[i]
+            if self.kinds[i] in "lcx":
+                continue
+            depth += (w in _OPEN) - (w in _CLOSE)
+            if w == "," and not depth:
+                out.append([])
+            else:
+                out[-1].append(i)
+        return [x for x in out if x]
+
+    def _parameters(self, a: int, b: int) -> int:
+        return sum(self.words[x[0]] not in ("*", "**", "/") for x in self._parts(a, b))
+
+    def _named(self, a: int, b: int) -> list[str]:
+        """Names in a list of bases."""
+        open_ = next((i for i in range(a, b) if self.words[i] == "("), None)
+        if open_ is None:
+            return []
+        parts = self._parts(open_ + 1, self._close_of(open_))
+        return [self.words[x[-1]] for x in parts if all(self.kinds[i] == "w" if n % 2 == 0 else self.words[i] == "." for n, i in enumerate(x)) and len(x) % 2]
+
+    def _docstring(self, a: int, b: int) -> str:
+        """The value of a statement that is nothing but string literals, else nothing."""
+        parts = []
+        for i in range(a, b):
+            if self.words[i] == ";":
+                break
+            if self.kinds[i] in "lcx":
+                continue
+            if self.kinds[i] != "s" or set(re.match(r"\w*", self.words[i])[0].lower()) & set("bft"):
+                return ""
+            parts.append(self.words[i])
+        if len(parts) == 1 and parts[0][:3] in ('"""', "'''") and "\\" not in parts[0]:
+            return parts[0][3:-3]
+        try:
+            return "".join(map(ast.literal_eval, parts))
+        except (SyntaxError, ValueError):
+            return ""
+
+    def _add(self, name: str, scope: tuple[str, ...], at: int, first: int, doc: list[str] | None, params: int, colon: int, end: int) -> None:
+        lines, starts = self.lines, self.lines.starts
+        line, top = lines.line(self.starts[at]), lines.line(self.starts[first])
+        above = lines.above(line)
+        if top < line:
+            above = above or lines.above(top)
+        both = "\n".join(x for x in (above, *(doc or ())) if x)
+        last = lines.line(end - 1)
+        stop = starts[last] - 1 if last < len(starts) else len(self.source)
+        sig = " ".join(self.source[self.starts[at] : self.ends[colon - 1] if doc is not None else end].split())
+        self.out.append(Function("::".join((*scope, name)), name, sig, params, str(params), top, last, starts[top - 1], stop, both or None, True))
+
+
+#: Words that something can begin with.
 _BEGINS = {
     "javascript": frozenset("function class =>".split()),
     "typescript": frozenset("function class interface namespace =>".split()),
@@ -128,8 +275,15 @@ _BEGINS = {
     "java": frozenset("class interface enum record new ->".split()),
     "rust": frozenset("fn impl trait mod struct enum let".split()),
 }
-_BEFORE = {"javascript": frozenset("(<?"), "typescript": frozenset("(<?"), "java": frozenset("(")}
 _OPEN, _CLOSE = frozenset("([{") | {"${"}, frozenset(")]}")
+#: A letter for each token that matters: ``o`` and ``O`` opening brackets, ``c`` closing ones, ``b`` beginnings, ``<`` what
+#: may follow a method's name.
+_CODES = {lang: {**dict.fromkeys("<?", 60), **dict.fromkeys(("[", "{", "${"), 79), "(": 111, **dict.fromkeys(")]}", 99), **dict.fromkeys(own, 98)} for lang, own in _BEGINS.items()}
+_BRACKETS = re.compile(b"[oOc]")
+_CANDIDATES = {"java": re.compile(rb"[oOb]|.(?=o)", re.S), "go": re.compile(b"[oOb]"), "rust": re.compile(b"[oOb]")}
+_CANDIDATES["javascript"] = _CANDIDATES["typescript"] = re.compile(rb"[oOb]|.(?=[o<])", re.S)
+_PY_MARKS = re.compile("[pl]")
+_IS_CODE = bytes(chr(i) not in "clte" for i in range(256))
 _JS_NOT_METHOD = frozenset("if for while switch catch with return function new typeof await super import".split())
 _JS_MODIFIERS = frozenset("public private protected static readonly abstract override async declare get set accessor export default".split())
 _JAVA_MODIFIERS = frozenset("public private protected static final abstract native synchronized default strictfp transient volatile sealed".split())
@@ -143,7 +297,13 @@ class _Scan:
 
     def __init__(self, lang: str, text: str, tokens: Tokens, lines: _Lines):
         self.lang, self.text, self.lines = lang, text, lines
-        self.tok = [(k, w if k in "wp" else "", s, e) for k, w, s, e in zip(tokens.kinds, tokens.words, tokens.starts, tokens.ends) if k not in "clte"]
+        kinds = tokens.kinds.encode()
+        code = kinds.translate(_IS_CODE)
+        #: Texts, kinds, first and last places of the tokens but comments, line ends and templates' texts.
+        self.word, self.start, self.end = (list(compress(x, code)) for x in (tokens.words, tokens.starts, tokens.ends))
+        self.kind = kinds.translate(None, b"clte").decode()
+        self.size = len(self.word)
+        self.codes = bytes(map(_CODES[lang].get, self.word, repeat(46)))
         self.match = self._match()
         self.out: list[Function] = []
         #: Declared types: qualified name, name, kind, first and last line, names of the bases.
@@ -151,55 +311,51 @@ class _Scan:
 
     def _match(self) -> dict[int, int]:
         stack, match = [], {}
-        for i, (_, w, _, _) in enumerate(self.tok):
-            if w in _OPEN:
+        for m in _BRACKETS.finditer(self.codes):
+            i = m.start()
+            if self.codes[i] != 99:
                 stack.append(i)
-            elif w in _CLOSE and stack:
+            elif stack:
                 j = stack.pop()
                 match[j], match[i] = i, j
         return match
 
     def run(self) -> list[Function]:
         body = {"javascript": self._ecma, "typescript": self._ecma, "go": self._go, "java": self._java, "rust": self._rust}[self.lang]
-        begins, before = _BEGINS[self.lang], _BEFORE.get(self.lang, frozenset())
         #: scope opened by the bracket at an index: (names, kind)
         self.scope: dict[int, tuple[tuple[str, ...], str]] = {}
-        tok, match, scope = self.tok, self.match, self.scope
-        stack: list[tuple[int, tuple[str, ...], str]] = [(len(tok), (), "top")]
+        match, scope, words, kinds, codes = self.match, self.scope, self.word, self.kind, self.codes
+        stack: list[tuple[int, tuple[str, ...], str]] = [(self.size, (), "top")]
         end, names, kind = stack[-1]
-        following = [w for _, w, _, _ in tok[1:]]
-        following.append("")
-        for i, ((k, w, _, _), after) in enumerate(zip(tok, following)):
-            opens = w in _OPEN
-            if not opens and w not in begins and after not in before:
-                continue
+        for m in _CANDIDATES[self.lang].finditer(codes):
+            i = m.start()
             while end <= i and len(stack) > 1:
                 stack.pop()
                 end, names, kind = stack[-1]
-            if opens and i in match:
-                names, kind = scope.get(i, (names, "block" if kind in ("class", "object") and w == "{" else "code"))
+            if codes[i] | 32 == 111 and i in match:
+                names, kind = scope.get(i, (names, "block" if kind in ("class", "object") and words[i] == "{" else "code"))
                 end = match[i]
                 stack.append((end, names, kind))
             else:
-                body(i, k, w, names, kind)
+                body(i, kinds[i], words[i], names, kind)
         return sorted(self.out, key=lambda f: (f.start_line, f.qualified_name))
 
     # -- help ------------------------------------------------------------------------------------------------------
     def w(self, i: int) -> str:
-        return self.tok[i][1] if 0 <= i < len(self.tok) else ""
+        return self.word[i] if 0 <= i < self.size else ""
 
     def k(self, i: int) -> str:
-        return self.tok[i][0] if 0 <= i < len(self.tok) else ""
+        return self.kind[i] if 0 <= i < self.size else ""
 
     def line(self, i: int) -> int:
-        return self.lines.line(self.tok[i][2])
+        return self.lines.line(self.start[i])
 
     def angle(self, i: int) -> int:
         """After type parameters that start at ``i``, or ``i``."""
         if self.w(i) != "<":
             return i
         depth, j = 0, i
-        while j < len(self.tok) and j < i + 400:
+        while j < self.size and j < i + 400:
             w = self.w(j)
             if w == "<":
                 depth += 1
@@ -216,7 +372,7 @@ class _Scan:
 
     def body_after(self, i: int, stops: tuple[str, ...] = (";",)) -> int | None:
         """The curly bracket that opens the body of a head that goes on at ``i``."""
-        while i < len(self.tok):
+        while i < self.size:
             w = self.w(i)
             if w == "{":
                 return i if i in self.match else None
@@ -227,7 +383,7 @@ class _Scan:
 
     def add(self, name: str, names: tuple[str, ...], first: int, end: int, paren: int | None, body: int | None, decorated: int | None = None) -> None:
         """``first``: token that begins the definition, ``decorated``: token that begins its decorators."""
-        start = self.tok[first][2]
+        start = self.start[first]
         doc = self.lines.above(self.lines.line(start))
         top = first
         if decorated is not None and decorated < first:
@@ -235,10 +391,10 @@ class _Scan:
             doc = doc or self.lines.above(self.line(decorated))
         close = self.match.get(paren, paren) if paren is not None else first
         each = self._each(paren, close) if paren is not None else []
-        e = self.tok[min(end, len(self.tok) - 1)][3]
-        stop = body if body is not None else min(end, len(self.tok) - 1) + 1
-        sig = " ".join(self.text[start : self.tok[body][2] if body is not None else e].split())
-        s = self.tok[top][2]
+        e = self.end[min(end, self.size - 1)]
+        stop = body if body is not None else min(end, self.size - 1) + 1
+        sig = " ".join(self.text[start : self.start[body] if body is not None else e].split())
+        s = self.start[top]
         types = f"{','.join(self._types(each))}:{self._result(first, paren, close, stop)}"
         self.out.append(Function("::".join((*names, name)), name, sig, len(each), types, self.line(top), self.lines.line(max(s, e - 1)), s, e, doc, body is not None))
 
@@ -261,13 +417,13 @@ class _Scan:
         """A type without blanks, without the path before its name, without lifetimes."""
         out: list[str] = []
         for j in range(max(a, 0), b):
-            k, w = self.tok[j][:2]
-            if k == "u" or w in _TYPE_NOISE:
+            w = self.word[j]
+            if self.kind[j] == "u" or w in _TYPE_NOISE:
                 continue
             if w in (".", "::") and out and self.k(j + 1) == "w":
                 out.pop()
             else:
-                out.append(w or self.text[self.tok[j][2] : self.tok[j][3]])
+                out.append(w)
         return "".join(out)
 
     def _types(self, each: list[tuple[int, int]]) -> list[str]:
@@ -330,9 +486,9 @@ class _Scan:
         """A declaration without a body: to the semicolon, or the end of the line on which its result stands."""
         end = self.match[paren]
         line = self.line(end)
-        while end + 1 < len(self.tok) and self.w(end + 1) not in ((";",) if self.lang in ("java", "rust") else (";", ",")) and self.w(end + 1) not in _CLOSE and (self.line(end + 1) == line or self.lang in ("java", "rust")):
+        while end + 1 < self.size and self.w(end + 1) not in ((";",) if self.lang in ("java", "rust") else (";", ",")) and self.w(end + 1) not in _CLOSE and (self.line(end + 1) == line or self.lang in ("java", "rust")):
             end = self.match.get(end + 1, end + 1)
-            line = self.lines.line(self.tok[end][3] - 1)
+            line = self.lines.line(self.end[end] - 1)
         self.add(name, names, first, end, paren, None, decorated)
 
     def add_type(self, i: int, name: str, names: tuple[str, ...], kind: str, body: int, bases: list[tuple[str, str]]) -> None:
@@ -454,10 +610,10 @@ class _Scan:
                 if self.w(j) == "{" and self.w(j - 1) not in (":", "|", "&", "=>"):
                     return False
                 nxt = self.angle(j) if self.w(j) == "<" else self.match.get(j, j) + 1 if self.w(j) in _OPEN else j + 1
-                if self.line(min(nxt, len(self.tok) - 1)) != self.line(nxt - 1) and self.w(nxt) not in ("|", "&", "{", "=>", "."):
+                if self.line(min(nxt, self.size - 1)) != self.line(nxt - 1) and self.w(nxt) not in ("|", "&", "{", "=>", "."):
                     return True
                 j = nxt if nxt > j else j + 1
-        return self.w(j) in (";", "", "}") or self.line(min(j, len(self.tok) - 1)) != self.line(j - 1) and self.w(j) != "{"
+        return self.w(j) in (";", "", "}") or self.line(min(j, self.size - 1)) != self.line(j - 1) and self.w(j) != "{"
 
     def _exported(self, i: int) -> int:
         while self.w(i - 1) in ("export", "default", "declare", "async"):
@@ -531,7 +687,7 @@ class _Scan:
             self.scope[body] = ((*names, bound[0]) if bound else names, "code")
 
     def _expression_end(self, i: int) -> int:
-        while i < len(self.tok) - 1 and self.w(i) not in (";", ",") and self.w(i) not in _CLOSE:
+        while i < self.size - 1 and self.w(i) not in (";", ",") and self.w(i) not in _CLOSE:
             i = self.match.get(i, i) + 1 if self.w(i) in _OPEN else i + 1
         return max(0, i - 1)
 
@@ -583,7 +739,7 @@ class _Scan:
     def _go_body(self, i: int) -> int | None:
         """The body behind a result type, whose own curly brackets follow ``struct`` or ``interface``."""
         line = self.line(i - 1)
-        while i < len(self.tok):
+        while i < self.size:
             w = self.w(i)
             if w == "{":
                 if i not in self.match:
@@ -595,7 +751,7 @@ class _Scan:
                 i = self.match[i]
             elif w in _CLOSE or w in (";", ",", "=", ":=") or self.line(i) != line:
                 return None
-            line = self.lines.line(self.tok[i][2])
+            line = self.lines.line(self.start[i])
             i += 1
         return None
 
@@ -742,13 +898,13 @@ class _Scan:
             if self.k(j) != "w":
                 return
             e = j + 1
-            while e < len(self.tok) and self.w(e) not in ("=", ";", "{", "}"):
+            while e < self.size and self.w(e) not in ("=", ";", "{", "}"):
                 e = self.match.get(e, e) + 1 if self.w(e) in ("(", "[") else e + 1
             v = e + 1 + (self.w(e + 1) == "async")
             v += self.w(v) == "move"
             if self.w(e) == "=" and self.w(v) in ("|", "||"):
                 end = v + 1
-                while end < len(self.tok) - 1 and self.w(end) != ";":
+                while end < self.size - 1 and self.w(end) != ";":
                     end = self.match.get(end, end) + 1 if self.w(end) in _OPEN else end + 1
                 b = next((x for x in range(v, end) if self.w(x) == "{" and x in self.match), None)
                 if b is not None:
