@@ -48,12 +48,12 @@ class _Term(dict):
 
 
 class Grammar:
-    def __init__(self, text: str, classes: dict[str, Iterable[str]], groups: dict[str, list[str]], starts: dict[str, str], statements: Iterable[str], commas: dict[str, str], joins: Iterable[str] = (), ends: Iterable[str] = (";",), block: str = "b"):
+    def __init__(self, text: str, classes: dict[str, Iterable[str]], groups: dict[str, list[str]], starts: dict[str, str], statements: Iterable[str], commas: dict[str, str], joins: Iterable[str] = (), ends: Iterable[str] = (";",), block: str = "b", apart: Iterable[str] = ()):
         """classes: token classes and the literals that also belong to them; groups: what a bracket may hold;
         starts: symbol of each dialect; statements: lists closed under concatenation, ``list:part`` where all but the last
         piece are a part, or ``list:a,b,c`` whose pieces are first a, then b, then c; commas: list and its element, with a comma behind it if one may end the
         list, and ``!`` if it is nothing but such a list;
-        joins: literals that continue the piece before them."""
+        joins: literals that continue the piece before them; apart: literals that keep a character of their own."""
         self.classes = classes
         rules = {}
         for m in re.finditer(r"^(\w+) =((?:.|\n(?!\w+ =))*)", text, re.M):
@@ -75,6 +75,7 @@ class Grammar:
         missing = [n for n, i in self.names.items() if not self.alts[i]]
         if missing:
             raise ValueError(f"symbols without a rule: {missing}")
+        self._merge(apart)
         self._nullable()
         self.predicted: list[dict[str, tuple[int, ...]]] = [{} for _ in self.alts]
         self.starts = {d: self.names[s] for d, s in starts.items()}
@@ -92,10 +93,14 @@ class Grammar:
         self.comma = re.compile(f"[{''.join(chr(self.code[','] + k) for k in (0, 1))}]") if "," in self.code else None
         #: Characters of words and punctuation, without and with a line end before them.
         self.chars = tuple({x: chr(self.code[x] + k) for x in (*self.literals, *classes, "?")} for k in (0, 1))
+        #: Characters as they stand behind a line end; nothing can stand between a line end and a closing bracket.
+        self.marked = {**dict(zip(self.chars[0].values(), self.chars[1].values())), **dict(zip("([{\x01)]}", "\x02\x03\x04\x05)]}"))}
         self.memo: dict[tuple[int, str], int] = {}  # -1: derived; else how far any way came
         self.held = 0
         self.openings: dict[tuple[int, str], int] = {}
-        self.shapes: dict[tuple[str, str], int] = {}
+        self.shapes: dict[tuple[str, int, str], int] = {}
+        self.asked: dict[tuple[str, str], int] = {}
+        self._preceding()
 
     # -- building --------------------------------------------------------------------------------------------------
     def _nt(self, name: str) -> int:
@@ -155,6 +160,27 @@ class Grammar:
                 self.terms[t] = _Term(lambda c: ord(c) & ~1 in codes)
         return self.terms[t]
 
+    def _merge(self, apart: Iterable[str]) -> None:
+        """Literals that stand in the same places of the same rules get one character: no string tells them apart, so
+        shapes that differ by them alone are one."""
+        term = {t[1:-1]: x for t, x in self.terms.items() if t[0] == "'"}
+        word = {id(x): w for w, x in term.items()}
+        places: dict[str, set] = {w: {("class", c) for c, own in self.classes.items() if w in own} for w in self.literals}
+        for nt, alts in enumerate(self.alts):
+            for a in alts:
+                end = a
+                while self.slots[end] is not None:
+                    end += 1
+                alt = [("loop", id(x.body)) if isinstance(x, _Loop) else id(x) for x in self.slots[a:end]]
+                for i, x in enumerate(self.slots[a:end]):
+                    own = x.body if isinstance(x, _Loop) else x
+                    if id(own) in word:
+                        places[word[id(own)]].add((nt, tuple(alt[:i]), isinstance(x, _Loop), tuple(alt[i + 1 :])))
+        first: dict[frozenset, str] = {}
+        for w in sorted(self.literals - set(apart)):
+            rep = first.setdefault(frozenset(places[w]), w)
+            self.code[w] = self.code[rep]
+
     def _nullable(self) -> None:
         self.null = [False] * len(self.alts)
         changed = True
@@ -164,6 +190,47 @@ class Grammar:
                 if not self.null[nt] and any(self._empty(a) for a in alts):
                     self.null[nt] = changed = True
 
+    def _preceding(self) -> None:
+        """The terminals that can stand before each group's terminal, None for the beginning of a group or file."""
+        last: list[set] = [set() for _ in self.alts]
+        before: list[set] = [set() for _ in self.alts]
+        for nt in {*self.starts.values(), *(nt for nts in self.inside.values() for nt, _ in nts)}:
+            before[nt].add(None)
+        place: dict[int, set] = {}
+        rules = []
+        for nt, alts in enumerate(self.alts):
+            for a in alts:
+                end = a
+                while self.slots[end] is not None:
+                    end += 1
+                rules.append((nt, [x for x in self.slots[a:end] if x is not _NL]))
+        size = -1
+        while size != (size := sum(map(len, last)) + sum(map(len, before)) + sum(map(len, place.values()))):
+            for nt, rule in rules:
+                for x in reversed(rule):
+                    own = x.body if isinstance(x, _Loop) else x
+                    last[nt] |= last[own] if isinstance(own, int) else {id(own)}
+                    if not isinstance(x, _Loop) and not (isinstance(x, int) and self.null[x]):
+                        break
+                came = set(before[nt])
+                for x in rule:
+                    own = x.body if isinstance(x, _Loop) else x
+                    tail = last[own] if isinstance(own, int) else {id(own)}
+                    here = came | tail if isinstance(x, _Loop) else came
+                    if isinstance(own, int):
+                        before[own] |= here
+                    else:
+                        place.setdefault(id(own), set()).update(here)
+                    came = came | tail if isinstance(x, _Loop) or isinstance(x, int) and self.null[x] else set(tail)
+        terms = {id(t): t for t in self.terms.values()}
+        self.before = {b: [(1 << i, [None if t is None else terms[t] for t in place.get(id(self.terms.get(f"@{b}:{nt}")), ())]) for i, nt in enumerate(nts)] for b, nts in self.groups.items()}
+
+    def asks(self, bracket: str, c: str) -> int:
+        """The symbols, as bits, that a group can stand for behind the character ``c`` (or at the beginning)."""
+        if (mask := self.asked.get((bracket, c))) is None:
+            mask = self.asked[bracket, c] = sum(bit for bit, terms in self.before[bracket] if any(t is None if not c else t is not None and t[c] for t in terms))
+        return mask
+
     def _empty(self, slot: int) -> bool:
         while (x := self.slots[slot]) is not None:
             if isinstance(x, _Term) or (isinstance(x, int) and not self.null[x]):
@@ -343,14 +410,14 @@ class Grammar:
                 return False  # that was the whole
         return way(nt, s + "\x01") < 0
 
-    def group(self, bracket: str, s: str) -> str:
-        """The token that stands for a group around ``s``."""
-        key = (bracket, s)
+    def group(self, bracket: str, s: str, asked: int = -1) -> str:
+        """The token that stands for a group around ``s``, as far as the symbols ``asked`` for go."""
+        key = (bracket, asked, s)
         if (mask := self.shapes.get(key)) is None:
             self._keep(len(s) + 8)
             mask = 0
             for nt, bit in self.inside[bracket]:
-                if self.derives(nt, s):
+                if bit & asked and self.derives(nt, s):
                     mask |= bit
             self.shapes[key] = mask
         c = self.masks.get((bracket, mask))

@@ -303,8 +303,12 @@ File = Stmt*
 Stmts = Stmt*
 Stmt = Simple | Compound | nl
 Simple = Small (';' Small)* ';'? nl
-Small = Stars (Assign | ':' Expr ('=' AssignRight)?)? | 'del' Stars | 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' (Expr ('from' Expr)?)? | 'global' Ids | 'nonlocal' Ids | 'assert' Expr (',' Expr)? | Import | 'type' id @s:TypeParams? '=' Expr
-Assign = Aug AssignRight | ('=' AssignRight)+
+Small = Stars | Targets Assign | Target ':' Expr ('=' AssignRight)? | 'del' Targets | 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' (Expr ('from' Expr)?)? | 'global' Ids | 'nonlocal' Ids | 'assert' Expr (',' Expr)? | Import | 'type' id @s:TypeParams? '=' Expr
+Assign = Aug AssignRight | '=' (Targets '=')* AssignRight
+Targets = OneTarget (',' OneTarget)* ','?
+OneTarget = '*'? Target
+Target = id | @p:TargetGroup | @s:TargetGroup | Primary Suffix* ('.' id | @s:Index)
+TargetGroup = Targets?
 AssignRight = Stars | Yield
 Aug = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
 Ids = id (',' id)*
@@ -312,7 +316,7 @@ Import = 'import' Dotted ('as' id)? (',' Dotted ('as' id)?)* | 'from' ('.' | '..
 ImportNames = id ('as' id)? (',' id ('as' id)?)*
 ImportParen = ImportNames ','?
 Dotted = id ('.' id)*
-Compound = 'async'? Def | 'if' Named ':' Body ('elif' Named ':' Body)* Else? | 'while' Named ':' Body Else? | 'async'? 'for' Stars 'in' Stars ':' Body Else? | 'async'? 'with' (WithItems | @p:WithParen) ':' Body
+Compound = 'async'? Def | 'if' Named ':' Body ('elif' Named ':' Body)* Else? | 'while' Named ':' Body Else? | 'async'? 'for' Targets 'in' Stars ':' Body Else? | 'async'? 'with' (WithItems | @p:WithParen) ':' Body
  | 'try' ':' Body (Except+ Else? ('finally' ':' Body)? | 'finally' ':' Body) | Decorator+ ('async'? Def | Class) | Class | 'match' Stars ':' nl @i:MatchCases
 Else = 'else' ':' Body
 Except = 'except' '*'? (Expr (',' Expr)* ('as' id)?)? ':' Body
@@ -324,7 +328,7 @@ TypeParams = TypeParam (',' TypeParam)* ','?
 TypeParam = ('*' | '**')? id (':' Expr)? ('=' Star)?
 WithItems = WithItem (',' WithItem)*
 WithParen = WithItems ','?
-WithItem = Expr ('as' Star)?
+WithItem = Expr ('as' Target)?
 MatchCases = ('case' Patterns ('if' Named)? ':' Body)+
 Patterns = Pattern (',' Pattern)* ','?
 Pattern = '*' id | OrPattern ('as' id)?
@@ -354,10 +358,12 @@ Group = Stars? | Named CompFor
 List = Stars? | (Star) CompFor
 Dict = (DictItem (',' DictItem)* ','?)? | Expr ':' Expr CompFor | Star CompFor
 DictItem = Expr ':' Expr | '**' Expr | Star
-CompFor = ('async'? 'for' Stars 'in' CompIter ('if' CompIter)*)+
+CompFor = ('async'? 'for' Targets 'in' CompIter ('if' CompIter)*)+
 CompIter = Operand (Binary Operand)* ('if' Expr 'else' Expr)? | Lambda | Named
-Args = (Arg (',' Arg)* ','?)?
-Arg = Named CompFor? | id '=' Expr | '*' Expr | '**' Expr
+Args = (Given (',' Given)* (',' Keyed)* (',' Last)* ','? | Keyed (',' Keyed)* (',' Last)* ','? | Last (',' Last)* ','?)?
+Given = Named CompFor? | '*' Expr
+Keyed = id '=' Expr | '*' Expr
+Last = id '=' Expr | '**' Expr
 Index = IndexOne (',' IndexOne)* ','?
 IndexOne = Star | Expr? ':' Expr? (':' Expr?)?
 """
@@ -393,7 +399,7 @@ def grammar(lang: str) -> Grammar:
         return _ecma(lang == "typescript")
     if lang == "go":
         groups = {"p": ["Imports", "Consts", "Vars", "Types", "Params", "Type", "Expr", "Args", "TypeOrType"], "s": ["TypeParams", "TypeArgs", "ArrayLen", "Type", "Index"], "b": ["Stmts", "Fields", "Methods", "Cases", "Literal"]}
-        return Grammar(_GO, {"id": [], "num": [], "str": []}, groups, {"go": "File"}, ["Stmts", "File:Head,Imported,Tops"], {"Literal": "LitItem,!", "Args": "Expr,", "TypeArgs": "Type,!"})
+        return Grammar(_GO, {"id": [], "num": [], "str": []}, groups, {"go": "File"}, ["Stmts", "File:Head,Imported,Tops"], {"Literal": "LitItem,!", "Args": "Expr,", "TypeArgs": "Type,!"}, apart="break continue fallthrough return ++ --".split())
     if lang == "java":
         groups = {"p": ["AnnArgs", "Params", "Args", "Expr", "ForHead", "Resources", "CatchParam", "LambdaParams", "CastType", "Patterns"], "s": ["Empty", "Expr"], "b": ["Members", "EnumBody", "Stmts", "Cases", "ArrayInit", "AnnList", "Directives"]}
         return Grammar(_JAVA, {"id": _JAVA_FREE, "num": [], "str": []}, groups, {"java": "File"}, ["Members", "Stmts", "File:Head,Imported,Types"], {"ArrayInit": "VarInit,!", "AnnList": "AnnValue,!", "Args": "Expr!", "Params": "Param!"}, ["else", "catch", "finally", ".", ","])
@@ -401,5 +407,5 @@ def grammar(lang: str) -> Grammar:
         groups = {"p": ["Params", "TupleFields", "FnTypeParams", "Tuple", "Bounds", "Pats", "Args"], "s": ["ArrayType", "Pats", "Expr", "ArrayInit"], "b": ["Items", "Fields", "UseTrees", "Variants", "Block", "PatFields", "Arms", "StructInit"]}
         words = "as break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while async await yield".split()
         return Grammar(_RUST, {"id": _RUST_FREE, "num": [], "str": [], "life": []}, groups, {"rust": "File"}, ["File", "Items", "Block:Stmts"], {"ArrayInit": "Expr,", "Args": "Expr,!", "Pats": "Pat,!", "Fields": "NamedField,!", "Params": "Param,!", "Variants": "Variant,!", "StructInit": "FieldInit,"}, ["else", ".", "?", ","])
-    groups = {"p": ["ImportParen", "WithParen", "Params", "Args", "Group", "PatternArgs", "PatternGroup"], "s": ["TypeParams", "Index", "List", "PatternGroup"], "b": ["Dict", "PatternMap"], "i": ["Stmts", "MatchCases"]}
-    return Grammar(_PYTHON, {"id": ["match", "case", "type"], "num": [], "str": [], "nl": []}, groups, {"python": "File"}, ["File", "Stmts"], {"List": "Star,", "Args": "Arg,!", "Index": "IndexOne,!", "PatternGroup": "Pattern,!", "Dict": "DictItem,", "Params": "Param,!", "Group": "Star,", "PatternArgs": "PatternArg,!"}, ["elif", "else", "except", "finally"], ["nl"], "i")
+    groups = {"p": ["ImportParen", "WithParen", "Params", "Args", "Group", "PatternArgs", "PatternGroup", "TargetGroup"], "s": ["TypeParams", "Index", "List", "PatternGroup", "TargetGroup"], "b": ["Dict", "PatternMap"], "i": ["Stmts", "MatchCases"]}
+    return Grammar(_PYTHON, {"id": ["match", "case", "type"], "num": [], "str": [], "nl": []}, groups, {"python": "File"}, ["File", "Stmts"], {"List": "Star,", "Index": "IndexOne,!", "PatternGroup": "Pattern,!", "Dict": "DictItem,", "Params": "Param,!", "Group": "Star,", "PatternArgs": "PatternArg,!"}, ["elif", "else", "except", "finally"], ["nl"], "i")

@@ -1,30 +1,33 @@
 """Problem 3: functions paired with their documentation.
 
-``function_pairs`` extracts every named function or method of valid source files with the comment that documents it,
-builds the symbol table of qualified names over all files, and gives a definition without documentation that of a
-separate declaration (an interface's or trait's method, an overload): same name under a type that the file's other
-symbols name as base, same normalised signature. ``documented`` keeps those with real documentation of their own or by
-such a join.
+``symbol_table`` reads every valid source file once: its named functions and methods, with a body or only declared, told
+apart by qualified name and normalised types, each with the comment of its own; and the bases of its types. ``paired``
+joins definitions without real documentation to separate declarations: an overload in the same type, or a method of an
+interface, trait or class that the type extends or implements, directly or over others. Only then are those without
+documentation dropped.
 
 Documentation is real with ``MIN_WORDS`` words of prose besides those of the function's name.
 
 Defined cases: null texts, null paths and other languages give no rows; files that do not parse give none; empty
-documentation is null; repeated rows give repeated pairs in ``function_pairs`` and one in ``found``; a function defined
-twice is documented if one definition is.
+documentation is none; a null repository is a repository like another; repeated rows give repeated pairs, but a
+declaration counts once; a function defined twice is documented if one definition is.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import widen
-from ..sources.functions import functions
-from ..sources.lexing import normalise, python_tree
+from ..session import checkpoint, widen
+from ..sources.functions import declarations
+from ..sources.lexing import normalise
 from .syntax import extension_has_grammar, language_of, verdict
 
 MIN_WORDS = 5
@@ -50,7 +53,11 @@ _HEADS = re.compile(r"^\s*(?:def|fn|func|function|import|from|use|package|public
 
 def prose(doc: str | None) -> list[str]:
     """The words of prose in a comment or docstring."""
-    words: list[str] = []
+    return [w for line in _prose(doc) for w in line]
+
+
+def _prose(doc: str | None) -> Iterator[list[str]]:
+    """The words of each line."""
     fenced = False
     for line in (doc or "").split("\n"):
         line = _MARKER.sub("", line)
@@ -74,9 +81,10 @@ def prose(doc: str | None) -> list[str]:
             line = line[m.end() :]  # a list of parameters
         elif _code(line):
             continue
-        words += [w for w in _WORD.findall(line) if not _CJK.search(w)]
-        words += _CJK.findall(line)[::2]
-    return words
+        if line.isascii():
+            yield _WORD.findall(line)
+        else:
+            yield [w for w in _WORD.findall(line) if not _CJK.search(w)] + _CJK.findall(line)[::2]
 
 
 def _code(line: str) -> bool:
@@ -96,85 +104,144 @@ def is_real(doc: str | None, name: str, least: int = MIN_WORDS) -> bool:
     if not doc:
         return False
     own = name_words(name)
-    return sum(w.lower() not in own for w in prose(doc)) >= least
+    for words in _prose(doc):
+        least -= sum(w.lower() not in own for w in words)
+        if least <= 0:
+            return True
+    return False
 
 
-_PAIR = "repo string, path string, language string, qualified_name string, name string, signature string, params int, start_line int, end_line int, has_body boolean, documentation string, real boolean, code string"
+_SYMBOL = "kind string, repo string, path string, language string, qualified_name string, name string, owner string, params int, types string, start_line int, end_line int, has_body boolean, own string, real boolean, signature string, code string"
 
 
-def _valid(lang: str, text: str) -> bool:
-    """The verdict of ``syntax``; for Python the tree at hand has the last word there too."""
-    if lang == "python" and (tree := python_tree(normalise(text))) is not None:
-        return not isinstance(tree, str)
-    return bool(verdict(lang, text)[0])
+def _symbols(with_code: bool):
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, _SYMBOL.split(", "))])
 
-
-def _extract(with_code: bool, only_real: bool):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.freeze()
+        gc.disable()  # tokens are many small tuples and no cycles
+        for batch in batches:
             rows = []
-            for repo, path, text in zip(part["repo"], part["path"], part["text"]):
+            for n, (repo, path, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "text")))):
                 lang = language_of(path)
                 if lang is None or text is None:
                     continue
-                found = functions(lang, text)
-                if only_real:
-                    found = [f for f in found if is_real(f.doc, f.name)]
-                if not found or not _valid(lang, text):
+                found, bases = declarations(lang, text)
+                if not found or not verdict(lang, text)[0]:
                     continue
-                rows += [(repo, path, lang, f.qualified_name, f.name, f.signature, f.params, f.start_line, f.end_line, f.has_body, f.doc, only_real or is_real(f.doc, f.name), f.code if with_code else None) for f in found]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PAIR.split(", ")])
+                source = normalise(text)
+                for f in found:
+                    owner = f.qualified_name.rpartition("::")[0].rpartition("::")[2] or path
+                    more = (f.signature, source[f.start : f.end]) if with_code else (None, None)
+                    rows.append(("function", repo, path, lang, f.qualified_name, f.name, owner, f.params, f.types, f.start_line, f.end_line, f.has_body, f.doc, is_real(f.doc, f.name), *more))
+                rows += [("base", repo, path, lang, q, b, q.rpartition("::")[2], *[None] * 9) for q, b in set(bases)]
+                if n % 200 == 0:
+                    gc.collect(0)
+            columns = list(zip(*rows)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def function_pairs(files: DataFrame, code: bool = True, only_real: bool = False) -> DataFrame:
-    """One row for each function of each valid file: its name, signature, lines, code, documentation and whether that
-    is real."""
+def symbol_table(files: DataFrame, code: bool = True) -> DataFrame:
+    """The symbols of all valid files, each text read once: functions with and without a body, told apart by qualified
+    name and normalised types, with the comment of their own; and the bases of types (``kind`` base: ``owner`` extends
+    or implements ``name``). Signature and code are only filled with ``code``."""
     part = files.filter(F.col("path").isNotNull() & F.col("text").isNotNull() & extension_has_grammar(F.col("path"))).select("repo", "path", "text")
-    return widen(part).mapInPandas(_extract(code, only_real), _PAIR)
-
-
-def normal_signature(signature, params):
-    """Number of parameters and the return type's letters: what overloads of one name are told apart by."""
-    ret = F.regexp_extract(signature, r"\)\s*(?::|->)?\s*([^{=;]*)$", 1)
-    return F.concat_ws("/", params.cast("string"), F.lower(F.regexp_replace(ret, r"[^A-Za-z0-9<>\[\]]", "")))
-
-
-def symbol_table(nodes: DataFrame) -> DataFrame:
-    """The newest row of each declared function, method or type: ``file_path, qualified_name, kind, declared_doc, ...``."""
-    kinds = ("function", "method", "class", "struct", "interface", "trait", "enum")
-    own = nodes.filter(F.col("kind").isin(*kinds) & F.col("qualified_name").isNotNull())
-    s = F.max(F.struct(F.coalesce("updated_at", F.lit(-1)).alias("at"), "docstring", "signature", "language", "id")).alias("s")
-    top = own.groupBy("file_path", "qualified_name", "kind").agg(s)
-    return top.select("file_path", "qualified_name", "kind", F.col("s.docstring").alias("declared_doc"), F.col("s.signature").alias("declared_signature"), F.col("s.language").alias("declared_language"), F.col("s.id").alias("id"))
+    return widen(part).mapInArrow(_symbols(code), _SYMBOL)
+
+
+def _conforming(table: DataFrame) -> DataFrame:
+    """``repo, language, sub, sup``: types of Go that have all methods of an interface of their package."""
+    go = table.filter("kind = 'function' AND language = 'go'").withColumn("folder", F.regexp_replace("path", r"[^/]*$", ""))
+    asked = go.filter("NOT has_body").select("repo", "folder", F.col("owner").alias("sup"), "name", "types").distinct()
+    size = asked.groupBy("repo", "folder", "sup").agg(F.count(F.lit(1)).alias("_all"))
+    has = go.filter("has_body AND qualified_name <> name").select(F.col("repo").alias("_repo"), F.col("folder").alias("_folder"), F.col("owner").alias("sub"), F.col("name").alias("_name"), F.col("types").alias("_types")).distinct()
+    met = asked.join(has, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("folder") == F.col("_folder")) & (F.col("name") == F.col("_name")) & (F.col("types") == F.col("_types")))
+    met = met.groupBy("repo", "folder", "sup", "sub").agg(F.count(F.lit(1)).alias("_met")).withColumnsRenamed({"repo": "_repo", "folder": "_folder", "sup": "_sup"})
+    full = met.join(size, F.col("_repo").eqNullSafe(F.col("repo")) & (F.col("_folder") == F.col("folder")) & (F.col("_sup") == F.col("sup")) & (F.col("_met") == F.col("_all")))
+    return full.select("repo", F.lit("go").alias("language"), "sub", "sup")
+
+
+def _declared(table: DataFrame) -> DataFrame:
+    """``repo, language, owner, name, types, params, declared``: documented declarations as every type that extends or
+    implements theirs sees them. A declaration in a text collected again is one; of one name, types and owner that are
+    declared in several files with different documentation the least is taken."""
+    key = ["repo", "language"]
+    own = table.filter("kind = 'function' AND NOT has_body AND real").select(*key, "owner", "name", "types", "params", F.col("own").alias("declared")).distinct()
+    own = checkpoint(own.groupBy(*key, "owner", "name", "types", "params").agg(F.min("declared").alias("declared")))
+    if own.isEmpty():
+        return own
+    up = table.filter("kind = 'base'").select(*key, F.col("owner").alias("sub"), F.col("name").alias("sup")).filter("sub <> sup")
+    up = checkpoint(up.unionByName(_conforming(table)).distinct())
+    # Level by level from the types that declare something down to those that define it.
+    here = (F.col("repo").eqNullSafe(F.col("_repo"))) & (F.col("language") == F.col("_language"))
+    seen = own.select(*key, F.col("owner").alias("base"), F.col("owner").alias("sub")).distinct()
+    level = seen = checkpoint(seen)
+    while True:
+        u = up.select(F.col("repo").alias("_repo"), F.col("language").alias("_language"), F.col("sub").alias("_sub"), "sup")
+        new = level.join(u, here & (F.col("sub") == F.col("sup"))).select(*key, "base", F.col("_sub").alias("sub")).distinct()
+        s = seen.select(F.col("repo").alias("_repo"), F.col("language").alias("_language"), F.col("base").alias("_base"), F.col("sub").alias("_sub"))
+        level = checkpoint(new.join(s, here & (F.col("base") == F.col("_base")) & (F.col("sub") == F.col("_sub")), "left_anti"))
+        if level.isEmpty():
+            break
+        seen = checkpoint(seen.unionByName(level))
+    s = seen.select(F.col("repo").alias("_repo"), F.col("language").alias("_language"), F.col("base").alias("_base"), "sub")
+    out = own.join(s, here & (F.col("owner") == F.col("_base"))).select(*key, F.col("sub").alias("owner"), "name", "types", "params", "declared")
+    return out.groupBy(*key, "owner", "name", "types", "params").agg(F.min("declared").alias("declared"))
+
+
+def paired(files: DataFrame, code: bool = True) -> DataFrame:
+    """Every definition with its documentation: its own comment if that is real, else the one of a separate declaration
+    of its name in its own type (an overload) or in one that its type extends or implements, with the same normalised
+    types; if none has these, the only declared one with as many parameters. Columns of ``symbol_table`` with
+    ``documentation`` and ``source``: ``own``, ``declaration`` or null."""
+    table = checkpoint(symbol_table(files, code))
+    defined = table.filter("kind = 'function' AND has_body").drop("kind", "has_body")
+    decl = _declared(table)
+    cols = {c: f"_{c}" for c in ("repo", "language", "owner", "name")}
+    d = decl.withColumnsRenamed(cols)
+    same = F.lit(True)
+    for c in cols:
+        same = same & (F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "repo" else F.col(c) == F.col(f"_{c}"))
+    keys = [f"_{c}" for c in cols]
+    typed = d.select(*keys, F.col("types").alias("_types"), F.col("declared").alias("_by_types"))
+    counted = d.groupBy(*keys, F.col("params").alias("_params")).agg(F.min("declared").alias("_by_count"), F.max("declared").alias("_other")).filter("_by_count = _other").drop("_other")
+    out = defined.join(typed, same & (F.col("types") == F.col("_types")), "left").drop(*keys, "_types")
+    out = out.join(counted, same & (F.col("params") == F.col("_params")), "left").drop(*keys, "_params")
+    declared = F.coalesce("_by_types", "_by_count")
+    doc = F.when(F.col("real"), F.col("own")).otherwise(declared)
+    source = F.when(F.col("real"), "own").when(F.col("documentation").isNotNull(), "declaration")
+    return out.withColumn("documentation", doc).withColumn("source", source).drop("_by_types", "_by_count")
+
+
+def graph_documentation(nodes: DataFrame) -> DataFrame:
+    """``path, qualified_name, stated``: the newest docstring that the symbol graph has of a function or method, if it is
+    real."""
+    own = nodes.filter(F.col("kind").isin("function", "method") & F.col("qualified_name").isNotNull())
+    s = F.max(F.struct(F.coalesce("updated_at", F.lit(-1)).alias("at"), "docstring", "name")).alias("s")
+    top = own.groupBy(F.col("file_path").alias("path"), "qualified_name").agg(s).select("path", "qualified_name", F.col("s.docstring").alias("stated"), F.col("s.name").alias("_name"))
+
+    @F.pandas_udf("boolean")
+    def real(docs: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([is_real(d, n or "") for d, n in zip(docs, names)])
+
+    return top.filter(F.length("stated") >= 2 * MIN_WORDS).filter(real("stated", "_name")).drop("_name")
 
 
 def documented(files: DataFrame, nodes: DataFrame | None = None, code: bool = True) -> DataFrame:
-    """Pairs of code and documentation, with ``source``: ``own`` or ``declaration``.
-
-    A definition without real documentation takes that of a declaration with the same name, language and normalised
-    signature in the symbol table, if exactly one such declaration is documented; the table's own docstring of the very
-    symbol comes first.
-    """
-    pairs = function_pairs(files, code)
-    own = pairs.filter("real").withColumn("source", F.lit("own"))
-    if nodes is None:
-        return own.drop("real", "has_body")
-    table = symbol_table(nodes).filter(F.col("kind").isin("function", "method"))
-    bare = pairs.filter("NOT real")
-    real = F.udf(is_real, "boolean")
-    same = table.filter(F.length("declared_doc") >= 2 * MIN_WORDS).select(F.col("file_path").alias("path"), "qualified_name", "declared_doc").dropDuplicates(["path", "qualified_name"])
-    got = bare.join(same, ["path", "qualified_name"], "left")
-    sig = normal_signature(F.col("signature"), F.col("params"))
-    decl = pairs.filter("real AND NOT has_body").select("repo", "language", "name", sig.alias("_sig"), F.col("documentation").alias("_doc"))
-    decl = decl.groupBy("repo", "language", "name", "_sig").agg(F.count(F.lit(1)).alias("_n"), F.min("_doc").alias("_doc")).filter("_n = 1").drop("_n")
-    got = got.withColumn("_sig", sig).join(decl, ["repo", "language", "name", "_sig"], "left")
-    got = got.withColumn("documentation", F.coalesce("_doc", "declared_doc")).filter(F.col("documentation").isNotNull()).filter(real("documentation", "name"))
-    got = got.withColumn("source", F.lit("declaration"))
-    return own.unionByName(got.select(own.columns)).drop("real", "has_body")
+    """Pairs of code and documentation, with ``source``: ``own``, ``declaration`` or ``graph`` (the docstring that the
+    symbol graph has of a definition to which nothing else gave one)."""
+    out = paired(files, code)
+    if nodes is not None:
+        out = out.join(graph_documentation(nodes), ["path", "qualified_name"], "left")
+        out = out.withColumn("source", F.coalesce("source", F.when(F.col("stated").isNotNull(), "graph"))).withColumn("documentation", F.coalesce("documentation", "stated")).drop("stated")
+    return out.filter("source IS NOT NULL").drop("real", "own", "types", "owner")
 
 
 def found(files: DataFrame) -> DataFrame:
-    """``repo, path, qualified_name`` of functions with real documentation of their own."""
-    return function_pairs(files, code=False, only_real=True).select("repo", "path", "qualified_name").distinct()
+    """``repo, path, qualified_name`` of functions with real documentation. It is then checked to be the definition's
+    own: the documentation of a function is what stands directly above it."""
+    pairs = paired(files, code=False).filter("documentation IS NOT NULL")
+    return pairs.filter(F.col("documentation") == F.col("own")).select("repo", "path", "qualified_name").distinct()

@@ -28,7 +28,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Code and documentation, also from separate declarations and the symbol table."""
+    """Code and documentation, also from separate declarations and the symbol graph."""
     return pairs.documented(_sources(spark, d), table(spark, d, "code_node")).select("repo", "path", "language", "qualified_name", "signature", "documentation", "code", "source")
 
 

@@ -1,8 +1,8 @@
 """Problem 5: source files that do not parse.
 
 ``flag_unparsable`` runs the generalised LL recogniser of ``gll`` over whole files, all dialects of the language
-together; a file is flagged when every dialect rejects it. For Python the standard parser confirms the verdict, as it
-knows the rules a context-free grammar leaves out; nothing else replaces the recogniser.
+together; a file is flagged when every dialect rejects it. Rejections of Python are confirmed by the standard parser;
+nothing takes the recogniser's place.
 
 Defined cases: a null text is not judged (``valid`` null), an empty or comment-only one is valid; an extension without
 a grammar gives ``valid`` null; repeated rows are judged each; extra columns pass through unless they carry a name that
@@ -11,8 +11,11 @@ the operator writes, which it then replaces.
 
 from __future__ import annotations
 
+import ast
 import os
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,146 +23,138 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import widen
+from ..sources.lexing import LANGUAGE_OF, _kinds, normalise, python_tree, tokens_of
+from .gll import Grammar
 from .grammars import grammar
-from ..sources.lexing import LANGUAGE_OF, lex, normalise, python_tree
 
-_OPEN, _CLOSE = {"(": "p", "[": "s", "{": "b", "${": "e"}, {")": "p", "]": "s", "}": "be"}
+#: Opening brackets, also as they stand behind a line end where that matters, and what they are closed by.
+_GROUP = {"(": ("p", ")"), "[": ("s", "]"), "{": ("b", "}"), "\x01": ("e", "}"), "\x02": ("p", ")"), "\x03": ("s", "]"), "\x04": ("b", "}"), "\x05": ("e", "}")}
+_BRACKET = re.compile("([][(){}\x01-\x05])")
+_LINES = re.compile("\n+(.)", re.S)
+#: Python's line ends stand for the width of the indentation that follows.
+_WIDTH = 0x10000
+_INDENT = re.compile("([\U00010000-\U0001ffff])")
 #: Go ends a statement at a line end after one of these.
-_GO_END = frozenset("break continue fallthrough return ++ -- ) ] }".split())
+_GO_END = "break continue fallthrough return ++ -- ) ] }".split()
+#: Names of token classes, which are ordinary words in a text.
+_NAMES = frozenset("id num str life regex tmpl tend priv name nl".split())
 VERDICT = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("language", T.StringType()), T.StructField("reason", T.StringType())])
 
 
+class _Classes(dict):
+    """The grammar's character for a token of a language, by its text; nothing for comments, a line end for line ends."""
+
+    def __init__(self, lang: str):
+        super().__init__()
+        self.lang, self.kinds, chars = lang, _kinds[lang], grammar(lang).chars[0]
+        self.chars, self.unknown, self.own = chars, chars["?"], chars["id"]
+        self.other = {k: chars[n] for k, n in {"n": "num", "s": "str", "u": "life", "r": "regex", "t": "tmpl", "e": "tend"}.items() if n in chars}
+
+    def __missing__(self, w: str) -> str:
+        c = self.of(self.kinds[w], w)
+        if len(w) <= 40:
+            if len(self) > 300_000:
+                self.clear()
+            self[w] = c
+        return c
+
+    def of(self, kind: str, w: str) -> str:
+        if kind == "w":
+            c = self.chars.get(w)
+            return c if c is not None and w not in _NAMES else self.chars["priv"] if w[0] == "#" else self.own
+        if kind == "p":
+            return "\x01" if w == "${" else w if w in "()[]{}" else self.chars.get(w) or self.unknown
+        if kind == "l":
+            return "\n" if self.lang != "python" else chr(_WIDTH + _width(w[1:]))
+        if kind == "c":
+            return "\n" if "\n" in w and self.lang != "python" else ""
+        return "\0" if kind == "z" else self.other.get(kind, "")
+
+
+@cache
+def _classes(lang: str) -> _Classes:
+    return _Classes(lang)
+
+
+@cache
+def _go_lines() -> tuple[re.Pattern, str]:
+    chars = grammar("go").chars[0]
+    ends = "".join(re.escape(x if x in ")]}" else chars[x]) for x in (*_GO_END, "id", "num", "str"))
+    return re.compile(f"([{ends}])\n+"), chars[";"]
+
+
 def shape(lang: str, text: str) -> tuple[str, str | None]:
     """The file as a string of token classes, groups folded; and why it cannot be one."""
-    tokens, error = lex(lang, text)
-    if error:
-        return "", error
-    if lang == "python":
-        return _python_shape(tokens, text)
+    tokens, table = tokens_of(lang, text), _classes(lang)
+    if tokens.error:
+        return "", tokens.error
     g = grammar(lang)
-    group, (plain, marked) = g.group, g.chars
-    go, nl_matters = lang == "go", lang in ("javascript", "typescript")
-    semicolon = plain.get(";", "")
-    other = {"n": "num", "s": "str", "u": "life", "r": "regex", "t": "tmpl", "e": "tend"}
-    stack: list[tuple[str, list[str], bool]] = []
-    out: list[str] = []
-    add = out.append
-    newline, last = False, ""
-    chars = plain
-    for kind, s, e in tokens:
-        if kind == "l" or kind == "c":
-            if kind == "l" or "\n" in text[s:e]:
-                newline = True
-                if nl_matters:
-                    chars = marked
-                elif go and last:
-                    add(semicolon)
-                    last = ""
+    s = "".join(map(table.__getitem__, tokens.words) if tokens.easy else map(table.of, tokens.kinds, tokens.words))
+    if "\0" in s:
+        return "", tokens.unread()
+    python = lang == "python"
+    if lang == "go":
+        ends, semicolon = _go_lines()
+        s = ends.sub(rf"\1{semicolon}", s + "\n").replace("\n", "")
+    elif lang in ("javascript", "typescript"):
+        marked = g.marked
+        s = _LINES.sub(lambda m: marked.get(m[1], m[1]), s).rstrip("\n")
+    elif not python:
+        s = s.replace("\n", "")
+    group, asks = g.group, g.asks
+    parts = _BRACKET.split(s)
+    stack: list[tuple[str, list[str], int]] = []
+    out = [parts[0]]
+    for i in range(1, len(parts), 2):
+        b = parts[i]
+        if b in _GROUP:
+            # what stands before the bracket says what may be in it
+            c = out[-1][-1:] or (out[-2] if len(out) > 1 else "")
+            stack.append((b, out, asks(_GROUP[b][0], c) if not python or c and not "\U00010000" <= c < "\U00020000" else -1))
+            out = [parts[i + 1]]
             continue
-        if kind == "w":
-            w = text[s:e]
-            c = chars.get(w)
-            if c is None or w in _NAMES:
-                c = chars["priv"] if w[0] == "#" else chars["id"]
-                last = "0"
-            elif go:
-                last = w if w in _GO_END else ""
-            add(c)
-        elif kind == "p":
-            w = text[s:e]
-            if w in _OPEN:
-                stack.append((_OPEN[w], out, newline and nl_matters))
-                out = []
-                add = out.append
-                last = ""
-            elif w in _CLOSE:
-                if not stack or stack[-1][0] not in _CLOSE[w]:
-                    return "", f"unmatched {w} at {s}"
-                b, up, was = stack.pop()
-                c = group(b, "".join(out))
-                out = up
-                add = out.append
-                add(chr(ord(c) | 1) if was else c)
-                last = w
-            else:
-                add(chars.get(w) or chars["?"])
-                last = w if go and w in _GO_END else ""
-        else:
-            add(chars[other[kind]])
-            last = "0"
-        newline = False
-        chars = plain
+        if not stack or _GROUP[stack[-1][0]][1] != b:
+            return "", f"unmatched {b}"
+        o, up, asked = stack.pop()
+        inside = "".join(out)
+        c = group(_GROUP[o][0], _INDENT.sub("", inside) if python else inside, asked)
+        up.append(chr(ord(c) | 1) if o < " " and o != "\x01" else c)
+        up.append(parts[i + 1])
+        out = up
     if stack:
         return "", "a bracket is never closed"
-    if go and last:
-        out.append(semicolon)
-    return "".join(out), None
+    s = "".join(out)
+    return _suites(g, s, _width(text[: tokens.starts[0]])) if python and s else (s, None)
 
 
-#: Names of token classes, which are ordinary words in a text.
-_NAMES = frozenset("id num str life regex tmpl tend priv name nl".split())
+def _width(blanks: str) -> int:
+    return min(0xFFFF, len(blanks.replace("\f", "").expandtabs(8)))
 
 
-def _python_shape(tokens: list, text: str) -> tuple[str, str | None]:
-    g = grammar("python")
-    group, (chars, _) = g.group, g.chars
-    nl, own, unknown = chars["nl"], chars["id"], chars["?"]
-    literal = {"n": chars["num"], "s": chars["str"]}
-    indents, stack, blocks = [0], [], []  # stack: open brackets; blocks: what surrounds the open suites
-    out: list[str] = []
-    fresh, line = True, False
-    for kind, s, e in tokens:
-        if kind in "cx":
+def _suites(g: Grammar, s: str, first: int) -> tuple[str, str | None]:
+    """Python's lines as a string in which suites are folded; ``first``: the first line's indentation."""
+    nl = g.chars[0]["nl"]
+    indents, blocks, out = [0], [], []
+    lines = _INDENT.split(s)
+    for i in range(-1, len(lines), 2):
+        line = lines[i + 1] if i + 1 < len(lines) else ""
+        if not line:
             continue
-        if kind == "l":
-            if not stack:
-                if line:
-                    out.append(nl)
-                line, fresh = False, True
-            continue
-        if fresh and not stack:
-            fresh = False
-            at = text.rfind("\n", 0, s) + 1
-            if text[at:s].strip(" \t\f"):
-                at = s  # after a continued line
-            width = len(text[at:s].replace("\f", "").expandtabs(8))
-            if width > indents[-1]:
-                indents.append(width)
-                blocks.append(out)
-                out = []
-            while width < indents[-1]:
-                indents.pop()
-                c = group("i", "".join(out))
-                out = blocks.pop()
-                out.append(c)
-            if width != indents[-1]:
-                return "", f"inconsistent indentation at {s}"
-        line = True
-        if kind in literal:
-            out.append(literal[kind])
-            continue
-        w = text[s:e]
-        if kind == "w":
-            c = chars.get(w)
-            out.append(own if c is None or w in _NAMES else c)
-        elif w in _OPEN:
-            stack.append((_OPEN[w], out))
+        width = ord(lines[i]) - _WIDTH if i > 0 else first
+        if width > indents[-1]:
+            indents.append(width)
+            blocks.append(out)
             out = []
-        elif w in _CLOSE:
-            if not stack or stack[-1][0] not in _CLOSE[w]:
-                return "", f"unmatched {w} at {s}"
-            b, up = stack.pop()
-            c = group(b, "".join(out))
-            out = up
+        while width < indents[-1]:
+            indents.pop()
+            c = g.group("i", "".join(out))
+            out = blocks.pop()
             out.append(c)
-        else:
-            out.append(chars.get(w) or unknown)
-    if stack:
-        return "", "a bracket is never closed"
-    if line:
-        out.append(nl)
+        if width != indents[-1]:
+            return "", "inconsistent indentation"
+        out.append(line + nl)
     while blocks:
-        c = group("i", "".join(out))
+        c = g.group("i", "".join(out))
         out = blocks.pop()
         out.append(c)
     return "".join(out), None
@@ -174,12 +169,8 @@ def verdict(lang: str | None, text: str | None) -> tuple[bool | None, str | None
     g = grammar(lang)
     if error is None and not (g.dialects(s) if s else True):
         error = "rejected by every dialect: " + ", ".join(g.starts)
-    if lang == "python":
-        tree = python_tree(source)
-        if isinstance(tree, str):
-            error = error or tree
-        elif tree is not None:
-            error = None
+    if error and lang == "python" and isinstance(python_tree(source), ast.AST):
+        error = None
     return error is None, error
 
 

@@ -48,4 +48,27 @@ def test_tables(spark):
     assert found(df.limit(0)).count() == 0
     nodes = spark.createDataFrame([("1", "function", "g", "g", "a.py", "python", f"{REAL}", None, 1)], "id string, kind string, name string, qualified_name string, file_path string, language string, docstring string, signature string, updated_at long")
     got = {(r["path"], r["qualified_name"], r["source"]) for r in documented(df, nodes).collect()}
-    assert ("a.py", "g", "declaration") in got and ("a.py", "f", "own") in got
+    assert ("a.py", "g", "graph") in got and ("a.py", "f", "own") in got
+
+
+def test_declarations_document_separate_definitions(spark):
+    other, third = "Gives the second of all keys that were ever held here.", "Tells whether the reader wants more of the rows."
+    files = [
+        ("r", "I.java", f"interface I<T> extends J {{\n  /** {REAL} */\n  List<T> get(int a, final String b);\n  /** {other} */\n  List<T> get(String a);\n}}\n"),
+        ("r", "J.java", f"interface J {{\n  /** {third} */\n  boolean more();\n}}\n"),
+        ("r", "A.java", "class A implements I<X> {\n  public List<T> get(int c, String d) { return null; }\n  public List<X> get(java.lang.String d) { return null; }\n  public boolean more() { return true; }\n  void none() { }\n}\n"),
+        ("q", "A.java", "class A implements I<X> {\n  public boolean more() { return true; }\n}\n"),
+        ("r", "o.ts", f"/** {REAL} */\nexport function over(a: string): void;\nexport function over(a: any): void {{ }}\n"),
+        ("r", "p.ts", "export function over(a: any): void { }\n"),
+        (None, "g.go", f"package a\ntype W interface {{\n\t// {REAL}\n\tGet(a, b int) error\n\tPut()\n}}\nfunc (s *S) Get(p, q int) error {{ return nil }}\nfunc (s *S) Put() {{ }}\nfunc (t *T) Get(p, q int) error {{ return nil }}\n"),
+        ("r", "t.rs", f"trait Tr {{\n    /// {REAL}\n    fn get(&self, a: Vec<u8>) -> Result<(), E>;\n}}\nimpl Tr for S {{ fn get(&self, x: std::vec::Vec<u8>) -> Result<(), E> {{ Ok(()) }} }}\n"),
+    ]
+    df = spark.createDataFrame([*files, files[0]], "repo string, path string, text string")
+    got = {(r["path"], r["qualified_name"], r["types"] if "types" in r else None, r["documentation"].strip("/* \n")) for r in documented(df).collect()}
+    assert {(p, q, d) for p, q, _, d in got} == {("A.java", "A::get", REAL), ("A.java", "A::get", other), ("A.java", "A::more", third), ("o.ts", "over", REAL), ("g.go", "S::Get", REAL), ("t.rs", "S::get", REAL)}
+    assert found(df).count() == 0
+
+
+def test_signatures_are_whole():
+    long = ", ".join(f"parameter_{i}: Map<string, number>" for i in range(60))
+    assert functions("typescript", f"function f({long}): Result<number> {{ }}\n")[0].signature.endswith("Result<number>")
