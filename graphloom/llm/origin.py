@@ -7,10 +7,12 @@ A file is named with the first of these reasons that holds:
 * ``minified``: its code is packed in long lines almost without blanks;
 * ``data``: most of its tokens are literals of a table, or most of its text is one encoded string;
 * ``vendored``: most of its winnowed fingerprints recur in ``MANY`` repositories, or in ``FEW`` and its folder or its
-  leading comment says that it is a copy; without a text, and for folders that package tools own, the folder decides.
+  leading comment says that it is a copy; only without a text the folder decides.
 
-Fingerprints: hashes of all runs of ``RUN`` tokens, of which winnowing keeps the least of every ``WINDOW``; so any
-copied stretch of RUN + WINDOW - 1 tokens shares one. The repositories of a fingerprint are counted over all texts;
+Fingerprints: hashes of all runs of ``RUN`` tokens of the normalised stream (the lexer's tokens without comments, blanks
+and line ends; strings and regular expressions are one class each), of which winnowing keeps the least of every
+``WINDOW``; so any copied stretch of RUN + WINDOW - 1 tokens shares one, however it is laid out. The repositories of a
+fingerprint are counted over all texts, each text has its share by itself, and a text collected again changes neither;
 fingerprints with a large part of all rows are joined by a broadcast table that cannot exceed ``1 / HOT`` rows.
 Comments that merely mention tools, copies or headers do not count, nor do folders that only sound alike. A text that
 belongs to another type of file is none of these.
@@ -27,12 +29,12 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, widen
-from ..sources.lexing import LANGUAGE_OF
+from ..sources.lexing import LANGUAGE_OF, _kinds, normalise, tokens_of
 from .syntax import language_of, verdict
 
 RUN, WINDOW = 32, 32
@@ -40,7 +42,8 @@ MANY, FEW, SHARE = 4, 2, 0.6
 HOT = 1e-4
 LARGE = 1 << 20
 
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: Tokens of files in a language without a lexer.
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 _BASE = 0x9E3779B97F4A7C15
 _GENERATED_NAME = re.compile(
     r"[._-](?:generated|gen|autogen|designer)\.\w+$|(?:_pb2|_pb2_grpc|_grpc_pb|_pb|\.pb|\.pb\.gw|\.g|\.freezed|\.moc|_string|_easyjson|\.zap)\.\w+$|(?:^|/)(?:zz_generated[\w.]*|moc_\w+|ui_\w+)\.\w+$|(?:^|/)(?:generated|__generated__|autogenerated|\.gen|gen-src|generated-sources|auto_generated)/",
@@ -59,32 +62,43 @@ _COPY = re.compile(
     re.I,
 )
 _PACKAGES = frozenset("node_modules bower_components jspm_packages pods carthage third_party third-party thirdparty 3rdparty 3rd_party vendor vendored _vendor godeps site-packages web_modules".split())
-_COPIES = frozenset("deps extern externals external contrib libs".split())
+_COPIES = _PACKAGES | frozenset("deps extern externals external contrib libs".split())
 _MARK = re.compile(r"^\s*(?:/\*[*!]?|//[/!]?|#[:!]?|\*(?!/)|\"\"\"|'''|r\"\"\"|<!--|--)?\s*")
 _WEB = re.compile(r"\s*<(?:!doctype|html|\?xml|svg|head|body)\b", re.I)
 _SETTING = re.compile(r"^\s*(?:- )?[\w.\"'-]+\s*:(?:\s+\S.*)?$|^\s*- \S|^\s*#|^\s*$|^---$")
 _LITERAL = re.compile(r"0[xX][\da-fA-F]+|[-+]?\d[\d_.]*(?:[eE][-+]?\d+)?|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
-_ENCODED = re.compile(r"[\"'`](?:[A-Za-z0-9+/=_-]|\\n|\\\n|\\x[\da-f]{2}|\"\s*\+?\s*\")*[\"'`]")
+_ENCODED = re.compile(r"[\"'`](?:[A-Za-z0-9+/=_-]|\\n|\\\n|\\x[\da-f]{2}|\"\s*[+\\]?\s*\")*[\"'`]")
 _LONG = re.compile(r"[^\n]{151}")
 _COMMENTS = re.compile(r"/\*[\s\S]*?\*/|^\s*(?://|#)[^\n]*", re.M)
 
 
 class _Codes(dict):
-    """Numbers of tokens; forgotten when there are too many."""
+    """Numbers of a language's tokens, zero for those that do not count; forgotten when there are too many."""
+
+    def __init__(self, lang: str | None = None):
+        super().__init__()
+        self.kinds = _kinds.get(lang)
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[w] = c = crc32(w.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF
+        kind = self.kinds[w] if self.kinds is not None else "w"
+        c = 0 if kind in "clxe" else _CLASSES.get(kind) or crc32(w.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF | 1
+        if len(w) <= 40:
+            if len(self) > 500_000:
+                self.clear()
+            self[w] = c
         return c
 
 
-def fingerprints(text: str, codes: _Codes) -> np.ndarray:
+_CLASSES = {"s": 4, "r": 6, "t": 8}
+
+
+def fingerprints(text: str, codes: _Codes, lang: str | None = None) -> np.ndarray:
     """The winnowed fingerprints of a text, each once. RUN and WINDOW are powers of two, reached by doubling."""
-    words = _TOKEN.findall(text)
-    if not words:
-        return np.empty(0, np.int64)
+    words = tokens_of(lang, normalise(text)).words if lang else _TOKEN.findall(text)
     h = np.fromiter(map(codes.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    h = h[h != 0]
+    if not len(h):
+        return np.empty(0, np.int64)
     if len(h) < RUN:
         h = np.concatenate([h, np.zeros(RUN - len(h), np.uint64)])
     k = 1
@@ -170,10 +184,9 @@ def tabular(text: str) -> bool:
     return n > 40 and n > 0.75 * len(re.findall(r"\u0001|\w+", bare)) and bare.count(",") + bare.count("\n") >= 0.5 * n
 
 
-def folder_says(path: str) -> int:
-    """2: a folder that package tools own; 1: one that often holds copies; 0: neither."""
-    parts = {p.lower() for p in path.split("/")[:-1]}
-    return 2 if parts & _PACKAGES else 1 if parts & _COPIES else 0
+def folder_says(path: str) -> bool:
+    """Whether the file lies in a folder that holds copies."""
+    return not _COPIES.isdisjoint(path.lower().split("/")[:-1])
 
 
 def other_type(path: str, text: str) -> bool:
@@ -198,30 +211,38 @@ def other_type(path: str, text: str) -> bool:
 
 
 _SIGNS = "repo string, path string, own string, copy int, fingerprints array<long>"
+_ARROW = pa.schema([("repo", pa.string()), ("path", pa.string()), ("own", pa.string()), ("copy", pa.int32()), ("fingerprints", pa.list_(pa.int64()))])
 
 
-def _signs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = _Codes()
-    for part in parts:
-        rows = []
-        for repo, path, text in zip(part["repo"], part["path"], part["text"]):
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables = {lang: _Codes(lang) for lang in (None, *LANGUAGE_OF.values())}
+    for batch in batches:
+        rows, prints = [], []
+        for repo, path, text in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "text"))):
             own = "generated" if says(text, _NOTICE) or generated_name(path) else "data" if tabular(text) else "minified" if minified(text) else None
-            copy = max(folder_says(path), 1 if says(text, _COPY) else 0)
+            copy = 1 if folder_says(path) or says(text, _COPY) else 0
             if _WEB.match(text) or ((own or copy) and other_type(path, text)):
                 own, copy = None, -1
-            rows.append((repo, path, own, copy, fingerprints(text, cache)))
-        yield pd.DataFrame(rows, columns=["repo", "path", "own", "copy", "fingerprints"])
+            rows.append((repo, path, own, copy))
+            lang = language_of(path)
+            prints.append(fingerprints(text, tables[lang], lang))
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, _ARROW)]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prints], dtype=np.int64)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *prints]), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*columns, lists], schema=_ARROW)
 
 
 def signs(docs: DataFrame) -> DataFrame:
-    """What each text says by itself, and its fingerprints."""
+    """What each text says by itself, and its fingerprints. ``copy``: 1 if its folder or its leading comment says that it
+    is a copy, -1 if it can be none."""
     part = docs.filter(F.col("path").isNotNull() & F.col("text").isNotNull()).select("repo", "path", "text")
-    return widen(part).mapInPandas(_signs, _SIGNS)
+    return widen(part).mapInArrow(_signs, _SIGNS)
 
 
 def recurrence(signed: DataFrame) -> DataFrame:
-    """``repo, path, many, few``: the parts of the text's fingerprints that recur in ``MANY`` and ``FEW`` repositories."""
-    one = signed.select(F.xxhash64("repo", "path").alias("d"), F.xxhash64("repo").alias("r"), F.explode("fingerprints").alias("f"))
+    """``d, many, few``: the parts of the text's fingerprints that recur in ``MANY`` and ``FEW`` repositories; ``signed``
+    has a number ``d`` for each text."""
+    one = signed.select("d", F.xxhash64("repo").alias("r"), F.explode("fingerprints").alias("f"))
     total = signed.agg(F.sum(F.size("fingerprints"))).first()[0] or 0
     count = one.groupBy("f", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("f").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
     count = checkpoint(count.filter(F.col("repos") >= FEW))
@@ -230,18 +251,16 @@ def recurrence(signed: DataFrame) -> DataFrame:
     one = one.select("d", "f")
     met = one.join(F.broadcast(hot), "f").select("d", "repos").unionByName(one.join(F.broadcast(hot), "f", "left_anti").join(cold, "f").select("d", "repos"))
     met = met.groupBy("d").agg(F.count(F.lit(1)).alias("few"), F.sum((F.col("repos") >= MANY).cast("int")).alias("many"))
-    whole = signed.select("repo", "path", F.xxhash64("repo", "path").alias("d"), F.size("fingerprints").alias("_n")).filter("_n > 0")
-    out = whole.join(met, "d")
-    return out.select("repo", "path", (F.col("many") / F.col("_n")).alias("many"), (F.col("few") / F.col("_n")).alias("few"))
+    out = met.join(signed.select("d", F.size("fingerprints").alias("_n")), "d")
+    return out.select("d", (F.col("many") / F.col("_n")).alias("many"), (F.col("few") / F.col("_n")).alias("few"))
 
 
 def not_hand_written(files: DataFrame, docs: DataFrame) -> DataFrame:
     """``repo, path, reason`` of the files that nobody writes by hand."""
-    signed = checkpoint(signs(docs))
-    again = recurrence(signed)
-    by_text = signed.drop("fingerprints").join(again, ["repo", "path"], "left")
+    signed = checkpoint(signs(docs).withColumn("d", F.monotonically_increasing_id()))
+    by_text = signed.drop("fingerprints").join(recurrence(signed), "d", "left")
     share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) >= SHARE
-    copied = (F.col("copy") == 2) | ((F.col("copy") >= 0) & share("many")) | ((F.col("copy") == 1) & share("few"))
+    copied = ((F.col("copy") >= 0) & share("many")) | ((F.col("copy") == 1) & share("few"))
     judged = by_text.select("repo", "path", F.coalesce("own", F.when(copied, "vendored")).alias("_why"))
     judged = judged.groupBy("repo", "path").agg(F.min("_why").alias("_why"), F.lit(True).alias("_text"))
     known = files.filter(F.col("path").isNotNull()).groupBy("repo", "path").agg(F.max("size").alias("size"))

@@ -142,10 +142,29 @@ def test_fingerprints_find_moved_copies():
     assert len(a & b) >= 0.8 * len(a) and not a & set(fingerprints(body(2), c)) and not len(fingerprints("", c))
 
 
+def test_layout_and_comments_do_not_hide_copies():
+    c = {lang: _Codes(lang) for lang in ("javascript", "python")}
+    a = "".join(f"function f{i}(a, b) {{\n  const c{i} = a + b * {i}; // note\n  return trace('x', c{i})\n}}\n" for i in range(20))
+    b = a.replace("(a, b) {\n", "( a,b ){ /* other\nlicence */\n\n").replace(" // note", "").replace("'x'", '"why"')
+    assert set(fingerprints(a, c["javascript"], "javascript")) == set(fingerprints(b, c["javascript"], "javascript"))
+    assert len(fingerprints("# only a comment\n", c["python"], "python")) == 0
+
+
+def test_a_text_collected_again_has_the_same_share(spark):
+    from graphloom.llm.origin import recurrence, signs
+
+    part, rest = body(20), "".join(body(21 + i) for i in range(3))
+    docs = [("r0", "r0/a.py", part + rest)] * 3 + [(f"r{i}", f"r{i}/b.py", part) for i in range(1, 5)]
+    signed = signs(spark.createDataFrame(docs, "repo string, path string, text string")).selectExpr("*", "monotonically_increasing_id() AS d").cache()
+    got = {(r["path"], round(r["many"], 3)) for r in signed.join(recurrence(signed), "d").collect()}
+    signed.unpersist()
+    assert max(s for _, s in got) <= 1 and len({s for p, s in got if p == "r0/a.py"}) == 1 and max(s for p, s in got if p == "r0/a.py") < 0.5
+
+
 def test_not_hand_written(spark):
     lib, own = body(7), body(8)
     docs = [(f"r{i}", f"r{i}/src/lib.py", lib) for i in range(4)] + [("r0", "r0/a.py", own), ("r0", "r0/a.py", own), ("r1", "r1/fork.py", own)]
-    docs += [("r0", "r0/third_party/x-kit/y.py", body(9)), ("r0", "r0/third_party_billing/y.py", body(10)), ("r0", "r0/g.py", "# @generated by x\n" + body(11)), ("r0", "r0/p_pb2.py", body(12)), ("r0", "r0/e.js", "<!DOCTYPE html>\n<html></html>\n"), ("r0", "r0/n.py", None), (None, "q.py", ""), ("r0", None, "x")]
+    docs += [("r0", "r0/third_party/x-kit/y.py", body(9)), ("r1", "r1/z.py", body(9)), ("r0", "r0/vendor/own.py", body(13)), ("r0", "r0/third_party_billing/y.py", body(10)), ("r0", "r0/g.py", "# @generated by x\n" + body(11)), ("r0", "r0/p_pb2.py", body(12)), ("r0", "r0/e.js", "<!DOCTYPE html>\n<html></html>\n"), ("r0", "r0/n.py", None), (None, "q.py", ""), ("r0", None, "x")]
     files = [(r, p, 100) for r, p, _ in docs] + [("r0", "r0/huge.py", 2 << 20), ("r0", "r0/gone.py", 10), ("r0", "r0/node_modules/z.js", 10), ("r0", "r0/null.py", None)]
     got = {r["path"]: r["reason"] for r in not_hand_written(spark.createDataFrame(files, "repo string, path string, size long"), spark.createDataFrame(docs, "repo string, path string, text string")).collect()}
     assert got == {**{f"r{i}/src/lib.py": "vendored" for i in range(4)}, "r0/third_party/x-kit/y.py": "vendored", "r0/g.py": "generated", "r0/p_pb2.py": "generated", "r0/huge.py": "large", "r0/node_modules/z.js": "vendored"}
