@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import module_of
 from ..schema import LOW_SIGNAL
 from ..session import checkpoint
-from .hierarchy import cycle_nodes, links
+from .hierarchy import components, links
 from .store import Graph
 
 # Directories and file names that say little about structure.
@@ -171,54 +171,10 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 # -- cycles ----------------------------------------------------------------------------------------------------------
-def tarjan_kernel(n: int, pairs: Iterable[tuple[int, int]]) -> list[list[int]]:
-    """Strongly connected parts of two or more nodes, sorted."""
-    adj: list[list[int]] = [[] for _ in range(n)]
-    for a, b in sorted(set(pairs)):
-        adj[a].append(b)
-    index, low, on, stack, out = [-1] * n, [0] * n, [False] * n, [], []
-    count = 0
-    for root in range(n):
-        if index[root] >= 0:
-            continue
-        work = [(root, iter(adj[root]))]
-        index[root] = low[root] = count
-        count += 1
-        stack.append(root)
-        on[root] = True
-        while work:
-            v, it = work[-1]
-            for w in it:
-                if index[w] < 0:
-                    index[w] = low[w] = count
-                    count += 1
-                    stack.append(w)
-                    on[w] = True
-                    work.append((w, iter(adj[w])))
-                    break
-                if on[w]:
-                    low[v] = min(low[v], index[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    part = []
-                    while True:
-                        w = stack.pop()
-                        on[w] = False
-                        part.append(w)
-                        if w == v:
-                            break
-                    if len(part) > 1:
-                        out.append(sorted(part))
-    return sorted(out)
-
-
 def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """``component, id``: strongly connected parts of two or more nodes, distributed; named by their least member."""
+    """``component, id``: strongly connected parts of two or more nodes; named by their least member."""
     e = links(edges.select(F.lit("e").alias("kind"), F.col(source).alias("source"), F.col(target).alias("target")).filter(F.col(source) != F.col(target)))
-    parts = cycle_nodes(e)
+    parts = checkpoint(components(e))
     least = parts.groupBy("cycle_id").agg(F.min("node_id").alias("component"))
     return parts.join(least, "cycle_id").select("component", F.col("node_id").alias("id"))
 

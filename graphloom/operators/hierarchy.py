@@ -1,10 +1,14 @@
 """Parent–child rows of unknown depth: paths, depths, roots, descendants and cycles.
 
 Rows are ``(kind, parent, child)``; each kind is a hierarchy of its own and all kinds advance together. Paths grow level
-by level: the frontier is joined with the rows that leave it, a child met again on a level keeps its smallest parent,
-one met before is not met again. Cycles are what levels cannot use up: rows without a parent row or without a child row
-are peeled off in rounds from both ends, and the rest is split into strongly connected parts by spreading the greatest
-name forwards and from there backwards. Every round is one written table in the shared folder.
+by level from the roots: the frontier is joined with the rows that leave it; a child met again on a level keeps its
+smallest parent, one met before is not met again. Only a child of several parents can be met twice, so only such are
+compared with those met before, and they are kept apart for that.
+
+Cycles show in what the levels leave over: nodes no root leads to, and nodes that a row leads back to from the same or a
+deeper level. All cycles lie in what such nodes lead to, and there the strongly connected parts are found: by one task if
+the rows left are few, else by spreading the greatest name forwards and from there backwards. Every round is one written
+table in the shared folder.
 
 Defined cases: rows with a null parent or child are no links; a repeated row is one link; a child with several parents
 gets the path of least depth, then of the smallest parent, but is a descendant of all its parents and of all that lead to
@@ -15,10 +19,16 @@ table gives empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, drop_checkpoint, shared_dir
+from ..session import Levels, checkpoint, drop_checkpoint, shared_dir
+
+#: Links that one task splits into strongly connected parts; the result does not depend on it.
+KERNEL_LINKS = 500_000
 
 
 def links(rows: DataFrame, kind: str = "kind", parent: str = "source", child: str = "target") -> DataFrame:
@@ -34,13 +44,135 @@ def code_links(edges: DataFrame) -> DataFrame:
     return links(e.select("kind", F.when(turn, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turn, F.col("source")).otherwise(F.col("target")).alias("target")))
 
 
-def peel(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def _ends(edges: DataFrame) -> DataFrame:
+    """``kind, node_id`` of all nodes."""
+    return edges.select("kind", F.col("parent").alias("node_id")).union(edges.select("kind", F.col("child").alias("node_id"))).distinct()
+
+
+def hierarchy(edges: DataFrame, paths: bool = True) -> DataFrame:
+    """``kind, node_id, parent_id, root_id, depth, path``: all nodes that a root leads to, ``path`` from the root (null
+    without ``paths``)."""
+    spark = edges.sparkSession
+    merges = edges.groupBy("kind", "child").agg((F.count(F.lit(1)) > 1).alias("merges"))
+    base = checkpoint(edges.join(merges, ["kind", "child"]).select("kind", "parent", "child", "merges"))
+    roots = base.select("kind", "parent").distinct().join(base.select("kind", F.col("child").alias("parent")).distinct(), ["kind", "parent"], "left_anti")
+    levels = Levels(spark, "kind string, node_id string, parent_id string, root_id string, path array<string>", "merges")
+    way = lambda *parts: F.concat(*parts) if paths else F.lit(None).cast("array<string>")
+    new = roots.select("kind", F.col("parent").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("parent").alias("root_id"), way(F.array("parent")).alias("path"), F.lit(False).alias("merges"))
+    while (level := levels.add(new)) is not None:
+        on = base.join(level.select("kind", F.col("node_id").alias("parent"), "root_id", "path"), ["kind", "parent"])
+        first = on.filter("merges").groupBy("kind", "child").agg(F.min(F.struct("parent", "root_id", "path")).alias("s"), F.lit(True).alias("merges"))
+        if (met := levels.met()) is not None:
+            first = first.join(met.select("kind", F.col("node_id").alias("child")), ["kind", "child"], "left_anti")
+        both = on.filter("NOT merges").select("kind", "child", F.struct("parent", "root_id", "path").alias("s"), "merges").unionByName(first)
+        new = both.select("kind", F.col("child").alias("node_id"), F.col("s.parent").alias("parent_id"), "s.root_id", way("s.path", F.array("child")).alias("path"), "merges")
+    return levels.all().select("kind", "node_id", "parent_id", "root_id", F.col("level").alias("depth"), "path")
+
+
+def unreached(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """``kind, node_id`` of nodes that no root leads to: on cycles or below them."""
+    return _ends(edges).join(tree.select("kind", "node_id"), ["kind", "node_id"], "left_anti")
+
+
+def met_again(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """``kind, node_id`` of nodes that a row leads to from the same or a deeper level. Each cycle that a root leads to has
+    one, as levels cannot rise all the way round."""
+    several = edges.groupBy("kind", "child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "child")
+    at = tree.select("kind", "node_id", "depth")
+    rows = edges.join(several, ["kind", "child"], "left_semi")
+    rows = rows.join(at.select("kind", F.col("node_id").alias("child"), F.col("depth").alias("d")), ["kind", "child"]).join(at.select("kind", F.col("node_id").alias("parent"), F.col("depth").alias("from")), ["kind", "parent"])
+    return rows.filter(F.col("d") <= F.col("from")).select("kind", F.col("child").alias("node_id")).distinct()
+
+
+def led_to(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``kind, node_id``: the starts and all nodes that they lead to."""
+    spark = edges.sparkSession
+    levels = Levels(spark, "kind string, node_id string", "met")
+    new = starts.select("kind", "node_id").distinct()
+    while (level := levels.add(new.withColumn("met", F.lit(True)))) is not None:
+        on = edges.join(level.select("kind", F.col("node_id").alias("parent")), ["kind", "parent"]).select("kind", F.col("child").alias("node_id")).distinct()
+        new = on.join(levels.met().select("kind", "node_id"), ["kind", "node_id"], "left_anti")
+    return levels.all().select("kind", "node_id")
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """``kind, node_id, cycle_id``: nodes that lead back to themselves, and the greatest name of their connected part."""
+    base = checkpoint(edges.select("kind", "parent", "child"))
+    tree = hierarchy(base, paths=False)
+    starts = checkpoint(met_again(base, tree).unionByName(unreached(base, tree)))
+    near = checkpoint(led_to(base, starts))
+    core = base.join(near.withColumnRenamed("node_id", "parent"), ["kind", "parent"], "left_semi").join(near.withColumnRenamed("node_id", "child"), ["kind", "child"], "left_semi")
+    return components(core.select("kind", "parent", "child"))
+
+
+def tarjan_kernel(n: int, pairs: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Strongly connected parts of two or more nodes, sorted."""
+    adj: list[list[int]] = [[] for _ in range(n)]
+    for a, b in sorted(set(pairs)):
+        adj[a].append(b)
+    index, low, on, stack, out = [-1] * n, [0] * n, [False] * n, [], []
+    count = 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        work = [(root, iter(adj[root]))]
+        index[root] = low[root] = count
+        count += 1
+        stack.append(root)
+        on[root] = True
+        while work:
+            v, it = work[-1]
+            for w in it:
+                if index[w] < 0:
+                    index[w] = low[w] = count
+                    count += 1
+                    stack.append(w)
+                    on[w] = True
+                    work.append((w, iter(adj[w])))
+                    break
+                if on[w]:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = []
+                    while True:
+                        w = stack.pop()
+                        on[w] = False
+                        part.append(w)
+                        if w == v:
+                            break
+                    if len(part) > 1:
+                        out.append(sorted(part))
+    return sorted(out)
+
+
+def _parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    names = sorted(set(pdf["parent"]) | set(pdf["child"]))
+    at = {x: i for i, x in enumerate(names)}
+    pairs = [(at[a], at[b]) for a, b in zip(pdf["parent"], pdf["child"])]
+    parts = tarjan_kernel(len(names), pairs)
+    alone = {a for a, b in pairs if a == b} - {x for part in parts for x in part}
+    rows = [(pdf["kind"].iloc[0], names[x], names[part[-1]]) for part in [*parts, *([x] for x in sorted(alone))] for x in part]
+    return pd.DataFrame(rows, columns=["kind", "node_id", "cycle_id"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``kind, node_id, cycle_id``: the strongly connected parts that have a cycle, named by their greatest node."""
+    base = checkpoint(edges.select("kind", "parent", "child").distinct())
+    schema = "kind string, node_id string, cycle_id string"
+    if base.count() <= KERNEL_LINKS:
+        return base.groupBy("kind").applyInPandas(_parts, schema)
+    return _spread_parts(base, schema)
+
+
+def peel(edges: DataFrame) -> DataFrame:
     """The links that are on or between cycles: ends without a way in or a way out are removed, level by level."""
     now = checkpoint(edges)
     left = now.count()
-    for _ in range(rounds):
-        if not left:
-            break
+    while left:
         ins = now.select("kind", F.col("child").alias("parent")).distinct()
         outs = now.select("kind", F.col("parent").alias("child")).distinct()
         nxt = checkpoint(now.join(ins, ["kind", "parent"], "left_semi").join(outs, ["kind", "child"], "left_semi").select("kind", "parent", "child"))
@@ -53,21 +185,17 @@ def peel(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     return now
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """``kind, node_id, cycle_id``: nodes that lead back to themselves, and the greatest name of their connected part."""
+def _spread_parts(edges: DataFrame, schema: str) -> DataFrame:
+    """``components`` without a bound on their size."""
     spark = edges.sparkSession
     core = peel(edges)
     found = []
     while not core.isEmpty():
-        nodes = core.select("kind", F.col("parent").alias("node")).union(core.select("kind", F.col("child").alias("node"))).distinct()
-        colour = checkpoint(nodes.withColumn("c", F.col("node")))
-        colour = _spread(core, colour, "parent", "child", None)
+        colour = _spread(core, _ends(core).select("kind", F.col("node_id").alias("node"), F.col("node_id").alias("c")), "parent", "child")
         # Backwards from each colour's own node, along links within the colour.
         a, b = colour.select("kind", F.col("node").alias("parent"), F.col("c").alias("cp")), colour.select("kind", F.col("node").alias("child"), F.col("c").alias("cc"))
         inner = checkpoint(core.join(a, ["kind", "parent"]).join(b, ["kind", "child"]).filter("cp = cc").select("kind", "parent", "child"))
-        seeds = checkpoint(colour.withColumn("c", F.when(F.col("node") == F.col("c"), F.col("c"))))
-        back = _spread(inner, seeds, "child", "parent", None)
-        part = back.filter("c IS NOT NULL")
+        part = _spread(inner, colour.withColumn("c", F.when(F.col("node") == F.col("c"), F.col("c"))), "child", "parent").filter("c IS NOT NULL")
         loops = core.filter("parent = child").select("kind", F.col("parent").alias("node")).distinct().withColumn("_loop", F.lit(True))
         sizes = part.groupBy("kind", "c").agg(F.count(F.lit(1)).alias("_size"))
         cyc = part.join(sizes, ["kind", "c"]).join(loops, ["kind", "node"], "left").filter("_size > 1 OR _loop")
@@ -75,52 +203,26 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
         gone = part.select("kind", "node")
         rest = core.join(gone.withColumnRenamed("node", "parent"), ["kind", "parent"], "left_anti").join(gone.withColumnRenamed("node", "child"), ["kind", "child"], "left_anti")
         core = peel(rest.select("kind", "parent", "child"))
-    if not found:
-        return spark.createDataFrame([], "kind string, node_id string, cycle_id string")
-    out = found[0]
-    for x in found[1:]:
+    out = spark.createDataFrame([], schema)
+    for x in found:
         out = out.unionByName(x)
     return out
 
 
-def _spread(edges: DataFrame, value: DataFrame, frm: str, to: str, limit: int | None) -> DataFrame:
-    """``kind, node, c`` with the greatest ``c`` that reaches the node, to the fixed point."""
-    steps = 0
+def _spread(edges: DataFrame, value: DataFrame, frm: str, to: str) -> DataFrame:
+    """``kind, node, c`` with the greatest ``c`` that reaches the node, to the fixed point; each round only those that
+    moved pass theirs on."""
+    value = checkpoint(value.withColumn("_moved", F.col("c").isNotNull()))
     while True:
-        came = edges.join(value.withColumnRenamed("node", frm), ["kind", frm]).filter("c IS NOT NULL").select("kind", F.col(to).alias("node"), "c", F.lit(True).alias("_new"))
-        both = value.withColumn("_new", F.lit(False)).unionByName(came)
-        best = both.groupBy("kind", "node").agg(F.max("c").alias("c"), F.max(F.when(~F.col("_new"), F.col("c"))).alias("_old"))
-        nxt = checkpoint(best.select("kind", "node", "c", (F.col("c").isNotNull() & ~F.col("c").eqNullSafe(F.col("_old"))).alias("_moved")))
-        moved = not nxt.filter("_moved").isEmpty()
-        value = nxt.drop("_moved")
-        steps += 1
-        if not moved or steps == limit:
-            return value
-
-
-def hierarchy(edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
-    """``kind, node_id, parent_id, root_id, depth, path``: all nodes that a root leads to, ``path`` from the root."""
-    spark = edges.sparkSession
-    base = checkpoint(edges)
-    kids = base.select("kind", F.col("child").alias("parent")).distinct()
-    roots = base.select("kind", "parent").distinct().join(kids, ["kind", "parent"], "left_anti")
-    level = checkpoint(roots.select("kind", F.col("parent").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("parent").alias("root_id"), F.lit(0).alias("depth"), F.array("parent").alias("path")))
-    levels = [level]
-    for depth in range(1, max_levels):
-        met = levels[0].select("kind", "node_id")
-        for x in levels[1:]:
-            met = met.unionByName(x.select("kind", "node_id"))
-        front = level.select("kind", F.col("node_id").alias("parent"), "root_id", "path")
-        best = F.min(F.struct("parent", "root_id", "path")).alias("_b")
-        step = base.join(front, ["kind", "parent"]).groupBy("kind", F.col("child").alias("node_id")).agg(best).join(met, ["kind", "node_id"], "left_anti")
-        level = checkpoint(step.select("kind", "node_id", F.col("_b.parent").alias("parent_id"), F.col("_b.root_id").alias("root_id"), F.lit(depth).alias("depth"), F.concat("_b.path", F.array("node_id")).alias("path")))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.sparkSession.createDataFrame([], out.schema) if not levels else out
+        moved = value.filter("_moved").select("kind", F.col("node").alias(frm), "c")
+        came = edges.join(moved, ["kind", frm]).groupBy("kind", F.col(to).alias("node")).agg(F.max("c").alias("_came"))
+        nxt = value.drop("_moved").join(came, ["kind", "node"], "left")
+        more = F.col("_came").isNotNull() & (F.col("c").isNull() | (F.col("_came") > F.col("c")))
+        nxt = checkpoint(nxt.select("kind", "node", F.when(more, F.col("_came")).otherwise(F.col("c")).alias("c"), more.alias("_moved")))
+        drop_checkpoint(value)
+        value = nxt
+        if value.filter("_moved").isEmpty():
+            return value.drop("_moved")
 
 
 def ancestor_pairs(tree: DataFrame) -> DataFrame:
@@ -158,9 +260,3 @@ def descendants(edges: DataFrame) -> DataFrame:
         new = on.filter("NOT m").unionByName(on.filter("m").distinct().join(out.filter("m").select("a", "n"), ["a", "n"], "left_anti"))
     named = out.join(names.select("kind", F.col("name").alias("ancestor_id"), F.col("no").alias("a")), "a")
     return named.join(names.select(F.col("name").alias("node_id"), F.col("no").alias("n")), "n").select("kind", "ancestor_id", "node_id", "distance")
-
-
-def unreached(edges: DataFrame, tree: DataFrame) -> DataFrame:
-    """``kind, node_id`` of nodes that no root leads to: on cycles or below them."""
-    nodes = edges.select("kind", F.col("parent").alias("node_id")).union(edges.select("kind", F.col("child").alias("node_id"))).distinct()
-    return nodes.join(tree.select("kind", "node_id"), ["kind", "node_id"], "left_anti")

@@ -57,7 +57,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
 def p6_unreached(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that no root leads to."""
     links = checkpoint(_links(spark, d))
-    return hierarchy.unreached(links, hierarchy.hierarchy(links))
+    return hierarchy.unreached(links, hierarchy.hierarchy(links, paths=False))
 
 
 def queries() -> dict:
@@ -71,9 +71,7 @@ rec AS (SELECT repo, path, arg_max(digest, tm) AS digest FROM dig f WHERE EXISTS
 seen AS (SELECT repo, path, max(seen_at) AS tm, arg_max(lower(regexp_replace(trim(content_hash), '^[A-Za-z][A-Za-z0-9_-]*:\\s*', '')), seen_at) AS digest FROM scan_entry GROUP BY 1, 2),
 todo AS (SELECT s.repo, s.path, s.tm, CASE WHEN r.path IS NULL THEN 'new' ELSE 'changed' END AS state FROM seen s LEFT JOIN rec r ON s.repo IS NOT DISTINCT FROM r.repo AND s.path IS NOT DISTINCT FROM r.path WHERE r.path IS NULL OR r.digest IS DISTINCT FROM s.digest)"""
 _P6 = """WITH RECURSIVE l AS (SELECT DISTINCT kind, CASE WHEN kind = 'extends' THEN target ELSE source END AS p, CASE WHEN kind = 'extends' THEN source ELSE target END AS c FROM code_edge WHERE kind IN ('contains', 'extends') AND source IS NOT NULL AND target IS NOT NULL),
-t AS (SELECT DISTINCT kind, p AS node, NULL::VARCHAR AS parent, p AS root, 0 AS depth, p AS path FROM l WHERE NOT EXISTS (SELECT 1 FROM l k WHERE k.kind = l.kind AND k.c = l.p)
-UNION ALL SELECT kind, node, parent, root, depth, path FROM (SELECT l.kind, l.c AS node, l.p AS parent, t.root, t.depth + 1 AS depth, t.path || '>' || l.c AS path, row_number() OVER (PARTITION BY l.kind, l.c ORDER BY l.p, t.root, t.path) AS n FROM t JOIN l ON l.kind = t.kind AND l.p = t.node WHERE NOT contains('>' || t.path || '>', '>' || l.c || '>')) WHERE n = 1),
-tree AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, node ORDER BY depth, parent, root, path) AS n FROM t) WHERE n = 1)"""
+root AS (SELECT DISTINCT kind, p AS node FROM l WHERE NOT EXISTS (SELECT 1 FROM l k WHERE k.kind = l.kind AND k.c = l.p))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -84,6 +82,15 @@ def oracle_sql() -> dict[str, str]:
         "p4_results": """WITH names AS (SELECT id, arg_max(name, coalesce(updated_at, -1)) AS name FROM code_node GROUP BY 1 UNION ALL SELECT id, name FROM shared_symbol)
 SELECT target, kind, sum(n)::BIGINT AS n_rows, sum(s)::BIGINT AS n_sources, round(sum(c) / sum(k) / 1000, 6) AS mean_confidence, max(name) AS target_name FROM
 (SELECT target, kind, count(*) AS n, count(DISTINCT source) AS s, sum(round(CAST(json_extract_string(metadata, '$.confidence') AS DOUBLE) * 1000)::BIGINT) AS c, count(json_extract_string(metadata, '$.confidence')) AS k FROM code_edge GROUP BY 1, 2) e LEFT JOIN names ON names.id = e.target GROUP BY 1, 2""",
+        "p6_unreached": _P6 + """, r AS (SELECT kind, node FROM root UNION SELECT l.kind, l.c FROM r JOIN l ON l.kind = r.kind AND l.p = r.node)
+SELECT kind, node AS node_id FROM (SELECT kind, p AS node FROM l UNION SELECT kind, c FROM l) a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.kind = a.kind AND r.node = a.node)""",
+        "p6_descendants": _P6 + """, r AS (SELECT kind, p AS a, c AS n, 1 AS d FROM l UNION SELECT r.kind, r.a, l.c, r.d + 1 FROM r JOIN l ON l.kind = r.kind AND l.p = r.n WHERE r.d < 60)
+SELECT kind, a AS ancestor_id, n AS node_id, min(d) AS distance FROM r WHERE a <> n GROUP BY 1, 2, 3""",
+        "p6_paths": _P6 + """, r AS (SELECT kind, node, 0 AS d FROM root UNION SELECT l.kind, l.c, r.d + 1 FROM r JOIN l ON l.kind = r.kind AND l.p = r.node WHERE r.d < 60),
+dep AS (SELECT kind, node, min(d) AS depth FROM r GROUP BY 1, 2),
+via AS (SELECT x.kind, l.c AS node, min(l.p) AS parent FROM dep x JOIN l ON l.kind = x.kind AND l.p = x.node JOIN dep y ON y.kind = l.kind AND y.node = l.c AND y.depth = x.depth + 1 GROUP BY 1, 2),
+w AS (SELECT kind, node, NULL::VARCHAR AS parent, node AS root, 0 AS depth, node AS path FROM root UNION ALL SELECT v.kind, v.node, v.parent, w.root, w.depth + 1, w.path || '>' || v.node FROM w JOIN via v ON v.kind = w.kind AND v.parent = w.node)
+SELECT kind, node AS node_id, parent AS parent_id, root AS root_id, depth, path FROM w""",
         "p6_found": """WITH RECURSIVE l AS (SELECT DISTINCT kind, source AS p, target AS c FROM code_edge WHERE kind IN ('contains', 'extends')),
 r AS (SELECT kind, p AS start, c AS node FROM l UNION SELECT r.kind, r.start, l.c FROM r JOIN l ON l.kind = r.kind AND l.p = r.node)
 SELECT DISTINCT kind, start AS node_id FROM r WHERE start = node""",

@@ -32,6 +32,23 @@ def test_cycles_match_brute_force(spark):
     assert got == {("k", n) for n in brute_cycles(rows)}
 
 
+def test_both_ways_to_components_agree(spark, monkeypatch):
+    from graphloom.operators import hierarchy as h
+
+    r = random.Random(9)
+    rows = [(f"n{r.randrange(25)}", f"n{r.randrange(25)}") for _ in range(34)] + [("s", "s")]
+    e = make(spark, rows)
+    few = {tuple(x) for x in h.cycle_nodes(e).collect()}
+    monkeypatch.setattr(h, "KERNEL_LINKS", 0)
+    assert {tuple(x) for x in h.cycle_nodes(e).collect()} == few and {n for _, n, _ in few} == brute_cycles(rows)
+
+
+def test_deep_chains_are_whole(spark):
+    rows = [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)] + [("n000", "n005"), ("n003", "n050")]
+    tree = {x["node_id"]: x for x in hierarchy(make(spark, rows)).collect()}
+    assert len(tree) == 71 and tree["n070"]["depth"] == 24 and tree["n070"]["path"][:6] == ["n000", "n001", "n002", "n003", "n050", "n051"]
+
+
 def test_paths_and_descendants(spark):
     rows = [("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("c", "d"), ("u", "v"), ("v", "u"), ("v", "w")]
     tree = hierarchy(make(spark, rows))
