@@ -1,12 +1,13 @@
 """Per-key joins and results when a handful of keys holds most rows.
 
-Fragment and replicate by load: the load of every key is counted with map-side combining; keys above a fair share of a
-task are split into shards in proportion to their load, all shards are packed onto tasks (longest first, each onto the
-task with the least so far), light keys are spread by their hash over tasks in proportion to the room left. Rows go
-straight to their task (``repartitionById``); the matching side's rows of a split key are replicated to just the tasks
-that hold its shards. Per-key results are partial within the shards and merged at the end.
-
-Only heavy keys reach the driver, and there can be at most ``tasks / fair`` of them, whatever the data.
+Fragment and replicate by load: the loads of keys are estimated from a sample (all rows, if they are few); keys above a
+fair share of a task are split into shards in proportion to their load, all shards are packed onto tasks (longest first,
+each onto the task with the least so far), light keys are spread by their hash over tasks in proportion to the room left.
+Rows go straight to their task (``repartitionById``), the only shuffle of all rows; the matching side's rows of a split
+key are replicated to just the tasks that hold its shards. A task's results are final for light keys; those of the
+shards of a heavy key are merged at the end. The estimates only decide where rows go: results are exact whatever they are.
+
+Only heavy keys reach the driver, and there can be at most ``tasks / FAIR`` of them, whatever the data.
 Defined cases: a null in a key is a value like another; an empty side gives an empty result; repeated rows count each;
 rows are dealt to shards by a hash of all their columns and their place in the scan, so that copies spread too and a
 repeated task deals them alike.
@@ -24,11 +25,16 @@ from pyspark.sql import types as T
 
 #: A key is heavy from this part of a task's fair load.
 FAIR = 0.25
+#: Rows of the sample for each key that could be heavy; and its least size.
+SAMPLE_KEY, SAMPLE_LEAST = 100, 200_000
 
 
-def key_loads(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, load``: rows of each key, combined before the shuffle."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("load"))
+def key_loads(rows: DataFrame, keys: Sequence[str], total: int, tasks: int, seed: int = 11) -> DataFrame:
+    """``keys, load``: rows of each key as a sample of them has it, combined before the shuffle."""
+    part = min(1.0, max(SAMPLE_LEAST, SAMPLE_KEY * tasks / FAIR) / max(total, 1))
+    some = rows.select(*keys)
+    some = some if part == 1 else some.sample(part, seed)
+    return some.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(part)).cast("long").alias("load"))
 
 
 def plan_shards(heavy: list[tuple[tuple, int]], total: int, tasks: int) -> tuple[dict[tuple, list[int]], list[int]]:
@@ -67,10 +73,10 @@ class SkewPlan:
         self.keys = tuple(keys)
         spark = rows.sparkSession
         self.tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        loads = key_loads(rows, keys) if loads is None else loads
-        self.total = loads.agg(F.sum("load")).first()[0] or 0
+        self.total = rows.count() if loads is None else loads.agg(F.sum("load")).first()[0] or 0
+        loads = key_loads(rows, keys, self.total, self.tasks) if loads is None else loads
         least = max(2, int(FAIR * self.total / self.tasks))
-        found = loads.filter(F.col("load") >= least).collect()  # at most tasks / FAIR rows
+        found = loads.filter(F.col("load") >= least).collect()  # about tasks / FAIR rows at most
         self.heavy = [(tuple(r[k] for k in self.keys), r["load"]) for r in found]
         self.placed, self.slots = plan_shards(self.heavy, self.total, self.tasks)
 
@@ -89,10 +95,10 @@ class SkewPlan:
         return F.element_at(slots, (F.pmod(F.xxhash64(*keys), F.lit(len(self.slots))) + 1).cast("int"))
 
     def place(self, rows: DataFrame) -> DataFrame:
-        """The rows with the number of their task, ``_task``; nothing is moved."""
+        """The rows with the number of their task, ``_task``, and whether their key is split; nothing is moved."""
         dealt = self._placed(rows.withColumn("_salt", F.xxhash64(*rows.columns, F.monotonically_increasing_id())), self.keys)
         shard = F.element_at("_tasks", (F.pmod("_salt", F.size("_tasks")) + 1).cast("int"))
-        at = dealt.withColumn("_task", F.when(F.col("_tasks").isNull(), self._light(self.keys)).otherwise(shard))
+        at = dealt.withColumn("_task", F.when(F.col("_tasks").isNull(), self._light(self.keys)).otherwise(shard)).withColumn("_heavy", F.col("_tasks").isNotNull())
         return at.drop("_tasks", "_salt")
 
     def spread(self, rows: DataFrame) -> DataFrame:
@@ -114,18 +120,19 @@ def skew_join(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str =
     a, b = plan.spread(rows), plan.replicate(right, keys)
     b = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_task").alias("_k_task"), *[c for c in right.columns if c not in keys])
     on = reduce(lambda x, y: x & y, [F.col("_task") == F.col("_k_task"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]])
-    return a.join(b, on, how).drop("_task", "_k_task", *[f"_k_{k}" for k in keys])
+    return a.join(b, on, how).drop("_heavy", "_task", "_k_task", *[f"_k_{k}" for k in keys])
 
 
 def results_per_key(rows: DataFrame, keys: Sequence[str], distinct: str | None = None, plan: SkewPlan | None = None) -> DataFrame:
-    """``keys, n_rows[, n_distinct], shards``: partial results of the shards, merged by key. Rows are combined before
-    the shuffle, by shard, so a heavy key arrives as a few rows for each of its tasks.
+    """``keys, n_rows[, n_distinct], shards``: results of the shards on their tasks; only those of heavy keys are merged,
+    a few rows for each.
 
     Distinct values are first made unique by value, so that a heavy key's values are spread as well.
     """
     plan = plan or SkewPlan(rows, keys)
-    partial = plan.place(rows.select(*keys)).groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    merged = partial.groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("shards"))
+    partial = plan.spread(rows.select(*keys)).groupBy("_task", "_heavy", *keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    light = partial.filter("NOT _heavy").select(*keys, "n_rows", F.lit(1).cast("long").alias("shards"))
+    merged = light.unionByName(partial.filter("_heavy").groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("shards")))
     if distinct:
         own = rows.select(*keys, distinct).distinct().groupBy(*keys).agg(F.count(distinct).alias("n_distinct"))
         on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])

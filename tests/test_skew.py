@@ -38,6 +38,19 @@ def test_join_equals_plain_join(spark):
         assert Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.select(got.columns).collect()))
 
 
+def test_results_do_not_depend_on_the_estimate(spark, monkeypatch):
+    from graphloom.operators import skew
+
+    monkeypatch.setattr(skew, "SAMPLE_LEAST", 100)
+    monkeypatch.setattr(skew, "SAMPLE_KEY", 1)
+    data = rows(3)
+    df = spark.createDataFrame(data, "k string, kind string, v int")
+    got = results_per_key(df, ["k", "kind"], plan=SkewPlan(df, ["k", "kind"], tasks=16))
+    assert {(r["k"], r["kind"]): r["n_rows"] for r in got.collect()} == Counter((a, b) for a, b, _ in data)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "shufflepartitionidpassthrough" in plan and {r["shards"] for r in got.filter("k = 'hot'").collect()} != {1}
+
+
 def test_plan_packs_evenly():
     placed, slots = plan_shards([(("x",), 700), (("y",), 100)], 1000, 10)
     load = Counter(t for ts in placed.values() for t in ts)
