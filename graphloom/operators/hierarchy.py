@@ -22,10 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Levels, checkpoint, drop_checkpoint, shared_dir
+from ..session import Levels, checkpoint, drop_checkpoint, path_exists, shared_dir
 
 #: Links that one task splits into strongly connected parts; the result does not depend on it.
 KERNEL_LINKS = 500_000
@@ -44,64 +44,106 @@ def code_links(edges: DataFrame) -> DataFrame:
     return links(e.select("kind", F.when(turn, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turn, F.col("source")).otherwise(F.col("target")).alias("target")))
 
 
-def _ends(edges: DataFrame) -> DataFrame:
-    """``kind, node_id`` of all nodes."""
-    return edges.select("kind", F.col("parent").alias("node_id")).union(edges.select("kind", F.col("child").alias("node_id"))).distinct()
-
-
-def hierarchy(edges: DataFrame, paths: bool = True) -> DataFrame:
-    """``kind, node_id, parent_id, root_id, depth, path``: all nodes that a root leads to, ``path`` from the root (null
-    without ``paths``)."""
+def _key(kind: str, name: str) -> Column:
+    """128 bits that stand for a node: what the rounds carry instead of names."""
+    return F.struct(F.xxhash64(F.lit(1), kind, name).alias("a"), F.xxhash64(F.lit(2), kind, name).alias("b"))
+
+
+class _Steps:
+    """The links of ``edges`` as keys: ``links`` (``f, t, merges``: whether others lead to ``t`` too), ``roots``, and
+    ``nodes`` (``n, ins``)."""
+
+    def __init__(self, edges: DataFrame):
+        pairs = checkpoint(edges.select(_key("kind", "parent").alias("f"), _key("kind", "child").alias("t")))
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("f").alias("n"), F.lit(0).alias("i")), F.struct(F.col("t").alias("n"), F.lit(1).alias("i")))).alias("e"))
+        self.nodes = checkpoint(ends.groupBy("e.n").agg(F.sum("e.i").alias("ins")))
+        several = self.nodes.filter("ins > 1").select(F.col("n").alias("t"), F.lit(True).alias("merges"))
+        self.links = checkpoint(pairs.join(several, "t", "left").select("f", "t", F.coalesce("merges", F.lit(False)).alias("merges")))
+        self.roots = self.nodes.filter("ins = 0").select("n")
+        drop_checkpoint(pairs)
+
+    def depths(self) -> DataFrame:
+        """``n, depth`` of all nodes that a root leads to, level by level. Links whose beginnings were met are left out of
+        later rounds whenever they are half of those left."""
+        levels = Levels(self.links.sparkSession, "n struct<a: bigint, b: bigint>", "merges")
+        left, size, used, first = self.links, self.links.count(), 0, 0
+        new = self.roots.withColumn("merges", F.lit(False))
+        while (level := levels.add(new)) is not None:
+            if 2 * used > size:
+                since = levels.all().filter(F.col("level").between(first, levels.n - 1)).select(F.col("n").alias("f"))
+                left = checkpoint(left.join(since, "f", "left_anti"))
+                size, used, first = left.count(), 0, levels.n
+            used += level.count()
+            on = left.join(level.select(F.col("n").alias("f")), "f").select(F.col("t").alias("n"), "merges")
+            again = on.filter("merges").distinct().join(levels.all().filter("merges").select("n"), "n", "left_anti")
+            new = on.filter("NOT merges").unionByName(again)
+        return levels.all().select("n", F.col("level").alias("depth"))
+
+    def led_to(self, starts: DataFrame) -> DataFrame:
+        """``n``: the starts and all nodes that they lead to."""
+        levels = Levels(self.links.sparkSession, "n struct<a: bigint, b: bigint>", "met")
+        new = starts.select("n").distinct()
+        while (level := levels.add(new.withColumn("met", F.lit(True)))) is not None:
+            on = self.links.join(level.select(F.col("n").alias("f")), "f").select(F.col("t").alias("n")).distinct()
+            new = on.join(levels.all().select("n"), "n", "left_anti")
+        return levels.all().select("n")
+
+    def met_again(self, depths: DataFrame) -> DataFrame:
+        """``n`` of nodes that a link leads to from the same or a deeper level. Each cycle that a root leads to has one,
+        as levels cannot rise all the way round."""
+        rows = self.links.filter("merges").join(depths.select(F.col("n").alias("t"), F.col("depth").alias("to")), "t").join(depths.withColumnRenamed("n", "f"), "f")
+        return rows.filter(F.col("to") <= F.col("depth")).select(F.col("t").alias("n")).distinct()
+
+    def unreached(self, depths: DataFrame) -> DataFrame:
+        """``n`` of nodes that no root leads to."""
+        return self.nodes.select("n").join(depths.select("n"), "n", "left_anti")
+
+
+def hierarchy(edges: DataFrame) -> DataFrame:
+    """``kind, node_id, parent_id, root_id, depth, path``: all nodes that a root leads to, ``path`` from the root."""
     spark = edges.sparkSession
-    merges = edges.groupBy("kind", "child").agg((F.count(F.lit(1)) > 1).alias("merges"))
-    base = checkpoint(edges.join(merges, ["kind", "child"]).select("kind", "parent", "child", "merges"))
+    base = checkpoint(edges.select("kind", "parent", "child"))
+    depths = _Steps(base).depths()
+    # The parent of each node: the smallest of those on the level before.
+    rows = base.select("kind", "parent", "child", _key("kind", "parent").alias("f"), _key("kind", "child").alias("t"))
+    rows = rows.join(depths.select(F.col("n").alias("t"), "depth"), "t").join(depths.select(F.col("n").alias("f"), F.col("depth").alias("above")), "f").filter("above = depth - 1")
+    tree = rows.groupBy("kind", F.col("child").alias("node_id"), "depth").agg(F.min("parent").alias("parent_id"))
+    folder = shared_dir(spark)
+    tree.hint("rebalance", "depth").write.partitionBy("depth").parquet(folder)
+    at = spark.read.schema("kind string, node_id string, parent_id string, depth int").option("basePath", folder)
+    levels = Levels(spark, "kind string, node_id string, parent_id string, root_id string, path array<string>", "below")
     roots = base.select("kind", "parent").distinct().join(base.select("kind", F.col("child").alias("parent")).distinct(), ["kind", "parent"], "left_anti")
-    levels = Levels(spark, "kind string, node_id string, parent_id string, root_id string, path array<string>", "merges")
-    way = lambda *parts: F.concat(*parts) if paths else F.lit(None).cast("array<string>")
-    new = roots.select("kind", F.col("parent").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("parent").alias("root_id"), way(F.array("parent")).alias("path"), F.lit(False).alias("merges"))
-    while (level := levels.add(new)) is not None:
-        on = base.join(level.select("kind", F.col("node_id").alias("parent"), "root_id", "path"), ["kind", "parent"])
-        first = on.filter("merges").groupBy("kind", "child").agg(F.min(F.struct("parent", "root_id", "path")).alias("s"), F.lit(True).alias("merges"))
-        if (met := levels.met()) is not None:
-            first = first.join(met.select("kind", F.col("node_id").alias("child")), ["kind", "child"], "left_anti")
-        both = on.filter("NOT merges").select("kind", "child", F.struct("parent", "root_id", "path").alias("s"), "merges").unionByName(first)
-        new = both.select("kind", F.col("child").alias("node_id"), F.col("s.parent").alias("parent_id"), "s.root_id", way("s.path", F.array("child")).alias("path"), "merges")
+    new = roots.select("kind", F.col("parent").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("parent").alias("root_id"), F.array("parent").alias("path"))
+    while (level := levels.add(new.withColumn("below", F.lit(True)))) is not None:
+        if not path_exists(spark, f"{folder}/depth={levels.n + 1}"):
+            break
+        up = level.select("kind", F.col("node_id").alias("parent_id"), "root_id", F.col("path").alias("_way"))
+        new = at.parquet(f"{folder}/depth={levels.n + 1}").join(up, ["kind", "parent_id"]).select("kind", "node_id", "parent_id", "root_id", F.concat("_way", F.array("node_id")).alias("path"))
     return levels.all().select("kind", "node_id", "parent_id", "root_id", F.col("level").alias("depth"), "path")
 
 
-def unreached(edges: DataFrame, tree: DataFrame) -> DataFrame:
-    """``kind, node_id`` of nodes that no root leads to: on cycles or below them."""
-    return _ends(edges).join(tree.select("kind", "node_id"), ["kind", "node_id"], "left_anti")
-
-
-def met_again(edges: DataFrame, tree: DataFrame) -> DataFrame:
-    """``kind, node_id`` of nodes that a row leads to from the same or a deeper level. Each cycle that a root leads to has
-    one, as levels cannot rise all the way round."""
-    several = edges.groupBy("kind", "child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "child")
-    at = tree.select("kind", "node_id", "depth")
-    rows = edges.join(several, ["kind", "child"], "left_semi")
-    rows = rows.join(at.select("kind", F.col("node_id").alias("child"), F.col("depth").alias("d")), ["kind", "child"]).join(at.select("kind", F.col("node_id").alias("parent"), F.col("depth").alias("from")), ["kind", "parent"])
-    return rows.filter(F.col("d") <= F.col("from")).select("kind", F.col("child").alias("node_id")).distinct()
+def _named(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """``kind, node_id`` of the nodes with the keys ``n``."""
+    node = F.explode(F.array(F.col("parent"), F.col("child"))).alias("node_id")
+    ends = edges.select("kind", node).withColumn("n", _key("kind", "node_id"))
+    return ends.join(keys, "n", "left_semi").select("kind", "node_id").distinct()
 
 
-def led_to(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``kind, node_id``: the starts and all nodes that they lead to."""
-    spark = edges.sparkSession
-    levels = Levels(spark, "kind string, node_id string", "met")
-    new = starts.select("kind", "node_id").distinct()
-    while (level := levels.add(new.withColumn("met", F.lit(True)))) is not None:
-        on = edges.join(level.select("kind", F.col("node_id").alias("parent")), ["kind", "parent"]).select("kind", F.col("child").alias("node_id")).distinct()
-        new = on.join(levels.met().select("kind", "node_id"), ["kind", "node_id"], "left_anti")
-    return levels.all().select("kind", "node_id")
+def unreached(edges: DataFrame) -> DataFrame:
+    """``kind, node_id`` of nodes that no root leads to: on cycles or below them."""
+    base = checkpoint(edges.select("kind", "parent", "child"))
+    steps = _Steps(base)
+    return _named(base, steps.unreached(steps.depths()))
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """``kind, node_id, cycle_id``: nodes that lead back to themselves, and the greatest name of their connected part."""
     base = checkpoint(edges.select("kind", "parent", "child"))
-    tree = hierarchy(base, paths=False)
-    starts = checkpoint(met_again(base, tree).unionByName(unreached(base, tree)))
-    near = checkpoint(led_to(base, starts))
-    core = base.join(near.withColumnRenamed("node_id", "parent"), ["kind", "parent"], "left_semi").join(near.withColumnRenamed("node_id", "child"), ["kind", "child"], "left_semi")
+    steps = _Steps(base)
+    depths = steps.depths()
+    starts = checkpoint(steps.met_again(depths).unionByName(steps.unreached(depths)))
+    near = steps.led_to(starts)
+    core = base.withColumn("f", _key("kind", "parent")).join(near.withColumnRenamed("n", "f"), "f", "left_semi").withColumn("t", _key("kind", "child")).join(near.withColumnRenamed("n", "t"), "t", "left_semi")
     return components(core.select("kind", "parent", "child"))
 
 
@@ -191,7 +233,8 @@ def _spread_parts(edges: DataFrame, schema: str) -> DataFrame:
     core = peel(edges)
     found = []
     while not core.isEmpty():
-        colour = _spread(core, _ends(core).select("kind", F.col("node_id").alias("node"), F.col("node_id").alias("c")), "parent", "child")
+        ends = core.select("kind", F.explode(F.array("parent", "child")).alias("node")).distinct()
+        colour = _spread(core, ends.withColumn("c", F.col("node")), "parent", "child")
         # Backwards from each colour's own node, along links within the colour.
         a, b = colour.select("kind", F.col("node").alias("parent"), F.col("c").alias("cp")), colour.select("kind", F.col("node").alias("child"), F.col("c").alias("cc"))
         inner = checkpoint(core.join(a, ["kind", "parent"]).join(b, ["kind", "child"]).filter("cp = cc").select("kind", "parent", "child"))

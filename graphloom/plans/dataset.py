@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, incremental, skew
-from ..session import checkpoint, table
+from ..session import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +56,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_unreached(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that no root leads to."""
-    links = checkpoint(_links(spark, d))
-    return hierarchy.unreached(links, hierarchy.hierarchy(links, paths=False))
+    return hierarchy.unreached(_links(spark, d))
 
 
 def queries() -> dict:

@@ -49,33 +49,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 class Levels:
     """The tables of a loop's rounds below one shared folder, apart by the flag column ``kept``; one written table each."""
 
     def __init__(self, spark: SparkSession, columns: str, kept: str):
         self.spark, self.columns, self.kept, self.n, self.path = spark, columns, kept, -1, shared_dir(spark)
-        self._Path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(f"{self.columns}, {self.kept} boolean, level int").option("basePath", self.path).parquet(*paths)
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.columns}, level int, {self.kept} boolean").option("basePath", self.path).parquet(path)
 
     def add(self, rows: DataFrame) -> DataFrame | None:
         """Write the next level; None if it has no rows."""
         self.n += 1
-        part = rows.withColumn("level", F.lit(self.n)).hint("rebalance")
-        part.write.mode("append").partitionBy(self.kept, "level").parquet(self.path)
-        found = [p for flag in ("true", "false") if self._fs.exists(self._Path(p := f"{self.path}/{self.kept}={flag}/level={self.n}"))]
-        return self._read(found) if found else None
-
-    def met(self) -> DataFrame | None:
-        """The rows of all levels that have the flag."""
-        p = f"{self.path}/{self.kept}=true"
-        return self._read([p]) if self._fs.exists(self._Path(p)) else None
+        path = f"{self.path}/level={self.n}"
+        rows.hint("rebalance").write.partitionBy(self.kept).parquet(path)
+        return self._read(path) if any(path_exists(self.spark, f"{path}/{self.kept}={flag}") for flag in ("true", "false")) else None
 
     def all(self) -> DataFrame:
-        found = [p for flag in ("true", "false") if self._fs.exists(self._Path(p := f"{self.path}/{self.kept}={flag}"))]
-        return self._read(found) if found else self.spark.createDataFrame([], f"{self.columns}, {self.kept} boolean, level int")
+        return self._read(self.path)
 
 
 def widen(df: DataFrame) -> DataFrame:
