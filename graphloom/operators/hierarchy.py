@@ -5,10 +5,10 @@ by level from the roots: the frontier is joined with the rows that leave it; a c
 smallest parent, one met before is not met again. Only a child of several parents can be met twice, so only such are
 compared with those met before, and they are kept apart for that.
 
-Cycles show in what the levels leave over: nodes no root leads to, and nodes that a row leads back to from the same or a
-deeper level. All cycles lie in what such nodes lead to, and there the strongly connected parts are found: by one task if
-the rows left are few, else by spreading the greatest name forwards and from there backwards. Every round is one written
-table in the shared folder.
+Cycles show in what stays unreached when a node is only reached over all its parents: frontiers from the roots and from
+the leaves leave the rows on and between cycles, and there the strongly connected parts are found: by one task if the
+rows left are few, else by spreading the greatest name forwards and from there backwards. Every round is one written
+table in the shared folder and carries keys of 128 bits instead of names.
 
 Defined cases: rows with a null parent or child are no links; a repeated row is one link; a child with several parents
 gets the path of least depth, then of the smallest parent, but is a descendant of all its parents and of all that lead to
@@ -79,21 +79,6 @@ class _Steps:
             new = on.filter("NOT merges").unionByName(again)
         return levels.all().select("n", F.col("level").alias("depth"))
 
-    def led_to(self, starts: DataFrame) -> DataFrame:
-        """``n``: the starts and all nodes that they lead to."""
-        levels = Levels(self.links.sparkSession, "n struct<a: bigint, b: bigint>", "met")
-        new = starts.select("n").distinct()
-        while (level := levels.add(new.withColumn("met", F.lit(True)))) is not None:
-            on = self.links.join(level.select(F.col("n").alias("f")), "f").select(F.col("t").alias("n")).distinct()
-            new = on.join(levels.all().select("n"), "n", "left_anti")
-        return levels.all().select("n")
-
-    def met_again(self, depths: DataFrame) -> DataFrame:
-        """``n`` of nodes that a link leads to from the same or a deeper level. Each cycle that a root leads to has one,
-        as levels cannot rise all the way round."""
-        rows = self.links.filter("merges").join(depths.select(F.col("n").alias("t"), F.col("depth").alias("to")), "t").join(depths.withColumnRenamed("n", "f"), "f")
-        return rows.filter(F.col("to") <= F.col("depth")).select(F.col("t").alias("n")).distinct()
-
     def unreached(self, depths: DataFrame) -> DataFrame:
         """``n`` of nodes that no root leads to."""
         return self.nodes.select("n").join(depths.select("n"), "n", "left_anti")
@@ -136,15 +121,28 @@ def unreached(edges: DataFrame) -> DataFrame:
     return _named(base, steps.unreached(steps.depths()))
 
 
+def between_cycles(links: DataFrame) -> DataFrame:
+    """The links (``f, t``) on or between cycles. Two frontiers advance by turns, each a level at a time: from the roots to
+    nodes whose parents were all reached, from the leaves to nodes whose children were; a node on a cycle waits for
+    itself. What neither reaches is left, and a level's join reads only what is left."""
+    now = links
+    left, same, up = now.count(), 0, True
+    while left and same < 2:
+        a, b = ("t", "f") if up else ("f", "t")
+        nxt = checkpoint(now.join(now.select(F.col(b).alias(a)).distinct(), a, "left_semi").select("f", "t"))
+        n = nxt.count()
+        drop_checkpoint(now)
+        now, same, up, left = nxt, same + 1 if n == left else 0, not up, n
+    return now
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """``kind, node_id, cycle_id``: nodes that lead back to themselves, and the greatest name of their connected part."""
     base = checkpoint(edges.select("kind", "parent", "child"))
-    steps = _Steps(base)
-    depths = steps.depths()
-    starts = checkpoint(steps.met_again(depths).unionByName(steps.unreached(depths)))
-    near = steps.led_to(starts)
-    core = base.withColumn("f", _key("kind", "parent")).join(near.withColumnRenamed("n", "f"), "f", "left_semi").withColumn("t", _key("kind", "child")).join(near.withColumnRenamed("n", "t"), "t", "left_semi")
-    return components(core.select("kind", "parent", "child"))
+    keys = base.withColumns({"f": _key("kind", "parent"), "t": _key("kind", "child")})
+    rest = between_cycles(checkpoint(keys.select("f", "t")))
+    rest = F.broadcast(rest) if rest.count() <= KERNEL_LINKS else rest
+    return components(keys.join(rest, ["f", "t"], "left_semi").select("kind", "parent", "child"))
 
 
 def tarjan_kernel(n: int, pairs: Iterable[tuple[int, int]]) -> list[list[int]]:
@@ -210,27 +208,10 @@ def components(edges: DataFrame) -> DataFrame:
     return _spread_parts(base, schema)
 
 
-def peel(edges: DataFrame) -> DataFrame:
-    """The links that are on or between cycles: ends without a way in or a way out are removed, level by level."""
-    now = checkpoint(edges)
-    left = now.count()
-    while left:
-        ins = now.select("kind", F.col("child").alias("parent")).distinct()
-        outs = now.select("kind", F.col("parent").alias("child")).distinct()
-        nxt = checkpoint(now.join(ins, ["kind", "parent"], "left_semi").join(outs, ["kind", "child"], "left_semi").select("kind", "parent", "child"))
-        n = nxt.count()
-        drop_checkpoint(now)
-        now = nxt
-        if n == left:
-            break
-        left = n
-    return now
-
-
 def _spread_parts(edges: DataFrame, schema: str) -> DataFrame:
     """``components`` without a bound on their size."""
     spark = edges.sparkSession
-    core = peel(edges)
+    core = edges
     found = []
     while not core.isEmpty():
         ends = core.select("kind", F.explode(F.array("parent", "child")).alias("node")).distinct()
@@ -245,7 +226,7 @@ def _spread_parts(edges: DataFrame, schema: str) -> DataFrame:
         found.append(checkpoint(cyc.select("kind", F.col("node").alias("node_id"), F.col("c").alias("cycle_id"))))
         gone = part.select("kind", "node")
         rest = core.join(gone.withColumnRenamed("node", "parent"), ["kind", "parent"], "left_anti").join(gone.withColumnRenamed("node", "child"), ["kind", "child"], "left_anti")
-        core = peel(rest.select("kind", "parent", "child"))
+        core = checkpoint(rest.select("kind", "parent", "child"))
     out = spark.createDataFrame([], schema)
     for x in found:
         out = out.unionByName(x)
