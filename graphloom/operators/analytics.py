@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import module_of
 from ..schema import LOW_SIGNAL
 from ..session import checkpoint
-from .hierarchy import components, links
+from .hierarchy import components, links, tarjan_kernel  # noqa: F401
 from .store import Graph
 
 # Directories and file names that say little about structure.

@@ -1,13 +1,16 @@
 """Processing only new or changed records: a manifest of what was processed, and batches that may be repeated.
 
 Each run lists its input, takes the newest sighting of every key, removes by anti-join what the manifest already holds
-with the same checksum, writes its output under the batch's identifier and commits the manifest entry last, by a rename.
-A run that fails before the commit left nothing that counts: repeated under the same identifier it overwrites its own
-output; a committed batch is never run again. So nothing is skipped and nothing is done twice.
-
-Defined cases: null keys compare equal to null; a null checksum never equals another, so such a record stays pending;
-among sightings of one moment the greatest checksum counts; repeated rows are one record; an empty listing has nothing
-pending; checksums are compared as digests (case, blanks and an ``algorithm:`` prefix do not matter).
+with the same checksum and size, writes what it is to do, then its output under the batch's identifier, and commits the
+manifest entry last, by a rename. What was processed is what the entry says, as both are read from the one written list.
+Whatever a failed run left does not count: readers take the output of committed batches only (``output``), and the next
+run clears it away before it starts. So nothing is skipped and nothing is done twice, also if the next run has another
+identifier. One run writes at a time.
+
+Defined cases: null keys compare equal to null; a null checksum never equals another, so such a record stays pending; a
+size that is not known on both sides says nothing; among sightings of one moment the greatest checksum counts; repeated
+rows are one record; an empty listing has nothing pending; checksums are compared as digests (case, blanks and an
+``algorithm:`` prefix do not matter).
 """
 
 from __future__ import annotations
@@ -51,60 +54,82 @@ def records_of_runs(records: DataFrame, runs: DataFrame, at: str, status: str =
     return rows.join(bins, (rows["_bin"] == bins["_bin"]) & (rows[at] >= bins["_from"]) & (rows[at] < bins["_to"]), "left_semi").drop("_bin")
 
 
-def pending(listing: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``listing`` (``keys, digest``) that the manifest does not hold with the same digest."""
-    m = manifest.select(*[F.col(k).alias(f"_m_{k}") for k in keys], F.col("digest").alias("_m_digest"))
+def pending(listing: DataFrame, manifest: DataFrame, keys: Sequence[str], size: str | None = None) -> DataFrame:
+    """Rows of ``listing`` (``keys, digest``) that the manifest does not hold with the same digest, and with the same size
+    if a column for it is named."""
+    m = manifest.select(*[F.col(k).alias(f"_m_{k}") for k in keys], F.col("digest").alias("_m_digest"), *([F.col(size).alias("_m_size")] if size else []))
     same = F.col("digest") == F.col("_m_digest")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+    if size:
+        same = same & F.coalesce(F.col(size) == F.col("_m_size"), F.lit(True))
     return listing.join(m, same, "left_anti")
 
 
 class Manifest:
-    """The committed batches below a folder: ``<path>/batch_id=<id>/`` with ``keys, digest, size``."""
+    """The committed batches below a folder: ``<path>/batch_id=<id>/`` with ``keys, digest, size, at``."""
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), tuple(keys)
         self._Path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _batches(self, folder: str) -> set[str]:
+        found = self._fs.globStatus(self._Path(f"{folder.rstrip('/')}/batch_id=*")) or []
+        return {f.getPath().getName().removeprefix("batch_id=") for f in found}
+
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._Path(f"{self.path}/batch_id={batch_id}"))
+        return batch_id in self._batches(self.path)
 
     def entries(self, schema_of: DataFrame) -> DataFrame:
         """The newest committed entry of each key."""
         schema = schema_of.select(*self.keys, "digest", "size", "at").schema
-        if not self._fs.exists(self._Path(self.path)):
+        if not self._batches(self.path):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{self.path}/batch_id=*") if self._fs.globStatus(self._Path(f"{self.path}/batch_id=*")) else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/batch_id=*")
         top = rows.groupBy(*self.keys).agg(F.max(F.struct("at", "digest", "size")).alias("_s"))
         return top.select(*self.keys, "_s.digest", "_s.size", "_s.at")
 
+    def output(self, output: str) -> DataFrame | None:
+        """What committed batches wrote, with ``batch_id``; None before the first."""
+        done = sorted(self._batches(self.path) & self._batches(output))
+        return self.spark.read.option("basePath", output).parquet(*[f"{output.rstrip('/')}/batch_id={b}" for b in done]) if done else None
+
+    def clear(self, output: str) -> None:
+        """Remove what runs left that did not commit."""
+        for f in self._fs.globStatus(self._Path(f"{self.path}/_staged_*")) or []:
+            self._fs.delete(f.getPath(), True)
+        fs = self._Path(output).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for b in self._batches(output) - self._batches(self.path):
+            fs.delete(self._Path(f"{output.rstrip('/')}/batch_id={b}"), True)
+
     def run(self, batch_id: str, listing: DataFrame, process: Callable[[DataFrame], DataFrame], output: str) -> bool:
-        """Process what is new in ``listing`` (``keys, digest, size, at``, one row a key) into
+        """Process what is new in ``listing`` (``keys, digest, size, at, ...``, one row a key) into
         ``<output>/batch_id=<id>``; False if the batch is committed already."""
         if self.committed(batch_id):
             return False
-        todo = pending(listing, self.entries(listing), self.keys)
+        self.clear(output)
         staged = f"{self.path}/_staged_{batch_id}"
-        todo.select(*self.keys, "digest", "size", "at").write.mode("overwrite").parquet(staged)
-        todo = listing.join(self.spark.read.parquet(staged).select(*self.keys).distinct(), list(self.keys), "left_semi") if not any(f.nullable for f in listing.select(*self.keys).schema) else self._matched(listing, staged)
+        pending(listing, self.entries(listing), self.keys, "size").write.mode("overwrite").parquet(f"{staged}/todo")
+        todo = self.spark.read.schema(listing.schema).parquet(f"{staged}/todo")
         process(todo).write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
-        return self._fs.rename(self._Path(staged), self._Path(f"{self.path}/batch_id={batch_id}"))
+        todo.select(*self.keys, "digest", "size", "at").write.mode("overwrite").parquet(f"{staged}/entry")
+        if not self._fs.rename(self._Path(f"{staged}/entry"), self._Path(f"{self.path}/batch_id={batch_id}")):
+            raise RuntimeError(f"batch {batch_id} could not be committed")
+        self._fs.delete(self._Path(staged), True)
+        return True
+
 
-    def _matched(self, listing: DataFrame, staged: str) -> DataFrame:
-        s = self.spark.read.parquet(staged).select(*[F.col(k).alias(f"_m_{k}") for k in self.keys])
-        same = F.lit(True)
-        for k in self.keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-        return listing.join(s, same, "left_semi")
+def recorded(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """The manifest that the record table amounts to: for each file the newest entry written by a successful run."""
+    return newest(records_of_runs(records, runs, "indexed_at"), ("repo", "path"), "content_hash", "indexed_at")
 
 
 def changed_files(sightings: DataFrame, records: DataFrame, runs: DataFrame) -> DataFrame:
     """``repo, path, digest, at, size, state``: files whose newest sighting is not what a successful run recorded last."""
     keys = ("repo", "path")
     seen = newest(sightings, keys, "content_hash", "seen_at", "size")
-    done = newest(records_of_runs(records, runs, "indexed_at"), keys, "content_hash", "indexed_at")
+    done = recorded(records, runs)
     todo = pending(seen, done, keys)
     known = done.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.lit(True).alias("_known"))
     out = todo.join(known, todo["repo"].eqNullSafe(known["_r"]) & todo["path"].eqNullSafe(known["_p"]), "left")

@@ -1,9 +1,10 @@
-"""Binding references to symbols: every strategy gives candidates, the best confidence wins.
+"""Binding references to symbols: every strategy gives candidates, the ladder and the confidence decide.
 
 All strategies are joins of the reference table with the symbol table. Names with more than ``CEILING`` symbols are not
-joined at all for the exact match (a guard of the semantics and against hot names), others are scored. The result is the
-highest confidence, then the order of strategies, then the candidate's own order. Candidates are ordered by file, line
-and id, which stands for the order of insertion.
+joined at all for the exact match (a guard of the semantics and against hot names), others are scored. Among the
+strategies by name the first that finds something counts: path, qualified name, method, exact name, fuzzy name. Its
+candidate competes by confidence with those of imports and of registered strategies; then the order of strategies and
+the candidate's own order decide. Candidates are ordered by file, line and id, which stands for the order of insertion.
 """
 
 from __future__ import annotations
@@ -202,10 +203,16 @@ def by_document(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.unionByName(_candidate(mention, F.lit(0.9), "exact-match", 2)).unionByName(_candidate(link, F.lit(0.9), "exact-match", 1))
 
 
+_BY_NAME = ("file-path", "qualified-name", "instance-method", "exact-match", "fuzzy")
+
+
 def pick(candidates: DataFrame) -> DataFrame:
-    """The best candidate of each reference."""
+    """The best candidate of each reference: the first of the ladder among those found by name, then by confidence."""
+    named = F.col("resolved_by").isin(*_BY_NAME)
+    first = F.min(F.when(named, F.col("ladder"))).over(W.partitionBy("ref_id"))
+    kept = candidates.withColumn("_first", first).filter(~named | (F.col("ladder") == F.col("_first"))).drop("_first")
     r = F.row_number().over(W.partitionBy("ref_id").orderBy(F.desc("confidence"), "ladder", "t_file", "t_line", "target"))
-    return candidates.withColumn("r", r).filter("r = 1").drop("r")
+    return kept.withColumn("r", r).filter("r = 1").drop("r")
 
 
 def resolve(graph: Graph, refs: DataFrame | None = None, imports: DataFrame | None = None, extra_builtins: dict[str, list[str]] | None = None, more: list[Callable[[DataFrame, DataFrame], DataFrame]] = ()) -> DataFrame:

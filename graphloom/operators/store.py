@@ -1,13 +1,14 @@
 """The graph as tables: reading it clean, point and batch reads, writes with their rules, maintenance.
 
-Writes are functions from tables to tables; ``save`` writes a new snapshot and then swaps a manifest, so readers never
-see half a write. Order where the store had insertion order is made explicit.
+Writes are functions from tables to tables; ``save`` writes a new snapshot and then a numbered manifest, of which the newest
+counts, so readers never see half a write. Order where the store had insertion order is made explicit.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import threading
 import uuid
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
@@ -44,9 +45,10 @@ def edge_key(line: str = "line", column: str = "column_no") -> list[Column]:
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:
-    """One row for each identity (source, target, kind, line, column; no position is a position)."""
+    """One row for each identity (source, target, kind, line, column; no position is a position): as tables have no first
+    row, the least by provenance and metadata, whole."""
     keys = edges.withColumns({"_l": F.coalesce("line", F.lit(-1)), "_c": F.coalesce("column_no", F.lit(-1))})
-    one = keys.groupBy("source", "target", "kind", "_l", "_c").agg(F.min("metadata").alias("metadata"), F.min("provenance").alias("provenance"))
+    one = keys.groupBy("source", "target", "kind", "_l", "_c").agg(F.min(F.struct("provenance", "metadata")).alias("s")).select("*", "s.*")
     return one.select("source", "target", "kind", "metadata", F.when(F.col("_l") >= 0, F.col("_l")).alias("line"), F.when(F.col("_c") >= 0, F.col("_c")).alias("column_no"), "provenance")
 
 
@@ -266,27 +268,41 @@ def dominant_files(graph: Graph, top: int = 2) -> DataFrame:
     return graph.edges.join(f, "source").groupBy("file_path").agg(F.count(F.lit(1)).alias("edges")).orderBy(F.desc("edges"), "file_path").limit(top)
 
 
-_BANNED = frozenset("insert update delete create drop alter truncate merge replace grant revoke load set reset cache uncache refresh analyze call use".split())
+_BANNED = frozenset("insert update delete create drop alter truncate merge grant revoke load set reset cache uncache refresh analyze call use".split())
 
 
-def raw_select(spark: SparkSession, graph: Graph, sql: str, limit: int = 1000) -> DataFrame:
-    """A SELECT over views ``node``, ``edge``, ``unresolved_ref``, ``file``; nothing else is let through, even in text."""
+def raw_select(spark: SparkSession, graph: Graph, sql: str, limit: int = 1000, timeout: float = 30.0) -> DataFrame:
+    """A single SELECT over ``node``, ``edge``, ``unresolved_ref``, ``file``, which stand before it as common tables; words
+    that change anything are not let through, even in text. At most ``limit`` rows; a query that takes longer than
+    ``timeout`` seconds is cancelled."""
     text = sql.strip().rstrip(";").strip()
     if not re.match(r"(?i)select\b", text) or ";" in text:
         raise ValueError("only a single SELECT is allowed")
     if bad := _BANNED & set(re.findall(r"[a-z]+", text.lower())):
         raise ValueError(f"not allowed: {sorted(bad)}")
-    tag = uuid.uuid4().hex[:8]
-    for name, df in (("node", graph.nodes), ("edge", graph.edges), ("unresolved_ref", graph.refs), ("file", graph.files)):
-        df.createOrReplaceTempView(f"{name}_{tag}")
-        text = re.sub(rf"(?i)\b(from|join)\s+{name}\b", rf"\1 {name}_{tag} {name}", text)
-    if not re.search(r"(?i)\blimit\s+\d+\s*$", text):
-        text += f" LIMIT {limit}"
-    return spark.sql(text)
+    own = {f"{name}_{uuid.uuid4().hex}": (name, df) for name, df in (("node", graph.nodes), ("edge", graph.edges), ("unresolved_ref", graph.refs), ("file", graph.files))}
+    tables = ", ".join(f"{name} AS (SELECT * FROM {view})" for view, (name, _) in own.items())
+    for view, (_, df) in own.items():
+        df.createOrReplaceTempView(view)
+    try:
+        rows = spark.sql(f"WITH {tables} {text}").limit(limit)
+    finally:
+        for view in own:
+            spark.catalog.dropTempView(view)
+    tag = f"raw-{uuid.uuid4().hex}"
+    clock = threading.Timer(timeout, spark.sparkContext.cancelJobGroup, [tag])
+    spark.sparkContext.setJobGroup(tag, "raw select", interruptOnCancel=True)
+    clock.start()
+    try:
+        got = rows.collect()  # at most ``limit``
+    finally:
+        clock.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return spark.createDataFrame(got, rows.schema)
 
 
 class Store:
-    """Snapshots of a graph below a folder; ``current.json`` names the one that counts, and is swapped last."""
+    """Snapshots of a graph below a folder; the newest manifest names the one that counts, and is written last."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -294,11 +310,13 @@ class Store:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> list[tuple[int, str]]:
+        found = self._fs.globStatus(self._Path(f"{self.path}/manifest-*.json")) or []
+        return sorted((int(re.search(r"manifest-(\d+)\.json$", str(f.getPath())).group(1)), str(f.getPath())) for f in found)
+
     def meta(self) -> dict[str, str]:
-        at = f"{self.path}/current.json"
-        if not self._fs.exists(self._Path(at)):
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(at, wholetext=True).collect()))
+        found = self._manifests()
+        return json.loads("".join(r[0] for r in self.spark.read.text(found[-1][1], wholetext=True).collect())) if found else {}
 
     def save(self, graph: Graph, **meta: str) -> str:
         snapshot = uuid.uuid4().hex
@@ -315,13 +333,17 @@ class Store:
         self._swap(self.meta() | values)
 
     def _swap(self, meta: dict[str, str]) -> None:
-        new = self._Path(f"{self.path}/.current.json.{uuid.uuid4().hex}")
+        """Write the next manifest whole and rename it to its number; readers take the newest, so one always counts."""
+        found = self._manifests()
+        new = self._Path(f"{self.path}/.manifest.{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
         out.close()
-        at = self._Path(f"{self.path}/current.json")
-        self._fs.delete(at, False)
-        self._fs.rename(new, at)
+        if not self._fs.rename(new, self._Path(f"{self.path}/manifest-{(found[-1][0] if found else 0) + 1}.json")):
+            self._fs.delete(new, False)
+            raise RuntimeError("another writer took this manifest's number")
+        for _, old in found[:-1]:
+            self._fs.delete(self._Path(old), False)
 
     def load(self) -> Graph:
         snapshot = self.meta().get("snapshot")

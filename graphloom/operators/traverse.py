@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import CALL_KINDS, CONTAINER_KINDS, HIERARCHY_KINDS
-from ..session import checkpoint
+from ..session import Levels, checkpoint
 from .store import Graph, file_dependencies
 
 #: Most edges that a single exact walk brings together.
@@ -48,22 +48,24 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return out if direction == "out" else back if direction == "in" else out.unionByName(back)
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out") -> DataFrame:
-    """``start_id, id, depth``: all nodes within ``depth`` steps of each start (column ``id``), starts not included."""
+def bfs(edges: DataFrame, starts: DataFrame, depth: int | None, direction: str = "out") -> DataFrame:
+    """``start_id, id, depth``: all nodes within ``depth`` steps (None: any number) of each start (column ``id``), starts
+    not included."""
     pairs = steps(edges, direction).select("here", "there").filter("here != there").distinct()
-    if depth > 2:
-        pairs = checkpoint(pairs)
-    seen = starts.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("depth")).distinct()
-    front = seen
-    for level in range(1, depth + 1):
-        new = front.select("start_id", F.col("id").alias("here")).join(pairs, "here").select("start_id", F.col("there").alias("id")).distinct()
-        new = new.join(seen.select("start_id", "id"), ["start_id", "id"], "left_anti").withColumn("depth", F.lit(level))
-        if depth > 2:
-            new = checkpoint(new)
-            if new.isEmpty():
-                break
-        seen, front = seen.unionByName(new), new
-    return seen.filter("depth > 0")
+    begin = starts.select(F.col("id").alias("start_id"), "id").distinct()
+    further = lambda front: front.select("start_id", F.col("id").alias("here")).join(pairs, "here").select("start_id", F.col("there").alias("id")).distinct()
+    if depth is not None and depth <= 2:
+        seen, front = begin.withColumn("depth", F.lit(0)), begin
+        for level in range(1, depth + 1):
+            front = further(front).join(seen.select("start_id", "id"), ["start_id", "id"], "left_anti")
+            seen = seen.unionByName(front.withColumn("depth", F.lit(level)))
+        return seen.filter("depth > 0")
+    pairs = checkpoint(pairs)
+    levels = Levels(edges.sparkSession, "start_id string, id string", "met")
+    new = begin
+    while (front := levels.add(new.withColumn("met", F.lit(True)))) is not None and (depth is None or levels.n < depth):
+        new = further(front).join(levels.all().select("start_id", "id"), ["start_id", "id"], "left_anti")
+    return levels.all().select("start_id", "id", F.col("level").alias("depth")).filter("depth > 0")
 
 
 def callers(graph: Graph, starts: DataFrame, depth: int = 2) -> DataFrame:
@@ -151,7 +153,7 @@ def exact_impact(graph: Graph, start: str, depth: int) -> tuple[DataFrame, DataF
     back = _adjacency(graph.edges, reach, "in", start)
     down = _adjacency(graph.edges.filter("kind = 'contains'"), reach, "out", start)
     ids = reach.select("id").union(spark.createDataFrame([(start,)], "id string")).distinct()
-    kinds = {r["id"]: r["kind"] for r in graph.nodes.join(ids, "id", "left_semi").select("id", "kind").limit(EXACT_EDGES).collect()}
+    kinds = {r["id"]: r["kind"] for r in graph.nodes.join(ids, "id", "left_semi").select("id", "kind").collect()}  # ends of those edges
     nodes: dict[str, int] = {start: 0}
     edges: dict[tuple, None] = {}
     stack = [(start, 0)]
@@ -180,9 +182,10 @@ def exact_impact(graph: Graph, start: str, depth: int) -> tuple[DataFrame, DataF
     return spark.createDataFrame(sorted(nodes.items()), "id string, depth int"), spark.createDataFrame([*edges], "source string, target string, kind string, line int, column_no int")
 
 
-def find_path(graph: Graph, start: str, goal: str, kinds: Iterable[str] = (), max_hops: int = 1000) -> DataFrame:
+def find_path(graph: Graph, start: str, goal: str, kinds: Iterable[str] = ()) -> DataFrame:
     """``pos, id, kind, line``: the shortest path along outgoing edges, the first in the order of adjacent edges; empty
-    if there is none. The frontier grows by one join a level and keeps, for each node, the first way to it."""
+    if there is none. Levels go out from the start until one has the goal; back from there only nodes on shortest paths
+    are kept; on them the path takes the first edge from each node."""
     spark = graph.edges.sparkSession
     schema = "pos int, id string, kind string, line int"
     known = graph.nodes.filter(F.col("id").isin(start, goal)).select("id").distinct().count()
@@ -193,27 +196,28 @@ def find_path(graph: Graph, start: str, goal: str, kinds: Iterable[str] = (), ma
     e = graph.edges.filter(F.col("kind").isin(*kinds)) if kinds else graph.edges
     e = e.filter("source != target").withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order("target"))]))
     e = checkpoint(e.groupBy("source", "target").agg(F.min("_o").alias("_o")))
-    hop = F.struct(F.lit(start).alias("id"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("line"))
-    front = checkpoint(spark.range(1).select(F.lit(start).alias("id"), F.array(hop).alias("path"), F.array(F.lit(0)).alias("way")))
-    seen = front.select("id")
-    for _ in range(max_hops):
-        step = front.withColumnRenamed("id", "source").join(e, "source")
-        # the way by ranks of edges is compared as the walk would have met it
-        step = step.select(F.col("target").alias("id"), F.struct("way", "_o").alias("w"), "path", F.struct(F.col("target").alias("id"), F.col("_o.o3").alias("kind"), F.when(F.col("_o.o1") >= 0, F.col("_o.o1")).alias("line")).alias("hop"))
-        best = step.groupBy("id").agg(F.min(F.struct("w", F.concat("path", F.array("hop")).alias("path"))).alias("b"), )
-        best = best.join(seen, "id", "left_anti").select("id", F.col("b.path").alias("path"), F.col("b.w").alias("w"))
-        number = F.row_number().over(W.orderBy("w"))
-        new = checkpoint(best.withColumn("_n", number).select("id", "path", F.array("_n").alias("way")))
-        found = new.filter(F.col("id") == goal).select("path").limit(1).collect()
-        if found:
-            return spark.createDataFrame([(i, h["id"], h["kind"], h["line"]) for i, h in enumerate(found[0]["path"])], schema)
-        if new.isEmpty():
+    levels, fronts = Levels(spark, "id string", "met"), []
+    new = spark.range(1).select(F.lit(start).alias("id"))
+    while (front := levels.add(new.withColumn("met", F.lit(True)))) is not None:
+        fronts.append(front.select("id"))
+        if not front.filter(F.col("id") == goal).isEmpty():
             break
-        seen, front = seen.union(new.select("id")), new
-    return spark.createDataFrame([], schema)
-
-
-def type_hierarchy(graph: Graph, starts: DataFrame, max_depth: int = 64) -> DataFrame:
+        step = e.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+        new = step.join(levels.all().select("id"), "id", "left_anti")
+    else:
+        return spark.createDataFrame([], schema)
+    on = [spark.createDataFrame([(goal,)], "id string")]
+    for front in reversed(fronts[1:-1]):
+        to = e.join(on[0].select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
+        on.insert(0, checkpoint(front.join(to, "id", "left_semi")))
+    path: list[tuple] = [(0, start, None, None)]
+    for front in on:
+        first = e.filter(F.col("source") == path[-1][1]).join(front.select(F.col("id").alias("target")), "target").agg(F.min(F.struct("_o", "target")).alias("m")).first()["m"]
+        path.append((len(path), first["target"], first["_o"]["o3"], first["_o"]["o1"] if first["_o"]["o1"] >= 0 else None))
+    return spark.createDataFrame(path, schema)
+
+
+def type_hierarchy(graph: Graph, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start_id, id, relation, depth``: ancestors (along the edges) and descendants (against them)."""
     e = graph.edges.filter(F.col("kind").isin(*HIERARCHY_KINDS))
     up = bfs(e, starts, max_depth, "out").withColumn("relation", F.lit("ancestor"))
@@ -253,7 +257,7 @@ def traverse(graph: Graph, start: str, max_depth: int = 3, direction: str = "out
     return (seen if include_start else seen.filter(F.col("id") != start)), walked
 
 
-def ancestors(graph: Graph, starts: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(graph: Graph, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start_id, id, depth``: the chain of first containers; a cycle ends it."""
     up = graph.edges.filter("kind = 'contains'").groupBy("target").agg(F.min(F.struct(F.coalesce("line", F.lit(-1)).alias("l"), "source")).alias("s"))
     up = up.select(F.col("target").alias("id"), F.col("s.source").alias("parent"))

@@ -9,6 +9,7 @@ from ..functions.columns import module_of, node_id
 from ..operators import analytics, resolve, search, store, synthesis, traverse
 from ..schema import CALL_KINDS
 from ..session import checkpoint, table
+from ..sources import bindings
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -42,11 +43,11 @@ def _hub(g: store.Graph) -> DataFrame:
 
 
 def _seeds(g: store.Graph) -> DataFrame:
-    """A fixed, spread set of starts: functions whose id ends in two zeros."""
-    return g.nodes.filter(F.col("kind").isin("function", "method") & F.col("id").endswith("00")).select("id")
+    """All functions and methods."""
+    return g.nodes.filter(F.col("kind").isin("function", "method")).select("id")
 
 
-_SEEDS = "SELECT id FROM node WHERE kind IN ('function', 'method') AND id LIKE '%00'"
+_SEEDS = "SELECT id FROM node WHERE kind IN ('function', 'method')"
 
 
 # -- identities and tables -------------------------------------------------------------------------------------------
@@ -153,7 +154,7 @@ def m4_dominant_files(spark, d):
 
 @query(f"WITH {_G} SELECT kind, count(*) AS n, max(start_line) AS last_line FROM node GROUP BY kind")
 def m6_raw_select(spark, d):
-    return store.raw_select(spark, _graph(spark, d), "SELECT kind, count(*) AS n, max(start_line) AS last_line FROM node GROUP BY kind")
+    return store.raw_select(spark, _graph(spark, d), "SELECT n.kind, count(*) AS n, max(n.start_line) AS last_line FROM node n WHERE replace(n.kind, 'x', 'y') IS NOT NULL GROUP BY n.kind")
 
 
 # -- traversals ------------------------------------------------------------------------------------------------------
@@ -205,14 +206,14 @@ def t3_find_path(spark, d):
     return traverse.find_path(g, start, hub, CALL_KINDS)
 
 
-@query(f"""WITH RECURSIVE {_G}, s AS (SELECT id FROM node WHERE kind = 'class' AND id LIKE '%0'), e AS (SELECT DISTINCT source, target FROM edge WHERE kind IN ('extends', 'implements') AND source <> target),
+@query(f"""WITH RECURSIVE {_G}, s AS (SELECT id FROM node WHERE kind = 'class'), e AS (SELECT DISTINCT source, target FROM edge WHERE kind IN ('extends', 'implements') AND source <> target),
 up AS (SELECT id AS start_id, id, 0 AS depth FROM s UNION SELECT up.start_id, e.target, up.depth + 1 FROM up JOIN e ON e.source = up.id WHERE up.depth < 32),
 dn AS (SELECT id AS start_id, id, 0 AS depth FROM s UNION SELECT dn.start_id, e.source, dn.depth + 1 FROM dn JOIN e ON e.target = dn.id WHERE dn.depth < 32),
 a AS (SELECT start_id, id, 'ancestor' AS relation, min(depth) AS depth FROM up WHERE id <> start_id GROUP BY 1, 2), b AS (SELECT start_id, id, 'descendant' AS relation, min(depth) AS depth FROM dn WHERE id <> start_id GROUP BY 1, 2)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.start_id = b.start_id AND a.id = b.id)""")
 def t4_type_hierarchy(spark, d):
     g = _graph(spark, d)
-    return traverse.type_hierarchy(g, g.nodes.filter((F.col("kind") == "class") & F.col("id").endswith("0")).select("id"), 32)
+    return traverse.type_hierarchy(g, g.nodes.filter(F.col("kind") == "class").select("id"))
 
 
 @query()
@@ -225,7 +226,7 @@ def t5_traverse(spark, d):
 @query(_bfs_sql(_SEEDS, "SELECT target AS here, source AS there FROM (SELECT target, source, row_number() OVER (PARTITION BY target ORDER BY line, source) AS n FROM edge WHERE kind = 'contains') WHERE n = 1", 64))
 def t6_ancestors(spark, d):
     g = _graph(spark, d)
-    return traverse.ancestors(g, _seeds(g), 64)
+    return traverse.ancestors(g, _seeds(g))
 
 
 @query(f"""WITH RECURSIVE {_G}, dep AS (SELECT DISTINCT t.file_path AS here, s.file_path AS there FROM edge e JOIN node s ON s.id = e.source JOIN node t ON t.id = e.target WHERE e.kind <> 'contains' AND s.file_path <> t.file_path),
@@ -362,8 +363,13 @@ def a12_export_dot(spark, d):
 # -- resolution ------------------------------------------------------------------------------------------------------
 def _resolved(spark, d):
     g = _graph(spark, d)
-    g = g._replace(nodes=checkpoint(g.nodes))
-    return g, resolve.resolve(g)
+    g = g._replace(nodes=checkpoint(g.nodes), edges=checkpoint(g.edges))
+    texts = table(spark, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text")
+    imports = bindings.resolve_bindings(bindings.import_bindings(texts).distinct(), texts.select("path"))
+    first = checkpoint(resolve.resolve(g, imports=imports))
+    # The second round: members of supertypes, for what is still open.
+    rest = resolve.with_ref_id(g.refs).join(first.select("ref_id"), "ref_id", "left_anti")
+    return g, first.unionByName(resolve.inherited_members(g, rest).select(*first.columns))
 
 
 @query()

@@ -34,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a local one only where none is named, as in tests."""
+    """A new folder below the one that all executors share. A local one only where none is named and the master is local,
+    as in tests; on a cluster the name is needed."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -2,12 +2,13 @@
 
 ``import_bindings`` gives ``file_path, local, exported, source`` by patterns of each language; ``resolve_bindings`` finds
 the file that a source names. ``receiver_types`` finds, for calls of the form ``receiver.member``, the nearest
-declaration of the receiver above the call within the enclosing function, one pass over each file.
+declaration of the receiver above the call within the enclosing function, from the tokens of each file.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import widen
 from .extract import detect_language
 from .frameworks import blank_comments
+from .lexing import LANGUAGE_OF, normalise, tokens_of
 
 #: Endings that are tried on a module's path, in order; the bare path comes last.
 PROBES = {
@@ -157,39 +159,79 @@ def resolve_bindings(bound: DataFrame, files: DataFrame) -> DataFrame:
     return best.select(*bound.columns, F.col("s.module_file").alias("module_file"))
 
 
-def _declared(lang: str, r: str) -> list[str]:
-    """Patterns of declarations that give the type of ``r`` in group 1."""
-    r = re.escape(r)
-    if lang in ("javascript", "typescript", "jsx", "tsx"):
-        return [rf"\b{r}\s*=\s*new\s+([A-Z]\w*)", rf"\b{r}\s*\??:\s*([A-Z]\w*)"]
-    if lang == "python":
-        return [rf"\b{r}\s*=\s*([A-Z]\w*)\(", rf"\b{r}\s*:\s*([A-Z]\w*)"]
-    if lang in ("java", "csharp"):
-        return [rf"\b{r}\s*=\s*new\s+([A-Z]\w*)", rf"\b([A-Z]\w*)(?:<[^<>]*>)?(?:\[\])?\s+{r}\s*[=;,)]"]
-    if lang == "kotlin":
-        return [rf"\b{r}\s*=\s*([A-Z]\w*)\(", rf"\b{r}\s*:\s*([A-Z]\w*)"]
-    if lang == "rust":
-        return [rf"\blet\s+(?:mut\s+)?{r}(?:\s*:[^=]*)?\s*=\s*&?(?:mut\s+)?([A-Z]\w*)", rf"\b{r}\s*:\s*&?(?:mut\s+)?([A-Z]\w*)"]
-    if lang == "go":
-        return [rf"\b{r}\s*:=\s*&?([A-Z]\w*)\{{", rf"\bvar\s+{r}\s+\*?([A-Z]\w*)", rf"\b{r}\s+\*?([A-Z]\w*)\b"]
-    if lang == "ruby":
-        return [rf"\b{r}\s*=\s*([A-Z]\w*)\.new"]
-    if lang == "php":
-        return [rf"\${r}\s*=\s*new\s+([A-Z]\w*)", rf"\b([A-Z]\w*)\s+&?\${r}\b"]
-    return []
+class Declarations:
+    """What a text's tokens say about the types of names; no types, no scopes but lines."""
+
+    def __init__(self, lang: str, text: str):
+        tokens = tokens_of(lang, text)
+        code = [(w, k, s) for w, k, s in zip(tokens.words, tokens.kinds, tokens.starts) if k not in "clte"]
+        self.lang, self.words, self.kinds = lang, [w for w, _, _ in code], [k for _, k, _ in code]
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.lines = [bisect_right(starts, s) for _, _, s in code]
+        self.places: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            if self.kinds[i] == "w" and (not i or self.words[i - 1] not in (".", "?.", "::")):
+                self.places.setdefault(w, []).append(i)
+
+    def type_of(self, name: str, call: int, first: int) -> str | None:
+        """By the nearest declaration of ``name`` from line ``call`` back to line ``first``."""
+        for i in reversed(self.places.get(name, ())):
+            if first <= self.lines[i] <= call and (found := self._made(i) or self._noted(i)):
+                return found
+        return None
+
+    def _word(self, i: int) -> str:
+        return self.words[i] if 0 <= i < len(self.words) else ""
+
+    def _path(self, i: int) -> tuple[str | None, int]:
+        """The last part of the dotted name that starts at ``i`` (behind signs that do not change the type), if it is
+        written like a type, and the place behind the name."""
+        while self._word(i) in ("&", "*", "mut", "?", "await", "dyn") or i < len(self.kinds) and self.kinds[i] == "u":
+            i += 1
+        last = None
+        while i < len(self.kinds) and self.kinds[i] == "w":
+            if self.words[i][0].isupper():
+                last = self.words[i]
+            elif last:
+                break
+            if self._word(i + 1) not in (".", "::"):
+                i += 1
+                break
+            i += 2
+        return last, i
+
+    def _made(self, i: int) -> str | None:
+        """The name gets a new value of a type: the type's name is called, or opens a literal."""
+        j = i + 1
+        if self._word(j) == ":":
+            return None
+        if self._word(j) not in ("=", ":="):
+            return None
+        fresh = self._word(j + 1) == "new"
+        name, behind = self._path(j + 1 + fresh)
+        opened = self._word(behind) in ("(", "{", "<") or self._word(behind - 1) == "::" or self.kinds[behind : behind + 1] == ["w"] and self._word(behind - 1) in (".", "::")
+        return name if name and (fresh or opened) else None
+
+    def _noted(self, i: int) -> str | None:
+        """A type stands beside the name: behind a colon, right behind it, or before it."""
+        j = i + 1
+        if self._word(j) in (":", "?") and self.lang not in ("go", "java"):
+            j += 1 + (self._word(j) == "?")
+            return self._path(j)[0]
+        if self.lang == "go":
+            return self._path(j)[0] if self._word(i - 1) in ("var", "(", ",") else None
+        if self.lang == "java" and self._word(j) in ("=", ";", ",", ")", ":"):
+            b, depth = i - 1, 0
+            while b >= 0 and (depth or self._word(b) in (">", "]", "[")):
+                depth += (self.words[b] == ">") - (self.words[b] == "<")
+                b -= 1
+            return self.words[b] if b >= 0 and self.kinds[b] == "w" and self.words[b][0].isupper() else None
+        return None
 
 
 def nearest_type(lang: str, lines: list[str], receiver: str, call: int, first: int) -> str | None:
     """The type of the nearest declaration from line ``call`` back to line ``first``."""
-    patterns = [re.compile(p) for p in _declared(lang, receiver)]
-    for i in range(min(call, len(lines)), max(first, 1) - 1, -1):
-        row = lines[i - 1]
-        if len(row) > 10_000 or receiver not in row:
-            continue
-        for p in patterns:
-            if m := p.search(row):
-                return m[1]
-    return None
+    return Declarations(lang, "\n".join(lines)).type_of(receiver, call, first)
 
 
 def receiver_types(refs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -208,11 +250,12 @@ def receiver_types(refs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
             rows = []
             for path, refs_, text in zip(p["path"], p["refs"], p["text"]):
                 lang = detect_language(path, text or "")
-                lines = blank_comments(lang, text).split("\n") if lang and text else []
+                if text is None or lang not in LANGUAGE_OF.values():
+                    continue
+                said = Declarations(lang, normalise(text))
                 for x in refs_:
                     recv = x["reference_name"].split(".")[0]
-                    t = nearest_type(lang or "", lines, recv, x["line"], x["first"])
-                    if t:
+                    if t := said.type_of(recv, x["line"], x["first"]):
                         rows.append((x["from_node_id"], x["reference_name"], x["line"], recv, t))
             yield pd.DataFrame(rows, columns=["from_node_id", "reference_name", "line", "receiver", "type_name"])
 

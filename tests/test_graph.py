@@ -111,11 +111,30 @@ def test_store_swaps_snapshots(spark, tmp_path):
 def test_raw_select_is_guarded(spark):
     g = graph(spark, [("a", "b", "calls")])
     assert store.raw_select(spark, g, "SELECT count(*) AS n FROM node").first()["n"] == 2
+    assert store.raw_select(spark, g, "SELECT n.id, replace(e.kind, 'c', 'k') AS k FROM node n JOIN edge e ON e.source = n.id").collect() == [("a", "kalls")]
+    assert not [v for v in spark.catalog.listTables() if v.name.startswith("node_")]
     for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "SELECT 'drop'", "WITH x AS (SELECT 1) SELECT 1"):
         with pytest.raises(ValueError):
             store.raw_select(spark, g, bad)
 
 
+def test_a_store_survives_a_crash_before_its_manifest(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, str(tmp_path / "g"))
+    s.save(graph(spark, [("a", "b", "calls")]), version="1")
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_swap", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            s.save(graph(spark, [("a", "b", "calls"), ("b", "c", "calls")]))
+    assert s.load().edges.count() == 1 and s.meta()["version"] == "1"
+
+
+def test_long_ways_and_hierarchies_are_whole(spark):
+    g = graph(spark, [(f"n{i:02}", f"n{i + 1:02}", "extends") for i in range(66)])
+    assert [r["id"] for r in traverse.find_path(g, "n50", "n60").orderBy("pos").collect()] == [f"n{i}" for i in range(50, 61)]
+    far = traverse.type_hierarchy(g, g.nodes.filter("id = 'n00'").select("id"))
+    assert far.count() == 66 and far.agg({"depth": "max"}).first()[0] == 66
+
+
 def test_kernels():
     two = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (2, 3, 1.0)]
     assert analytics.louvain_kernel(6, two) == [0, 0, 0, 1, 1, 1]

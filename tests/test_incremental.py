@@ -53,3 +53,44 @@ def test_manifest_survives_failure(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert sorted((r["path"], r["digest"]) for r in out.collect()) == [("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")]
     assert pending(newest(second.withColumnRenamed("digest", "h"), ["path"], "h", "at"), m.entries(first), ["path"]).count() == 0
+
+
+def test_a_crash_before_the_commit_repeats_nothing_under_a_new_id(spark, tmp_path, monkeypatch):
+    listing = spark.createDataFrame([("a", "1", 1, 1), (None, "1", 1, 1)], "path string, digest string, size long, at long")
+    m, out = Manifest(spark, f"{tmp_path}/m", ["path"]), f"{tmp_path}/out"
+    fs = m._fs
+
+    class NoRename:
+        def __getattr__(self, name):
+            return (lambda *_: False) if name == "rename" else getattr(fs, name)
+
+    m._fs = NoRename()
+    try:
+        m.run("b1", listing, lambda df: df, out)
+        raise AssertionError("committed")
+    except RuntimeError:
+        pass
+    m._fs = fs
+    assert m.output(out) is None and m.entries(listing).count() == 0
+    assert m.run("b2", listing, lambda df: df, out)
+    assert {(r["path"], r["batch_id"]) for r in m.output(out).collect()} == {("a", "b2"), (None, "b2")}
+    assert spark.read.parquet(out).count() == 2
+    sized = spark.createDataFrame([("a", "1", 2, 2), (None, "1", None, 2)], listing.schema)
+    assert [r["path"] for r in pending(sized, m.entries(listing), ["path"], "size").collect()] == ["a"]
+
+
+def test_what_is_processed_is_what_is_committed(spark, tmp_path):
+    """The listing may change while a run reads it: it is read once."""
+    schema = "path string, digest string, size long, at long"
+    src = f"{tmp_path}/src"
+    spark.createDataFrame([("a", "1", 1, 1)], schema).write.parquet(src)
+    m = Manifest(spark, f"{tmp_path}/m", ["path"])
+
+    def process(df):
+        spark.createDataFrame([("a", "2", 1, 2), ("b", "1", 1, 2)], schema).write.mode("append").parquet(src)
+        return df
+
+    listing = spark.read.schema(schema).parquet(src)
+    assert m.run("b1", listing, process, f"{tmp_path}/out")
+    assert [tuple(r) for r in m.entries(listing).select("path", "digest").collect()] == [("a", "1")]
+    assert [r["digest"] for r in m.output(f"{tmp_path}/out").collect()] == ["1"]
