@@ -5,8 +5,9 @@ Each text of a source is due ``e`` copies, in proportion to its weight (one divi
 so that copies together count as one text). Its whole copies are certain; for the rest, texts are ranked by random odds
 divided by the odds of their inclusion probability, and the first are taken until the source's tokens are met.
 
-The cut is found exactly without a global sort: tokens are summed in fine bins of the rank, only those sums (sources ×
-``BINS`` numbers) reach the driver, and just the bin of the cut is ordered.
+The cut is found exactly without a global sort: tokens are summed in fine bins of the rank, and in the bin of the cut in
+finer ones; only those sums (sources × ``BINS`` numbers) reach the driver, and just the finer bin of the cut is ordered.
+Sums are of whole numbers, so the cut does not depend on partitions.
 
 Defined cases: null and empty texts have no tokens and are not mixed; rows of a null or unlisted source are left out;
 a listed source without tokens is reported with share 0 and the others keep their proportions; ties of the rank go by id;
@@ -16,8 +17,8 @@ random numbers come from id and seed alone, so repeated runs agree.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import checkpoint
 from .tokens import VOCABULARY, with_token_count
@@ -37,16 +38,17 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     sized = with_token_count(part, "text", "n_tokens", vocabulary).select("doc_id", "source", "n_tokens", F.md5("text").alias("_key")).filter("n_tokens > 0")
     sized = checkpoint(sized)
     same = sized.groupBy("source", "_key").agg(F.count(F.lit(1)).alias("_same"))
+    # equal texts have equal sizes: together they weigh what one of them does
+    sums = {r["source"]: float(r["ws"]) for r in sized.groupBy("source", "_key").agg(F.max("n_tokens").alias("n")).groupBy("source").agg(F.sum("n").alias("ws")).collect()}
     sized = sized.join(same, ["source", "_key"]).withColumn("w", 1 / F.col("_same")).drop("_key", "_same")
-    sums = {r["source"]: (float(r["ws"]), r["n"]) for r in sized.groupBy("source").agg(F.sum(F.col("w") * F.col("n_tokens")).alias("ws"), F.sum("n_tokens").alias("n")).collect()}
     shares = {s: wanted[s][0] for s in sums if (wanted[s][0] or 0) > 0 and (wanted[s][1] or 0) > 0}
     schema = "source string, due double, target double"
     if not shares:
         return sized.select("doc_id", "source", "n_tokens", F.lit(0).alias("copies")).limit(0)
     scale = sum(shares.values())
-    most = min(wanted[s][1] * sums[s][0] * scale / shares[s] for s in shares)
+    most = min(wanted[s][1] * sums[s] * scale / shares[s] for s in shares)
     whole = min(most, total) if total else most
-    plan = [(s, whole * shares[s] / scale / sums[s][0], whole * shares[s] / scale) for s in shares]
+    plan = [(s, whole * shares[s] / scale / sums[s], whole * shares[s] / scale) for s in shares]
     plan_df = spark.createDataFrame(plan, schema)
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     e = F.col("due") * F.col("w")
@@ -55,30 +57,44 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     due = due.withColumn("_q", rank).withColumn("_bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("_q") + 24) * (BINS / 48))))).select("doc_id", "source", "n_tokens", "target", "_sure", "_q", "_bin")
     due = checkpoint(due)
     sure = {r["source"]: r["t"] for r in due.groupBy("source").agg(F.sum(F.col("_sure") * F.col("n_tokens")).alias("t")).collect()}
+    ranked = due.filter("_q IS NOT NULL")
+    left = {s: target - sure.get(s, 0) for s, _, target in plan}
+    cuts = _cuts(ranked, "_bin", left)
+    # the bin of the cut once more, in bins of its own
+    fine = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(((F.col("_q") + 24) * (BINS / 48) - F.col("_bin")) * BINS))).cast("int")
+    due = due.join(F.broadcast(_table(spark, cuts, "_cut")), "source").withColumn("_fine", F.when(F.col("_bin") == F.col("_cut"), fine))
+    finer = _cuts(due.filter("_q IS NOT NULL AND _bin = _cut"), "_fine", {s: r for s, (_, r) in cuts.items()})
+    due = due.drop("_left").join(F.broadcast(_table(spark, finer, "_cut2")), "source")
+    # Only the finer bin of the cut is ordered: about one in BINS * BINS of a source's texts.
+    here = F.coalesce(F.col("_q").isNotNull() & (F.col("_bin") == F.col("_cut")) & (F.col("_fine") == F.col("_cut2")), F.lit(False))
+    below = F.col("_q").isNotNull() & ((F.col("_bin") < F.col("_cut")) | ((F.col("_bin") == F.col("_cut")) & (F.col("_fine") < F.col("_cut2"))))
+    edge = due.filter(here)
+    run = F.sum("n_tokens").over(W.partitionBy("source").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    edge = edge.withColumn("_run", run).withColumn("_extra", (F.col("_run") - F.col("n_tokens") / 2 <= F.col("_left")).cast("int"))
+    rest = due.filter(~here).withColumn("_extra", F.coalesce(below, F.lit(False)).cast("int"))
+    out = rest.select("doc_id", "source", "n_tokens", "_sure", "_extra").unionByName(edge.select("doc_id", "source", "n_tokens", "_sure", "_extra"))
+    return out.withColumn("copies", (F.col("_sure") + F.col("_extra")).cast("int")).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+
+
+def _cuts(rows: DataFrame, bin_col: str, left: dict[str, float]) -> dict[str, tuple[int, float]]:
+    """For each source the bin in which its tokens are met, and how many are then still missing."""
     bins: dict[str, dict[int, int]] = {}
-    for r in due.filter("_q IS NOT NULL").groupBy("source", "_bin").agg(F.sum("n_tokens").alias("t")).collect():
-        bins.setdefault(r["source"], {})[r["_bin"]] = r["t"]
-    cuts = []
-    for s, _, target in plan:
-        left = target - sure.get(s, 0)
-        cut, before = BINS, 0.0
+    for r in rows.groupBy("source", bin_col).agg(F.sum("n_tokens").alias("t")).collect():
+        bins.setdefault(r["source"], {})[r[bin_col]] = r["t"]
+    out = {}
+    for s, want in left.items():
+        cut, before = BINS, 0
         for b in sorted(bins.get(s, {})):
-            if before + bins[s][b] >= left:
+            if before + bins[s][b] >= want:
                 cut = b
                 break
             before += bins[s][b]
-        cuts.append((s, cut, float(left - before)))
-    cut_df = spark.createDataFrame(cuts, T.StructType([T.StructField("source", T.StringType()), T.StructField("_cut", T.IntegerType()), T.StructField("_left", T.DoubleType())]))
-    due = due.join(F.broadcast(cut_df), "source")
-    from pyspark.sql import Window as W
+        out[s] = cut, float(want - before)
+    return out
 
-    # Only the bin of the cut is ordered: about one in BINS of a source's texts.
-    edge = due.filter("_q IS NOT NULL AND _bin = _cut")
-    run = F.sum("n_tokens").over(W.partitionBy("source").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("_run", run).withColumn("_extra", (F.col("_run") - F.col("n_tokens") / 2 <= F.col("_left")).cast("int"))
-    rest = due.filter("_q IS NULL OR _bin != _cut").withColumn("_extra", F.when(F.col("_q").isNotNull() & (F.col("_bin") < F.col("_cut")), 1).otherwise(0))
-    out = rest.select("doc_id", "source", "n_tokens", "_sure", "_extra").unionByName(edge.select("doc_id", "source", "n_tokens", "_sure", "_extra"))
-    return out.withColumn("copies", (F.col("_sure") + F.col("_extra")).cast("int")).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+
+def _table(spark, cuts: dict[str, tuple[int, float]], name: str) -> DataFrame:
+    return spark.createDataFrame([(s, c, r) for s, (c, r) in cuts.items()], f"source string, {name} int, _left double")
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

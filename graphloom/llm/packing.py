@@ -1,9 +1,10 @@
 """Problem 7: texts in packs of fixed capacity, by harmonic packing.
 
 A text longer than the capacity is cut into full packs and a rest; nothing else is split. Sizes fall into reciprocal
-classes: class j holds sizes in (C/(j+1), C/j], so any j of them fit one pack, whatever they are. Workers pack hash
-buckets of items on their own. Within a bucket the classes come from the largest sizes down: an item first goes where
-the room left is known from its class to suffice (a pack with room of at least C/j), else j items open a pack.
+classes: class j holds sizes in (C/(j+1), C/j], so any j of them fit one pack, whatever they are; a pack of class j gets
+just j. Workers pack hash buckets of items on their own; the number of buckets depends on the number of items alone.
+Where this goes beyond the plain method: the room that the packs of larger classes leave, also the last one of a class
+when the class runs out, is offered to the items of smaller classes first, the least that suffices.
 
 Defined cases: null and empty texts have no tokens and are put nowhere; a capacity below one is refused; repeated rows
 are packed each; ties are broken by id and part; an empty table gives no packs.
@@ -11,6 +12,8 @@ are packed each; ties are broken by id and part; an empty table gives no packs.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,48 +23,39 @@ from .tokens import VOCABULARY, with_token_count
 
 #: Items of one bucket; a bucket is packed by one task.
 BUCKET_ITEMS = 50_000
-#: Sizes of at most C / CLASSES share the last class, which is filled by size.
+#: Sizes of at most C / CLASSES share the last class, whose packs are filled by size.
 CLASSES = 64
 
 
 def pack_bucket(sizes: list[int], capacity: int, classes: int = CLASSES) -> list[int]:
     """The pack of each item (sizes in falling order)."""
-    room: list[int] = []  # of each pack
-    by_class: dict[int, list[int]] = {}  # packs by class m of their room: room >= capacity / m
-    out = []
-    opened: dict[int, list[int]] = {}  # the pack that class j is filling, and how many more it takes
-
-    def shelve(pack: int) -> None:
-        if room[pack] * classes >= capacity:
-            by_class.setdefault(-(-capacity // room[pack]), []).append(pack)
-
+    rooms: list[tuple[int, int]] = []  # what is left in packs of classes that are done, with the pack
+    out: list[int] = []
+    packs, own, room, more, pack = 0, 0, 0, 0, 0  # own: the class at hand; its open pack, with its room and items to come
     for size in sizes:
         j = min(capacity // size, classes)
-        if j in opened:
-            pack, more = opened[j]
-            room[pack] -= size
-            out.append(pack)
-            if more == 1 or (j == classes and room[pack] * classes < capacity):
-                del opened[j]
-                shelve(pack)
-            else:
-                opened[j] = [pack, more - 1]
+        if j != own:
+            if more and room:
+                insort(rooms, (room, pack))
+            own, more = j, 0
+        if more and j == classes and size > room:
+            insort(rooms, (room, pack))
+            more = 0
+        i = bisect_left(rooms, (size, -1))
+        if i < len(rooms):
+            left, at = rooms.pop(i)
+            out.append(at)
+            if left > size:
+                insort(rooms, (left - size, at))
             continue
-        for m in range(j, 1, -1):
-            if by_class.get(m):
-                pack = by_class[m].pop()
-                room[pack] -= size
-                out.append(pack)
-                shelve(pack)
-                break
-        else:
-            pack = len(room)
-            room.append(capacity - size)
-            out.append(pack)
-            if j > 1:
-                opened[j] = [pack, j - 1 if j < classes else 1 << 60]
-            else:
-                shelve(pack)
+        if not more:
+            pack, room, more = packs, capacity, j if j < classes else 1 << 60
+            packs += 1
+        out.append(pack)
+        room -= size
+        more -= 1
+        if not more and room:
+            insort(rooms, (room, pack))
     return out
 
 
@@ -73,19 +67,18 @@ def pack_documents(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", te
     packs = [(r["pack_name"], r["capacity_tokens"]) for r in specs.select("pack_name", "capacity_tokens").distinct().limit(1001).collect()]
     if len(packs) > 1000 or any(c is None or c < 1 for _, c in packs):
         raise ValueError("a capacity is needed for each of at most 1,000 packs")
-    spark = docs.sparkSession
     sized = checkpoint(with_token_count(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "size", vocabulary).select("doc_id", "size").filter("size > 0"))
-    rows = sized.count()
     if not packs:
         packs = [("", 1)]
         sized = sized.limit(0)
-    array = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity_tokens")) for n, c in sorted(packs)])
+    pieces = sized.agg(*[F.sum(F.expr(f"(size + {c - 1}L) div {c}L")).alias(f"p{i}") for i, (_, c) in enumerate(sorted(packs))]).first()
+    buckets = [max(1, -(-(pieces[i] or 0) // bucket_items)) for i in range(len(packs))]
+    array = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity_tokens"), F.lit(b).cast("long").alias("_buckets")) for (n, c), b in zip(sorted(packs), buckets)])
     each = sized.withColumn("_p", F.explode(array)).select("doc_id", "size", "_p.*")
     parts = F.expr("sequence(0L, (size - 1) div capacity_tokens)")
     items = each.withColumn("part", F.explode(parts)).withColumn("from_token", F.col("part") * F.col("capacity_tokens"))
     items = items.withColumn("n_tokens", F.least(F.col("capacity_tokens"), F.col("size") - F.col("from_token"))).drop("size")
-    buckets = max(1, -(-rows // bucket_items), min(spark.sparkContext.defaultParallelism, rows // 2000))
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.lit(buckets)).cast("int"))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.col("_buckets")).cast("int")).drop("_buckets")
     kind = items.schema["doc_id"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -70,8 +70,18 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", F.md5("form").alias("form_key"), "changed")
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of classes of several texts that look the same, with the sizes of their class."""
+    return visual.look_alike_classes(table(spark, d, "documents")).select("doc_id", "form_key", "variants", "copies")
+
+
+def p9_links(spark: SparkSession, d: str) -> DataFrame:
+    """One link for each text to the first of its class; membership is in ``p9_classes``."""
+    return visual.look_alike_texts(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    own = (p1_found, p1_reasons, p3_found, p3_pairs, p5_found, p5_rates, p7_packs, p7_fill, p8_mix, p8_shares, p9_found, p9_forms)
+    own = (p1_found, p1_reasons, p3_found, p3_pairs, p5_found, p5_rates, p7_packs, p7_fill, p8_mix, p8_shares, p9_found, p9_forms, p9_classes, p9_links)
     return {f.__name__: f for f in own}
 
 
@@ -80,5 +90,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p9_found": f"""WITH f AS MATERIALIZED (SELECT doc_id, text, {form} AS form FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+        "p9_classes": f"""WITH f AS MATERIALIZED (SELECT doc_id, text, md5({form}) AS form_key FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, form_key, c.variants, c.copies FROM f JOIN (SELECT form_key, count(DISTINCT text) AS variants, count(*) AS copies FROM f GROUP BY 1 HAVING count(DISTINCT text) > 1) c USING (form_key)""",
+        "p9_links": f"""WITH f AS MATERIALIZED (SELECT text, md5({form}) AS form_key, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)
+SELECT c.id AS doc_a, f.id AS doc_b FROM f JOIN (SELECT form_key, min(id) AS id FROM f GROUP BY 1) c USING (form_key) WHERE f.id <> c.id""",
         "p9_forms": f"SELECT doc_id, md5({form}) AS form_key, ({form}) IS DISTINCT FROM text AS changed FROM documents",
     }

@@ -1,8 +1,8 @@
 """Problem 9: one form for text that looks the same in different characters.
 
 The form is computed by SQL in DuckDB inside Arrow partitions. It maps line ends, invisible characters, spaces of
-another kind, full-width forms and Latin ligatures, composes accents (NFC) and maps letters of other scripts that have
-the very shape of a Latin letter. Differences that can be seen stay: case, accents, superscripts, similar shapes such
+another kind, full-width forms, Latin ligatures and letters of other scripts that have the very shape of a Latin letter, and
+composes accents (NFC) last, so that they join mapped letters too. Differences that can be seen stay: case, accents, superscripts, similar shapes such
 as ``l`` and ``1`` or Greek nu and ``v``. It is a key for comparison: Cyrillic text keeps its own letters but for the
 look-alikes, so it is not meant for display.
 
@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import skew_join
 from ..session import checkpoint, widen
 
 # Letters of exactly the same shape.
 LOOK_ALIKES = {
-    "АВЕКМНОРСТХІЈЅҮӀԌԚԜЁЇ": "ABEKMHOPCTXIJSYIGQWËÏ",
-    "аеорсухіјѕһӏԁԛԝёї": "aeopcyxijshldqwëï",
+    "АВЕКМНОРСТХІЈЅҮӀԌԚԜЁЇӐӒӖЀӦ": "ABEKMHOPCTXIJSYIGQWËÏĂÄĔÈÖ",
+    "аеорсухіјѕһӏԁԛԝёїӑӓӗѐӧ": "aeopcyxijshldqwëïăäĕèö",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿΪΫοϲϳό": "ABEZHIKMNOPTYXCJÏŸocjó",
 }
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -43,7 +44,7 @@ def _quoted(s: str) -> str:
 def form_sql(text: str = "text") -> str:
     """The SQL expression of the form of column ``text``."""
     e = f"regexp_replace(replace({text}, chr(13) || chr(10), chr(10)), '{JOINERS}', '\\1', 'g')"
-    e = f"nfc_normalize(regexp_replace(replace({e}, chr(13), chr(10)), '{INVISIBLE}', '', 'g'))"
+    e = f"regexp_replace(replace({e}, chr(13), chr(10)), '{INVISIBLE}', '', 'g')"
     looks = "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values())
     e = f"translate({e}, {_quoted(SPACES + FULL_WIDTH + looks[0])}, {_quoted(' ' * len(SPACES) + HALF + looks[1])})"
     for a, b in LIGATURES.items():
@@ -90,18 +91,32 @@ def form_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def look_alike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row with its class (``form_key``), its text's key, and how many different texts the class has."""
-    keys = form_keys(docs, id_col, text_col)
-    texts = keys.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("_n")).groupBy("form_key").agg(F.count(F.lit(1)).alias("variants"))
+    """Each row whose form other texts have too: its class (``form_key``), its text's key, and the numbers of different
+    texts and of rows of the class."""
+    keys = checkpoint(form_keys(docs, id_col, text_col))
+    texts = keys.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("_n")).groupBy("form_key").agg(F.count(F.lit(1)).alias("variants"), F.sum("_n").alias("copies")).filter("variants > 1")
     return keys.join(texts, "form_key")
 
 
+def look_alike_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_a, doc_b``: the links between different texts of one form, each text stood for by its smallest id; every text
+    of a class is linked with the class's first."""
+    keys = form_keys(docs, id_col, text_col)
+    first = checkpoint(keys.groupBy("form_key", "text_key").agg(F.min(id_col).alias("id")))
+    least = first.groupBy("form_key").agg(F.min("id").alias("doc_a"))
+    return first.join(least, "form_key").filter("id <> doc_a").select("doc_a", F.col("id").alias("doc_b"))
+
+
 def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs ``doc_a < doc_b`` of different texts of one form. Only classes with more than one text reach the join;
-    exact copies are joined to other texts, not to each other."""
+    """Pairs ``doc_a < doc_b`` of different texts of one form. Different texts of a class are paired first; then each side
+    takes in its copies, so exact copies are not joined to each other. Keys with many copies are split over tasks."""
     keys = checkpoint(form_keys(docs, id_col, text_col).select(F.col(id_col).alias("id"), "form_key", "text_key"))
-    mixed = keys.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo < hi").select("form_key")
-    few = keys.join(mixed, "form_key", "left_semi")
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.text_key") < F.col("b.text_key")))
-    return pairs.select(F.least("a.id", "b.id").alias("doc_a"), F.greatest("a.id", "b.id").alias("doc_b")).distinct()
+    texts = keys.select("form_key", "text_key").distinct()
+    mixed = texts.groupBy("form_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("form_key")
+    few = checkpoint(keys.join(mixed, "form_key", "left_semi"))
+    texts = few.select("form_key", "text_key").distinct()
+    a, b = texts.select("form_key", F.col("text_key").alias("text_a")), texts.select("form_key", F.col("text_key").alias("text_b"))
+    pairs = a.join(b, "form_key").filter("text_a < text_b")
+    left = skew_join(few.select("form_key", F.col("text_key").alias("text_a"), F.col("id").alias("a")), pairs, ["form_key", "text_a"])
+    both = left.join(few.select("form_key", F.col("text_key").alias("text_b"), F.col("id").alias("b")), ["form_key", "text_b"])
+    return both.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()

@@ -35,6 +35,23 @@ def test_forms_match_brute_force(spark):
     assert look_alike_pairs(df.limit(0)).count() == 0
 
 
+def test_accents_join_mapped_letters(spark):
+    same = [("Käse", "Ka\u0308se"), ("Käse", "K\u0430\u0308se"), ("Käse", "K\u04d3se"), ("né", "n\u0435\u200b\u0301"), ("\u0439", "\u0438\u0306")]
+    df = spark.createDataFrame([(2 * i + k, f"{i} {p[k]}") for i, p in enumerate(same) for k in (0, 1)], "doc_id long, text string")
+    assert {tuple(r) for r in look_alike_pairs(df).collect()} == {(2 * i, 2 * i + 1) for i in range(len(same))}
+
+
+def test_copies_are_not_paired_with_each_other(spark):
+    from graphloom.llm.visual import look_alike_classes, look_alike_texts
+
+    rows = [(i, "hot text") for i in range(60)] + [(100, "hot\u00a0text"), (101, "hot\u200b text"), (102, "own"), (103, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in look_alike_pairs(df).collect()}
+    assert got == {(i, j) for i in range(60) for j in (100, 101)} | {(100, 101)}
+    assert {tuple(r) for r in look_alike_texts(df).collect()} == {(0, 100), (0, 101)}
+    assert {(r["variants"], r["copies"]) for r in look_alike_classes(df).collect()} == {(3, 62)}
+
+
 def test_visible_differences_stay(spark):
     pairs = [("a", "A"), ("a", "á"), ("x2", "x²"), ("l", "1"), ("ab", "a b"), ("ν", "v"), ("👨‍👩‍👧", "👨👩👧")]
     df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
