@@ -243,7 +243,7 @@ def traverse(graph: Graph, start: str, max_depth: int = 3, direction: str = "out
         best = step.groupBy("there").agg(F.min(F.struct("ord", "_o")).alias("m")).join(seen.select(F.col("id").alias("there")), "there", "left_anti")
         take = best.orderBy("m").limit(max(0, limit - n))
         number = F.row_number().over(W.orderBy("m"))  # at most ``limit`` rows
-        new = checkpoint(take.select(F.col("there").alias("id"), F.lit(level).alias("depth"), (number + n).cast("int").alias("ord")))
+        new = checkpoint(take.select(F.col("there").alias("id"), F.lit(level).alias("depth"), (number + n - 1).cast("int").alias("ord")))
         k = new.count()
         if not k:
             break
