@@ -120,7 +120,7 @@ def louvain_kernel(n: int, pairs: Sequence[tuple[int, int, float]], max_rounds:
                 break
         if not moved_ever:
             break
-        number = {c: k for k, c in enumerate(sorted(set(com)))}
+        number = {c: k for k, c in enumerate(dict.fromkeys(com))}  # as first seen
         members = [number[com[m]] for m in members]
         merged: dict[tuple[int, int], float] = defaultdict(float)
         for (a, b), w in weight.items():
@@ -139,12 +139,12 @@ def louvain_kernel(n: int, pairs: Sequence[tuple[int, int, float]], max_rounds:
 
 
 def communities(edges: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
-    """``id, community`` by Louvain in one task; the number of distinct pairs is checked before. Larger graphs go
-    through ``label_communities``."""
+    """``id, community`` by Louvain in one task; the number of distinct pairs is checked before, and a larger graph is
+    refused: ``label_communities`` is another method with other results, to be chosen by the caller."""
     pairs = edges.filter("source != target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count(F.lit(1)).alias("w"))
     pairs = checkpoint(pairs)
     if pairs.count() > most:
-        return label_communities(edges)
+        raise ValueError(f"more than {most} pairs; choose a subgraph, or label_communities")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(pdf["a"]) | set(pdf["b"]))
