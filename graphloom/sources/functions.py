@@ -80,8 +80,9 @@ def declarations(lang: str, text: str) -> tuple[list[Function], list[tuple[str,
 
 
 def comment_lines(source: str, tokens: Tokens) -> _Lines:
-    starts, ends = tokens.starts, tokens.ends
-    return _Lines(source, [(starts[m.start()], ends[m.start()]) for m in re.finditer("c", tokens.kinds)])
+    starts, words = tokens.starts, tokens.words
+    places = [m.start() for m in re.finditer("c", tokens.kinds)]
+    return _Lines(source, [(starts[i], starts[i] + len(words[i])) for i in places])
 
 
 class _Block(NamedTuple):
@@ -97,7 +98,7 @@ class _Python:
 
     def __init__(self, source: str, tokens: Tokens, lines: _Lines):
         self.source, self.lines, self.words, self.kinds = source, lines, tokens.words, tokens.kinds
-        self.starts, self.ends = tokens.starts, tokens.ends
+        self.starts, self.end = tokens.starts, tokens.end
         self.out: list[Function] = []
         self.bases: list[tuple[str, str]] = []
         self.open: list[_Block] = []
@@ -154,7 +155,7 @@ class _Python:
                     self._bound(colon + 1, b)
             else:
                 self._bound(a, b)
-        self.last = self.ends[b - 1]
+        self.last = self.end(b - 1)
 
     def _bound(self, a: int, b: int) -> None:
         """``name = lambda ...``, also annotated."""
@@ -177,7 +178,7 @@ class _Python:
                 stop = i
                 break
             i += 1
-        self._add(words[a], tuple(x.name for x in self.open), a, a, None, self._parameters(at + 1, colon), b, self.ends[stop - 1])
+        self._add(words[a], tuple(x.name for x in self.open), a, a, None, self._parameters(at + 1, colon), b, self.end(stop - 1))
 
     def _def(self, a: int, b: int, width: int, first: int) -> None:
         words = self.words
@@ -263,7 +264,7 @@ class _Python:
         both = "\n".join(x for x in (above, *(doc or ())) if x)
         last = lines.line(end - 1)
         stop = starts[last] - 1 if last < len(starts) else len(self.source)
-        sig = " ".join(self.source[self.starts[at] : self.ends[colon - 1] if doc is not None else end].split())
+        sig = " ".join(self.source[self.starts[at] : self.end(colon - 1) if doc is not None else end].split())
         self.out.append(Function("::".join((*scope, name)), name, sig, params, str(params), top, last, starts[top - 1], stop, both or None, True))
 
 
@@ -299,8 +300,8 @@ class _Scan:
         self.lang, self.text, self.lines = lang, text, lines
         kinds = tokens.kinds.encode()
         code = kinds.translate(_IS_CODE)
-        #: Texts, kinds, first and last places of the tokens but comments, line ends and templates' texts.
-        self.word, self.start, self.end = (list(compress(x, code)) for x in (tokens.words, tokens.starts, tokens.ends))
+        #: Texts, first places and kinds of the tokens but comments, line ends and templates' texts.
+        self.word, self.start = (list(compress(x, code)) for x in (tokens.words, tokens.starts))
         self.kind = kinds.translate(None, b"clte").decode()
         self.size = len(self.word)
         self.codes = bytes(map(_CODES[lang].get, self.word, repeat(46)))
@@ -347,6 +348,9 @@ class _Scan:
     def k(self, i: int) -> str:
         return self.kind[i] if 0 <= i < self.size else ""
 
+    def end(self, i: int) -> int:
+        return self.start[i] + len(self.word[i])
+
     def line(self, i: int) -> int:
         return self.lines.line(self.start[i])
 
@@ -391,7 +395,7 @@ class _Scan:
             doc = doc or self.lines.above(self.line(decorated))
         close = self.match.get(paren, paren) if paren is not None else first
         each = self._each(paren, close) if paren is not None else []
-        e = self.end[min(end, self.size - 1)]
+        e = self.end(min(end, self.size - 1))
         stop = body if body is not None else min(end, self.size - 1) + 1
         sig = " ".join(self.text[start : self.start[body] if body is not None else e].split())
         s = self.start[top]
@@ -488,7 +492,7 @@ class _Scan:
         line = self.line(end)
         while end + 1 < self.size and self.w(end + 1) not in ((";",) if self.lang in ("java", "rust") else (";", ",")) and self.w(end + 1) not in _CLOSE and (self.line(end + 1) == line or self.lang in ("java", "rust")):
             end = self.match.get(end + 1, end + 1)
-            line = self.lines.line(self.end[end] - 1)
+            line = self.lines.line(self.end(end) - 1)
         self.add(name, names, first, end, paren, None, decorated)
 
     def add_type(self, i: int, name: str, names: tuple[str, ...], kind: str, body: int, bases: list[tuple[str, str]]) -> None:

@@ -217,8 +217,8 @@ _OPEN_JS = frozenset(("`", "/", "/="))
 
 
 class Tokens:
-    """The tokens of a text as columns: their texts, first and last places, a string of one kind for each; and why the
-    rest could not be read. A new line of Python holds the blanks that follow it."""
+    """The tokens of a text as columns: their texts, first places, a string of one kind for each; and why the rest could
+    not be read. A new line of Python holds the blanks that follow it."""
 
     __slots__ = ("lang", "words", "error", "easy", "_pairs", "_kinds", "_at")
 
@@ -233,7 +233,7 @@ class Tokens:
             tokens, self.error = lex(lang, text)
             self.words = [text[s:e] for _, s, e in tokens]
             self._kinds = "".join(k for k, _, _ in tokens)
-            self._pairs, self._at = None, ([s for _, s, _ in tokens], [e for _, _, e in tokens])
+            self._pairs, self._at = None, [s for _, s, _ in tokens]
 
     @property
     def kinds(self) -> str:
@@ -241,19 +241,14 @@ class Tokens:
             self._kinds = "".join(map(_kinds[self.lang].__getitem__, self.words))
         return self._kinds
 
-    def _places(self) -> tuple[list[int], list[int]]:
-        if self._at is None:
-            at = list(accumulate(map(len, chain.from_iterable(self._pairs))))
-            self._at, self._pairs = (at[0::2], at[1::2]), None
-        return self._at
-
     @property
     def starts(self) -> list[int]:
-        return self._places()[0]
+        if self._at is None:
+            self._at, self._pairs = list(accumulate(map(len, chain.from_iterable(self._pairs))))[0::2], None
+        return self._at
 
-    @property
-    def ends(self) -> list[int]:
-        return self._places()[1]
+    def end(self, i: int) -> int:
+        return self.starts[i] + len(self.words[i])
 
     def unread(self) -> str | None:
         """Why the text could not be read to its end."""
