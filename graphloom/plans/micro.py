@@ -102,7 +102,7 @@ def a5_micro_components(spark, d):
 
 
 @query("node_id, cycle_id", "'a', 'c'", "'b', 'c'", "'c', 'c'", "'s', 's'")
-def p6_micro_cycles(spark, d):
+def micro_cycles(spark, d):
     """A cycle that a root leads to, a node that is its own parent, and nodes below cycles."""
     e = [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "t"), ("s", "s"), ("s", "u")]
     return hierarchy.cycle_nodes(hierarchy.links(spark.createDataFrame([("k", *x) for x in e], "kind string, source string, target string"))).select("node_id", "cycle_id")
