@@ -10,18 +10,19 @@ Files are not parsed flat. A bracket group is parsed by itself, once for each *s
 replaced by the set of symbols that they can stand for), and then is one token of its surroundings. Shapes recur within
 and across files, so a worker's memo answers most groups. Lists that are closed under concatenation (statements,
 members, elements) are parsed piece by piece in the same way; if the pieces do not do, the whole list is parsed.
-A memo is emptied when it has grown large; that changes the speed only.
+A memo keeps what was used last, in two halves, up to a bound in bytes; that changes the speed only.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable
 
 _NL = object()
 _BASE = {"p": 0x20000, "s": 0x30000, "b": 0x40000, "i": 0x50000, "e": 0x60000}
-#: Characters of the texts that one grammar's memos may hold.
-_MEMO = 8_000_000
+#: Bytes that one grammar's memos may hold, about: an entry takes ``_ENTRY`` and four for each character.
+_MEMO, _ENTRY = 36_000_000, 130
 #: Tokens by which most wrong symbols are told.
 _OPENING = 4
 
@@ -95,10 +96,12 @@ class Grammar:
         self.chars = tuple({x: chr(self.code[x] + k) for x in (*self.literals, *classes, "?")} for k in (0, 1))
         #: Characters as they stand behind a line end; nothing can stand between a line end and a closing bracket.
         self.marked = {**dict(zip(self.chars[0].values(), self.chars[1].values())), **dict(zip("([{\x01)]}", "\x02\x03\x04\x05)]}"))}
-        self.memo: dict[tuple[int, str], int] = {}  # -1: derived; else how far any way came
+        # by symbol, and by bracket and symbols asked for
+        self.memo: dict[int, dict[str, int]] = defaultdict(dict)  # -1: derived; else how far any way came
+        self.shapes: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
+        self.memo_before, self.shapes_before = defaultdict(dict), defaultdict(dict)
         self.held = 0
         self.openings: dict[tuple[int, str], int] = {}
-        self.shapes: dict[tuple[str, int, str], int] = {}
         self.asked: dict[tuple[str, str], int] = {}
         self._preceding()
 
@@ -345,21 +348,22 @@ class Grammar:
 
     def _way(self, nt: int, s: str) -> int:
         """-1 if ``nt`` derives ``s`` up to its last character, else how far any way leads."""
-        key = (nt, s)
-        if (r := self.memo.get(key)) is None:
-            self._keep(len(s) + 8)
-            r = self._opening(nt, s[:_OPENING]) if len(s) > _OPENING + 1 else _OPENING
-            if r >= _OPENING:
-                r = -1 if nt in self.recognise((nt,), s) else self.far
-            self.memo[key] = r
+        if (r := self.memo[nt].get(s)) is None:
+            self._keep(len(s))
+            if (r := self.memo_before[nt].get(s)) is None:
+                r = self._opening(nt, s[:_OPENING]) if len(s) > _OPENING + 1 else _OPENING
+                if r >= _OPENING:
+                    r = -1 if nt in self.recognise((nt,), s) else self.far
+            self.memo[nt][s] = r
         return r
 
-    def _keep(self, size: int) -> None:
-        self.held += size
-        if self.held > _MEMO:
-            self.held = size
-            self.memo.clear()
-            self.shapes.clear()
+    def _keep(self, length: int) -> None:
+        """Make room for one entry: a full half becomes the older one, whose entries come back when they are used."""
+        self.held += _ENTRY + 4 * length
+        if self.held > _MEMO // 2:
+            self.held = 0
+            self.memo_before, self.memo = self.memo, defaultdict(dict)
+            self.shapes_before, self.shapes = self.shapes, defaultdict(dict)
             self.openings.clear()
 
     def _opening(self, nt: int, s: str) -> int:
@@ -412,14 +416,15 @@ class Grammar:
 
     def group(self, bracket: str, s: str, asked: int = -1) -> str:
         """The token that stands for a group around ``s``, as far as the symbols ``asked`` for go."""
-        key = (bracket, asked, s)
-        if (mask := self.shapes.get(key)) is None:
-            self._keep(len(s) + 8)
-            mask = 0
-            for nt, bit in self.inside[bracket]:
-                if bit & asked and self.derives(nt, s):
-                    mask |= bit
-            self.shapes[key] = mask
+        key = (bracket, asked)
+        if (mask := self.shapes[key].get(s)) is None:
+            self._keep(len(s))
+            if (mask := self.shapes_before[key].get(s)) is None:
+                mask = 0
+                for nt, bit in self.inside[bracket]:
+                    if bit & asked and self.derives(nt, s):
+                        mask |= bit
+            self.shapes[key][s] = mask
         c = self.masks.get((bracket, mask))
         if c is None:
             c = self.masks[bracket, mask] = chr(_BASE[bracket] + 2 * sum(b == bracket for b, _ in self.masks))

@@ -111,6 +111,8 @@ def is_real(doc: str | None, name: str, least: int = MIN_WORDS) -> bool:
     return False
 
 
+#: Files that are read at a time: their texts and symbols are held by a worker at once.
+_FILES = 200
 _SYMBOL = "kind string, repo string, path string, language string, qualified_name string, name string, owner string, params int, types string, start_line int, end_line int, has_body boolean, own string, real boolean, signature string, code string"
 
 
@@ -121,9 +123,9 @@ def _symbols(with_code: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()
         gc.disable()  # tokens are many small tuples and no cycles
-        for batch in batches:
+        for part in (batch.slice(at, _FILES) for batch in batches for at in range(0, batch.num_rows, _FILES)):
             rows = []
-            for n, (repo, path, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "text")))):
+            for repo, path, text in zip(*(part.column(c).to_pylist() for c in ("repo", "path", "text"))):
                 lang = language_of(path)
                 if lang is None or text is None:
                     continue
@@ -136,8 +138,7 @@ def _symbols(with_code: bool):
                     more = (f.signature, source[f.start : f.end]) if with_code else (None, None)
                     rows.append(("function", repo, path, lang, f.qualified_name, f.name, owner, f.params, f.types, f.start_line, f.end_line, f.has_body, f.doc, is_real(f.doc, f.name), *more))
                 rows += [("base", repo, path, lang, q, b, q.rpartition("::")[2], *[None] * 9) for q, b in set(bases)]
-                if n % 200 == 0:
-                    gc.collect(0)
+            gc.collect(0)
             columns = list(zip(*rows)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import widen
-from ..sources.lexing import LANGUAGE_OF, _kinds, normalise, python_tree, tokens_of
+from ..sources.lexing import KEPT_WORDS, LANGUAGE_OF, _kinds, normalise, python_tree, tokens_of
 from .gll import Grammar
 from .grammars import grammar
 
@@ -53,7 +53,7 @@ class _Classes(dict):
     def __missing__(self, w: str) -> str:
         c = self.of(self.kinds[w], w)
         if len(w) <= 40:
-            if len(self) > 300_000:
+            if len(self) > KEPT_WORDS:
                 self.clear()
             self[w] = c
         return c

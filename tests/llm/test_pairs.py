@@ -72,3 +72,28 @@ def test_declarations_document_separate_definitions(spark):
 def test_signatures_are_whole():
     long = ", ".join(f"parameter_{i}: Map<string, number>" for i in range(60))
     assert functions("typescript", f"function f({long}): Result<number> {{ }}\n")[0].signature.endswith("Result<number>")
+
+
+def test_damaged_texts_give_no_rows_and_end_no_job(spark):
+    damaged = {
+        "py": ["x = 1\ndef", "x = 1\ndef ", "x = 1\ndef f", "x = 1\ndef f:\n    pass\n", "class", "@d\nasync", "async def", "class A:\n    def if x == (1):\n"],
+        "js": ["/** t */\nexport const f = (a) =>", "const f = function", "class", "class A { m("],
+        "ts": ["export const f = (a: number): string =>", "interface", "class A { m(a: string):"],
+        "go": ["package a\nfunc", "package a\nfunc (s *S)", "package a\ntype I interface {"],
+        "java": ["class A { F f = x ->", "class", "class A { void"],
+        "rs": ["fn", "impl", "let c = |x|", "fn f() { let c ="],
+    }
+    rows = [("r", f"{i}.{ext}", text) for ext, texts in damaged.items() for i, text in enumerate(texts)]
+    df = spark.createDataFrame([*rows, ("r", "good.py", f"# {REAL}\ndef f():\n    pass\n")], "repo string, path string, text string")
+    assert [tuple(r) for r in found(df).collect()] == [("r", "good.py", "f")]
+
+
+def test_a_batch_is_read_in_parts():
+    import pyarrow as pa
+
+    from graphloom.llm.pairs import _symbols
+
+    batch = pa.RecordBatch.from_pydict({"repo": ["r"] * 450, "path": [f"{i}.py" for i in range(450)], "text": [f"# {REAL}\ndef f{i}(): pass\n" for i in range(450)]})
+    parts = list(_symbols(True)(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= 200
+    assert [n for p in parts for n in p.column("name").to_pylist()] == [f"f{i}" for i in range(450)]
