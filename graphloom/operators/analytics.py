@@ -6,7 +6,9 @@ import json
 from collections import defaultdict, deque
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..functions.columns import module_of
 from ..schema import LOW_SIGNAL
 from ..session import checkpoint
 from .hierarchy import components, links, tarjan_kernel  # noqa: F401
+from .louvain import louvain
 from .store import Graph
 
 # Directories and file names that say little about structure.
@@ -26,7 +29,7 @@ TRIVIAL_NAMES = (
     "undefined null this super self cls prototype hashCode equals println print "
 ).lower().split()
 MAX_MODULES = 36
-#: Graphs up to this many edges fit one task of the community and betweenness kernels.
+#: Graphs up to this many edges fit one task of the betweenness kernel.
 KERNEL_EDGES = 5_000_000
 PIVOTS, EXACT_NODES = 256, 20_000
 
@@ -79,80 +82,47 @@ def god_nodes(graph: Graph, top: int = 10) -> DataFrame:
 
 # -- communities -----------------------------------------------------------------------------------------------------
 def louvain_kernel(n: int, pairs: Sequence[tuple[int, int, float]], max_rounds: int = 64, least: float = 1e-12) -> list[int]:
-    """Communities of an undirected weighted graph: nodes in ascending order move to the neighbouring community of the
-    largest gain until none moves; communities become nodes; repeated until nothing changes. Numbered by falling size,
-    then by least member."""
-    weight: dict[tuple[int, int], float] = defaultdict(float)
-    for a, b, w in pairs:
-        weight[min(a, b), max(a, b)] += w
-    label, total = list(range(n)), 2 * sum(weight.values())
-    members = label[:]
-    nodes = n
-    while total:
-        near: list[dict[int, float]] = [{} for _ in range(nodes)]
-        loop = [0.0] * nodes
-        for (a, b), w in sorted(weight.items()):
-            if a == b:
-                loop[a] += w
-            else:
-                near[a][b] = near[b][a] = w
-        degree = [sum(near[i].values()) + 2 * loop[i] for i in range(nodes)]
-        com, mass = list(range(nodes)), degree[:]
-        moved_ever = False
-        for _ in range(max_rounds):
-            moved = False
-            for i in range(nodes):
-                own = com[i]
-                mass[own] -= degree[i]
-                to: dict[int, float] = defaultdict(float)
-                for j, w in near[i].items():
-                    to[com[j]] += w
-                best, gain = own, to.get(own, 0.0) - mass[own] * degree[i] / total
-                for c in sorted(to):
-                    g = to[c] - mass[c] * degree[i] / total
-                    if g > gain + least:
-                        best, gain = c, g
-                mass[best] += degree[i]
-                if best != own:
-                    com[i] = best
-                    moved = moved_ever = True
-            if not moved:
-                break
-        if not moved_ever:
-            break
-        number = {c: k for k, c in enumerate(dict.fromkeys(com))}  # as first seen
-        members = [number[com[m]] for m in members]
-        merged: dict[tuple[int, int], float] = defaultdict(float)
-        for (a, b), w in weight.items():
-            x, y = number[com[a]], number[com[b]]
-            merged[min(x, y), max(x, y)] += w
-        weight, nodes = merged, len(number)
-    groups: dict[int, list[int]] = defaultdict(list)
-    for i, c in enumerate(members):
-        groups[c].append(i)
-    order = sorted(groups.values(), key=lambda g: (-len(g), g[0]))
-    out = [0] * n
-    for k, g in enumerate(order):
-        for i in g:
-            out[i] = k
-    return out
-
-
-def communities(edges: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
-    """``id, community`` by Louvain in one task; the number of distinct pairs is checked before, and a larger graph is
-    refused: ``label_communities`` is another method with other results, to be chosen by the caller."""
+    """``louvain`` of a list of pairs."""
+    a, b, w = zip(*pairs) if pairs else ((), (), ())
+    return louvain(n, np.array(a, np.int64), np.array(b, np.int64), np.array(w, np.float64), max_rounds, least).tolist()
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """``id, i``: distinct ids with their places in order, from 0; written once, as the places hang on the partitions."""
+    rows = checkpoint(ids.distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a partition
+    before, total = [], 0
+    for r in counts:
+        before.append((r["part"], total))
+        total += r["n"]
+    begin = F.broadcast(ids.sparkSession.createDataFrame(before, "part long, begin long"))
+    return rows.withColumn("part", part).join(begin, "part").select("id", (F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("i"))
+
+
+def communities(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``id, community`` by Louvain in one task, which is sent numbers only; a graph of more than ``most`` distinct pairs
+    is refused, if given: ``label_communities`` is another method with other results, to be chosen by the caller."""
     pairs = edges.filter("source != target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count(F.lit(1)).alias("w"))
     pairs = checkpoint(pairs)
-    if pairs.count() > most:
+    if most is not None and pairs.count() > most:
         raise ValueError(f"more than {most} pairs; choose a subgraph, or label_communities")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {x: i for i, x in enumerate(ids)}
-        got = louvain_kernel(len(ids), [(at[a], at[b], float(w)) for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"])])
-        return pd.DataFrame({"id": ids, "community": got})
-
-    return pairs.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: run(pdf), "id string, community long")
+    names = checkpoint(numbered(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+    ints = pairs.join(names.select(F.col("id").alias("a"), F.col("i").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("i").alias("y")), "b").select("x", "y", "w")
+
+    def run(batches):
+        got = [[np.asarray(c).astype(np.int32) for c in batch.columns] for batch in batches]
+        if not got:
+            return
+        x, y, w = (np.concatenate(c) for c in zip(*got))
+        del got
+        community = louvain(int(max(x.max(), y.max())) + 1, x, y, w)
+        for at in range(0, len(community), 65536):
+            part = community[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], ["i", "community"])
+
+    numbers = checkpoint(checkpoint(ints).repartition(1).mapInArrow(run, "i long, community long"))
+    return names.join(numbers, "i").select("id", "community")
 
 
 def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -151,6 +151,71 @@ def test_distributed_analytics(spark):
     assert "# Structure" in analytics.report(g)
 
 
+def test_communities_of_any_size(spark, monkeypatch):
+    """No number of pairs is refused; ids are numbered in order over partitions."""
+    monkeypatch.setattr(analytics, "KERNEL_EDGES", 1)
+    monkeypatch.setattr(analytics.communities, "__defaults__", tuple(1 if d == 5_000_000 else d for d in analytics.communities.__defaults__))
+    g = graph(spark, [(f"{k}{i}", f"{k}{(i + 1) % 3}", "calls") for k in "xy" for i in range(3)] + [("x0", "x0", "calls"), ("x0", "y0", "calls")])
+    got = {r["id"]: r["community"] for r in analytics.communities(g.edges.repartition(4)).collect()}
+    assert got == {"x0": 0, "x1": 0, "x2": 0, "y0": 1, "y1": 1, "y2": 1}
+    many = spark.range(5000).select(F.format_string("n%04d", (F.col("id") * 7919) % 5000).alias("id"))
+    assert analytics.numbered(many).filter("i != cast(substr(id, 2) AS int)").count() == 0 and analytics.numbered(many).count() == 5000
+    assert analytics.communities(g.edges.limit(0)).count() == 0
+
+
+def test_louvain_moves_as_if_every_node_were_looked_at():
+    """Rounds that look at all nodes, as the definition has it, against those that look at what can have changed."""
+    from graphloom.operators import louvain as L
+
+    def plain(n, pairs):
+        weight, members, level = {}, list(range(n)), n
+        for a, b, w in pairs:
+            weight[min(a, b), max(a, b)] = weight.get((min(a, b), max(a, b)), 0.0) + w
+        total = 2 * sum(weight.values())
+        while True:
+            near, degree = [{} for _ in range(level)], [0.0] * level
+            for (a, b), w in weight.items():
+                degree[a] += w
+                degree[b] += w
+                if a != b:
+                    near[a][b] = near[b][a] = w
+            com, mass = list(range(level)), degree[:]
+            for _ in range(64):
+                before = com[:]
+                for i in range(level):
+                    mass[com[i]] -= degree[i]
+                    to = {com[i]: 0.0}
+                    for j, w in near[i].items():
+                        to[com[j]] = to.get(com[j], 0.0) + w
+                    best, gain = com[i], to[com[i]] - mass[com[i]] * degree[i] / total
+                    for c in sorted(to):
+                        if (g := to[c] - mass[c] * degree[i] / total) > gain + 1e-12:
+                            best, gain = c, g
+                    mass[best] += degree[i]
+                    com[i] = best
+                if com == before:
+                    break
+            if com == list(range(level)):
+                break
+            number, merged = {c: k for k, c in enumerate(dict.fromkeys(com))}, {}
+            for (a, b), w in weight.items():
+                x, y = sorted((number[com[a]], number[com[b]]))
+                merged[x, y] = merged.get((x, y), 0.0) + w
+            weight, level, members = merged, len(number), [number[com[m]] for m in members]
+        size = {c: (-members.count(c), members.index(c)) for c in members}
+        place = {c: k for k, c in enumerate(sorted(size, key=size.get))}
+        return [place[c] for c in members]
+
+    rnd = random.Random(7)
+    for _ in range(60):
+        n = rnd.choice([5, 40, 150])
+        pairs = [(rnd.randrange(n), 0 if rnd.random() < 0.2 else rnd.randrange(n), float(rnd.randint(1, 3))) for _ in range(4 * n)]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(L, "BLOCK", rnd.choice([8, 64, 8192]))
+            m.setattr(L, "MANY", rnd.choice([3, 400]))
+            assert analytics.louvain_kernel(n, pairs) == plain(n, pairs)
+
+
 def test_export(spark):
     g = graph(spark, [("a<b", 'q"', "calls")])
     for form in ("jsonl", "graphml", "dot"):
