@@ -3,24 +3,28 @@
 ``bfs`` walks level by level for any number of start nodes at once: a level is one join of the frontier with the edges
 and one aggregation, written to the shared folder; payload columns are joined once, at the end. ``exact`` replays the
 depth-first order of a single walk, in which a node is visited before its depth is looked at, so that under a depth cap
-some nodes stay unexpanded; only the edges within reach of the start are brought together for that, and the number of
-them is checked first.
+some nodes stay unexpanded; only the edges within reach of the start are brought together for that: of a walk as numbers
+in one task, of ``exact_impact`` on the driver, where the number of them is checked first.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from array import array
+from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import CALL_KINDS, CONTAINER_KINDS, HIERARCHY_KINDS
 from ..session import Levels, checkpoint
+from .analytics import numbered
 from .store import Graph, file_dependencies
 
-#: Most edges that a single exact walk brings together.
+#: Most edges that ``exact_impact`` brings together.
 EXACT_EDGES = 2_000_000
 
 
@@ -90,30 +94,62 @@ def _adjacency(edges: DataFrame, reach: DataFrame, direction: str, start: str) -
     return out
 
 
-_WALK = "id string, depth int, ord int, source string, target string, kind string, line int, column_no int"
-
-
-def exact_walk(graph: Graph, start: str, depth: int, direction: str, kinds: Iterable[str] = CALL_KINDS) -> DataFrame:
-    """Callers or callees in the depth-first order, each once with the edge that reached it first."""
-    spark = graph.edges.sparkSession
-    edges = graph.edges.filter(F.col("kind").isin(*kinds))
-    adjacent = _adjacency(edges, bfs(edges, spark.createDataFrame([(start,)], "id string"), depth, direction), direction, start)
-    seen, out = {start}, []
-
-    stack = [(iter(adjacent.get(start, ())), 0)]
+def walk_kernel(n: int, start: int, here: np.ndarray, there: np.ndarray, rank: np.ndarray, line: np.ndarray, depth: int) -> tuple[array, array, array]:
+    """Node, depth and previous node of each node in the depth-first order; edges go by rank, line and there."""
+    order = np.lexsort((there, line, rank, here))
+    begin = np.zeros(n + 1, np.int64)
+    np.cumsum(np.bincount(here, minlength=n), out=begin[1:])
+    begin, near = array("q", begin.tobytes()), array("i", there[order].astype(np.int32).tobytes())
+    seen, out, levels, by = bytearray(n), array("i"), array("i"), array("i")
+    seen[start] = 1
+    stack = [(iter(range(begin[start], begin[start + 1])), start)]
     while stack:
-        it, level = stack[-1]
-        for there, *edge in it:
-            if there in seen:
+        it, at = stack[-1]
+        for k in it:
+            to = near[k]
+            if seen[to]:
                 continue
-            seen.add(there)
-            out.append((there, level + 1, len(out), *edge))
-            if level + 1 < depth:
-                stack.append((iter(adjacent.get(there, ())), level + 1))
+            seen[to] = 1
+            out.append(to)
+            levels.append(len(stack))
+            by.append(at)
+            if len(stack) < depth:
+                stack.append((iter(range(begin[to], begin[to + 1])), to))
                 break
         else:
             stack.pop()
-    return spark.createDataFrame(out, _WALK)
+    return out, levels, by
+
+
+def exact_walk(graph: Graph, start: str, depth: int, direction: str, kinds: Iterable[str] = CALL_KINDS) -> DataFrame:
+    """Callers or callees in the depth-first order, each once with the edge that reached it first. Only nodes nearer than
+    ``depth`` are ever expanded; the order is replayed in one task, which is sent the numbers of their first edges."""
+    spark = graph.edges.sparkSession
+    begin = spark.createDataFrame([(start,)], "id string")
+    edges = checkpoint(graph.edges.filter(F.col("kind").isin(*kinds)).select("source", "target", "kind", "line", "column_no"))
+    here = bfs(edges, begin, max(depth, 1) - 1, direction).select("id").union(begin).select(F.col("id").alias("here"))
+    near = steps(edges, direction).join(here, "here", "left_semi").filter("here != there")
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order("there"))], "source", "target", "kind", "line", "column_no")
+    first = checkpoint(near.groupBy("here", "there").agg(F.min(order).alias("s")))
+    names = checkpoint(numbered(first.select(F.col("here").alias("id")).union(first.select("there")).union(begin)))
+    first = first.join(names.select(F.col("id").alias("here"), F.col("i").alias("x")), "here").join(names.select(F.col("id").alias("there"), F.col("i").alias("y")), "there")
+    first = checkpoint(first.select(F.col("there").alias("id"), "x", "y", "s"))
+    n, root = names.count(), names.filter(F.col("id") == start).first()["i"]
+
+    def run(batches):
+        got = [[np.asarray(c) for c in batch.columns] for batch in batches]
+        if not got:
+            return
+        x, y, r, at = (np.concatenate(c) for c in zip(*got))
+        del got
+        out, levels, by = (np.asarray(c) for c in walk_kernel(n, root, x, y, r, at, depth))
+        for k in range(0, len(out), 65536):
+            part = slice(k, k + 65536)
+            yield pa.RecordBatch.from_arrays([pa.array(by[part]), pa.array(out[part]), pa.array(levels[part]), pa.array(np.arange(k, k + len(out[part]), dtype=np.int32))], ["x", "y", "depth", "ord"])
+
+    ints = first.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("s.o0").alias("r"), F.col("s.o1").alias("at"))
+    walked = checkpoint(ints.repartition(1).mapInArrow(run, "x int, y int, depth int, ord int"))
+    return first.join(walked, ["x", "y"]).select("id", "depth", "ord", *[f"s.{c}" for c in ("source", "target", "kind", "line", "column_no")]).orderBy("ord")
 
 
 def impact(graph: Graph, starts: DataFrame, depth: int) -> DataFrame:

@@ -32,6 +32,28 @@ def test_depth_cap_differs(spark):
     assert ids(traverse.callees(g, start(spark, "root"), 2)) == ["A", "B", "C"]
 
 
+def test_exact_walk_of_any_size(spark, monkeypatch):
+    """The order as in the definition, with no edges refused or sent to the driver."""
+    monkeypatch.setattr(traverse, "EXACT_EDGES", 1)
+    rnd = random.Random(3)
+    for n, depth in ((6, 0), (8, 2), (14, 3)):
+        edges = sorted({(f"n{rnd.randrange(n):02}", f"n{rnd.randrange(n):02}", rnd.choice(["calls", "references"]), rnd.randrange(9)) for _ in range(3 * n)} | {("n01", "n00", "calls", 1)})
+        g, seen, want = graph(spark, edges), {"n00"}, []
+
+        def visit(at, level):
+            for there, kind, line in sorted(((s, k, line) for s, t, k, line in edges if t == at), key=lambda e: (e[1] != "calls", e[2], e[0])):  # noqa: B023
+                if there not in seen:  # noqa: B023
+                    seen.add(there)  # noqa: B023
+                    want.append((there, level + 1, len(want), there, at, kind, line))  # noqa: B023
+                    if level + 1 < depth:  # noqa: B023
+                        visit(there, level + 1)  # noqa: B023
+
+        visit("n00", 0)
+        got = traverse.exact_walk(g, "n00", depth, "in")
+        assert [tuple(r) for r in got.select("id", "depth", "ord", "source", "target", "kind", "line").collect()] == want
+    assert traverse.exact_walk(g, "alone", 2, "in").count() == 0
+
+
 def test_edges_keep_their_identity(spark):
     g = graph(spark, [("X", "Y", "calls", 3), ("X", "Y", "calls", 9), ("X", "Y", "references"), ("X", "Y", "references"), ("X", "gone", "calls")])
     known = g.nodes.filter("id != 'gone'")
