@@ -185,6 +185,14 @@ def test_communities_of_any_size(spark, monkeypatch):
     assert analytics.communities(g.edges.limit(0)).count() == 0
 
 
+def test_insights_of_any_size(spark, monkeypatch):
+    """The findings hold communities whatever the number of pairs."""
+    monkeypatch.setattr(analytics.communities, "__defaults__", tuple(1 if d == 5_000_000 else d for d in analytics.communities.__defaults__))
+    g = graph(spark, [(f"{k}{i}", f"{k}{(i + 1) % 3}", "calls") for k in ("left", "right") for i in range(3)] + [("left0", "right0", "calls")])
+    got = analytics.insights(g).filter("section = 'community'").orderBy("ord").collect()
+    assert [(r["ord"], r["subject"], r["value"]) for r in got] == [(0, "left0", 3.0), (1, "right0", 3.0)]
+
+
 def test_louvain_moves_as_if_every_node_were_looked_at():
     """Rounds that look at all nodes, as the definition has it, against those that look at what can have changed."""
     from graphloom.operators import louvain as L
